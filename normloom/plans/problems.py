@@ -38,8 +38,8 @@ r as (
   where k is not null and k <> ''),
 j as (
   select r.edge_id, r.field, r.k, r.seen_at, count(n.k) as known,
-    count_if(n.loaded_at <= r.seen_at and (n.removed_at is null or n.removed_at > r.seen_at)) as present,
-    count_if(n.loaded_at <= r.seen_at) as loaded
+    count(n.k) filter (where n.loaded_at <= r.seen_at and (n.removed_at is null or n.removed_at > r.seen_at)) as present,
+    count(n.k) filter (where n.loaded_at <= r.seen_at) as loaded
   from r left join n on r.k = n.k group by all),
 o as (
   select edge_id, field, k, seen_at, case when known = 0 then 'missing' when loaded = 0 then 'late' else 'deleted' end as reason
