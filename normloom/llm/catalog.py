@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from normloom.llm import leaks, spans, tokens
+from normloom.llm import canonical, leaks, neighbours, spans, tokens
 from normloom.runtime import table
 
 
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    return neighbours.found(table(spark, directory, "opening_vectors"))
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return canonical.found(table(spark, directory, "refs_raw"), table(spark, directory, "book_list"))
+
+
+def p4_unmatched(spark: SparkSession, directory: str) -> DataFrame:
+    return canonical.unmatched(table(spark, directory, "refs_raw"), table(spark, directory, "book_list"))
+
+
 def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
     return tokens.tokenize(table(spark, directory, "documents"))
 
@@ -24,6 +36,6 @@ def p9_shared(spark: SparkSession, directory: str) -> DataFrame:
     return spans.shared_share(table(spark, directory, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_shared": p9_shared}
 
 ORACLES: dict[str, str] = {}
