@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from normloom.llm import canonical, leaks, neighbours, spans, tokens
+from normloom.llm import canonical, entities, leaks, neighbours, spans, tokens
 from normloom.runtime import table
 
 
@@ -20,6 +20,14 @@ def p4_unmatched(spark: SparkSession, directory: str) -> DataFrame:
     return canonical.unmatched(table(spark, directory, "refs_raw"), table(spark, directory, "book_list"))
 
 
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    return entities.found(table(spark, directory, "laws_classified"), table(spark, directory, "law_register"))
+
+
+def p5_confidence(spark: SparkSession, directory: str) -> DataFrame:
+    return entities.matched(table(spark, directory, "laws_classified"), table(spark, directory, "law_register"))
+
+
 def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
     return tokens.tokenize(table(spark, directory, "documents"))
 
@@ -36,6 +44,6 @@ def p9_shared(spark: SparkSession, directory: str) -> DataFrame:
     return spans.shared_share(table(spark, directory, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_shared": p9_shared}
 
 ORACLES: dict[str, str] = {}
