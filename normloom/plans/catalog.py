@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from normloom.plans import problems
+from normloom.plans import problems, reference
 
-QUERIES = {**problems.QUERIES}
-ORACLES = {**problems.ORACLES}
+QUERIES = {**reference.QUERIES, **problems.QUERIES}
+ORACLES = {**reference.ORACLES, **problems.ORACLES}
