@@ -43,7 +43,7 @@ BRANCHES, ROUNDS = 16, 8
 #: Vectors of the calibration, and the share of their true neighbours that visited leaves must hold.
 PROBES, TARGET = 512, 0.99
 #: Vectors of a block at most, and blocks that small tables should have.
-MOST_ROWS, LEAST_BLOCKS = 16_384, 24
+MOST_ROWS, LEAST_BLOCKS = 65_536, 10
 #: Queries of a block that share their visited columns; rounding is to DIGITS, errors of single precision stay below SLACK.
 CHUNK, DIGITS, SLACK = 256, 6, 4e-6
 
@@ -162,14 +162,23 @@ def best_of(q: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int) -> tuple[np
     Returns query, column and similarity rounded; both sides are unit vectors in double precision.
     """
     s = q.astype(np.float32) @ x.astype(np.float32).T
-    least = floor.astype(np.float32)
-    if s.shape[1] > k:
-        over = (s >= (least - np.float32(SLACK))[:, None]).sum(1)
-        busy = np.flatnonzero(over > k)
-        if len(busy):
-            kth = np.partition(s[busy], s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            least[busy] = np.maximum(least[busy], kth)
-    row, col = np.nonzero(s >= (least - np.float32(SLACK))[:, None])
+    least = floor.astype(np.float32) - np.float32(SLACK)
+    hits = s >= least[:, None]
+    if s.shape[1] > k and np.count_nonzero(hits) > 64 * len(q):
+        kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        hits = s >= np.maximum(least, kth - np.float32(SLACK))[:, None]
+    row, col = np.nonzero(hits)
+    near = s[row, col]
+    # Of more than k hits those below the k-th best are left out.
+    order = np.lexsort((-near, row))
+    first = np.searchsorted(row, np.arange(len(q)))
+    place = np.empty(len(row), np.int64)
+    place[order] = np.arange(len(row)) - first[row[order]]
+    edge = np.full(len(q), -np.inf, np.float32)
+    at_k = place == k - 1
+    edge[row[at_k]] = near[at_k] - np.float32(SLACK)
+    kept = near >= edge[row]
+    row, col = row[kept], col[kept]
     sim = np.round(np.einsum("ij,ij->i", q[row], x[col]), DIGITS)
     return row, col, sim
 
