@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from normloom.runtime import written
+from normloom.runtime import default_parallelism, written
 
 UNMATCHED = -1
 #: Characters of an n-gram; candidates compared letter by letter, and the least cosine of one.
@@ -42,6 +42,8 @@ GRAM, CANDIDATES, LEAST_COSINE = 3, 10, 0.15
 MOST_EDITS, STEM_LETTERS, MARGIN, SHORT = 5, 5, 1, 9
 #: Entries of a reference list that is broadcast.
 BROADCAST_ENTRIES = 20_000
+#: Different values that one task maps.
+VALUES_A_TASK = 20_000
 
 # Endings of German acts, their shortenings and inflections.
 ENDINGS = {
@@ -271,7 +273,10 @@ def _decided(values: DataFrame, entries: DataFrame) -> DataFrame:
             got = [decide(shared.value, v) for v in batch["value"]]
             yield pd.DataFrame({"value": batch["value"], "entry": [g[0] for g in got], "agreement": [g[1] for g in got]})
 
-    return values.mapInPandas(run, "value string, entry long, agreement double")
+    # Few bytes, much work: as many tasks as there are cores, and more as the values grow.  Hashed once more, as an equal
+    # partitioning of the step before would be kept and its small partitions joined into one task.
+    parts = max(2 * default_parallelism(values.sparkSession), values.count() // VALUES_A_TASK)
+    return values.repartition(parts, F.xxhash64("value")).mapInPandas(run, "value string, entry long, agreement double")
 
 
 def _joined(values: DataFrame, entries: DataFrame) -> DataFrame:
