@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 
 from normloom.functions.text import strip_white
 from normloom.operators.slices import SLICE_ROWS, neighbour, with_slices
-from normloom.runtime import delete, scratch_path
+from normloom.runtime import scratch_path, written
 
 OPEN_END = "9999-12-31"
+#: Hash buckets of entities in a store; columns of a version.
+BUCKETS = 32
+CHAIN = "node_id string, from_ts timestamp_ntz, to_ts timestamp_ntz, created date, repealed date"
 RAW = ("node_id", "created_at", "repealed_at", "op", "observed_at", "ingested_at", "update_id")
 
 
@@ -46,14 +49,15 @@ def observations(raw: DataFrame) -> DataFrame:
 def build_chains(raw: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """All versions of all entities in ``raw``: node_id, from_ts, to_ts (null if open), created, repealed."""
     order = F.unix_micros(F.col("observed_at").cast("timestamp"))
-    seen, sliced = with_slices(observations(raw), "node_id", order, slice_rows)
+    # Written once: the search for hot entities and the windows both read it.
+    seen, sliced = with_slices(written(observations(raw), "observations"), "node_id", order, slice_rows)
     seen = neighbour(seen, "node_id", ["observed_at"], ["gone", "created", "repealed"], sliced, "before")
     same = F.col("before.created").eqNullSafe(F.col("created")) & F.col("before.repealed").eqNullSafe(F.col("repealed"))
     starts = ~F.col("gone") & (F.col("before").isNull() | F.col("before.gone") | ~same)
     ends = F.col("gone") & F.col("before").isNotNull() & ~F.col("before.gone")
     events = seen.filter(starts | ends).drop("before")
     events = neighbour(events, "node_id", ["observed_at"], ["observed_at"], sliced, "after", forward=True)
-    return events.filter(~F.col("gone")).select("node_id", F.col("observed_at").alias("from_ts"), F.col("after.observed_at").alias("to_ts"), "created", "repealed")
+    return events.filter(~F.col("gone")).select("node_id", F.col("observed_at").cast("timestamp_ntz").alias("from_ts"), F.col("after.observed_at").cast("timestamp_ntz").alias("to_ts"), "created", "repealed")
 
 
 def rebuild_affected(chains: DataFrame, raw: DataFrame, batch: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -67,14 +71,14 @@ def rebuild_affected(chains: DataFrame, raw: DataFrame, batch: DataFrame, slice_
 
 
 class HistoryStore:
-    """Raw changes and chains in a folder; readers follow a pointer that is renamed in one step.
+    """Raw changes and chains in a folder, in hash buckets of entities; readers follow a pointer that is renamed in one step.
 
-    A load writes a new generation beside the old one.  Until the pointer names it,
-    readers see the old chains whole; a failed load leaves nothing they can see.
+    A load reads and writes only the buckets its entities lie in.  New files stand beside the old ones and
+    until the pointer names them, readers see the old chains whole; a failed load leaves nothing they can see.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -84,7 +88,7 @@ class HistoryStore:
     def _state(self) -> dict:
         fs, at = self._fs()
         if not fs.exists(at(f"{self.path}/current.json")):
-            return {"generation": 0, "chains": None, "raw": []}
+            return {"generation": 0, "chains": {}, "raw": []}
         return json.loads(self.spark.read.text(f"{self.path}/current.json").first()[0])
 
     def _publish(self, state: dict) -> None:
@@ -99,31 +103,55 @@ class HistoryStore:
         how[0] = overwrite.OVERWRITE
         sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(staged, at(f"{self.path}/current.json"), how)
 
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        # Hot buckets are split over several files by the rebalance.
+        return df.withColumn("bucket", F.pmod(F.xxhash64("node_id"), F.lit(self.buckets)).cast("int")).hint("rebalance", "bucket")
+
+    def _kept(self, path: str) -> list[str]:
+        """The buckets that have files under a path."""
+        fs, at = self._fs()
+        return [s.getPath().getName().removeprefix("bucket=") for s in fs.listStatus(at(path)) if s.isDirectory() and s.getPath().getName().startswith("bucket=")]
+
+    def _read_chains(self, chains: dict[str, int]) -> DataFrame:
+        parts = [self.spark.read.schema(CHAIN).parquet(*[f"{self.path}/chains-{g}/bucket={b}" for b, own in chains.items() if own == g]) for g in sorted(set(chains.values()))]
+        out = parts[0] if parts else self.spark.createDataFrame([], CHAIN)
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
     def chains(self) -> DataFrame:
         state = self._state()
-        if state["chains"] is None:
+        if not state["generation"]:
             raise FileNotFoundError(self.path)
-        return self.spark.read.parquet(state["chains"])
+        return self._read_chains(state["chains"])
 
-    def raw(self) -> DataFrame | None:
-        paths = self._state()["raw"]
-        return self.spark.read.parquet(*paths) if paths else None
+    def raw(self, buckets: list[int] | None = None) -> DataFrame | None:
+        """All raw changes, or those of some buckets: the others' files aren't read."""
+        loads = self._state()["raw"]
+        if not loads:
+            return None
+        # Loads that failed lie there, too, and aren't named.
+        rows = self.spark.read.parquet(f"{self.path}/raw").filter(F.col("load").isin(loads))
+        return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
 
     def load(self, batch: DataFrame, slice_rows: int = SLICE_ROWS) -> None:
         """Add a batch of raw changes and replace the chains of the entities it touches."""
         state = self._state()
         n = state["generation"] + 1
-        raw_path, chain_path = f"{self.path}/raw-{n}", f"{self.path}/chains-{n}"
-        batch.select(*RAW).write.mode("overwrite").parquet(raw_path)
+        raw_path, chain_path = f"{self.path}/raw/load={n}", f"{self.path}/chains-{n}"
+        self._bucketed(batch.filter(F.col("node_id").isNotNull()).select(*RAW)).write.mode("overwrite").partitionBy("bucket").parquet(raw_path)
+        touched = self._kept(raw_path)
+        if not touched:
+            self._publish({**state, "generation": n})
+            return
         fresh = self.spark.read.parquet(raw_path)
-        if state["chains"] is None:
-            chains = build_chains(fresh, slice_rows)
-        else:
-            chains = rebuild_affected(self.chains(), self.raw(), fresh, slice_rows)
-        chains.write.mode("overwrite").parquet(chain_path)
-        self._publish({"generation": n, "chains": chain_path, "raw": [*state["raw"], raw_path]})
-        if n > 2:  # readers of the generation before may still be at work
-            delete(self.spark, f"{self.path}/chains-{n - 2}")
+        old = self._read_chains({b: g for b, g in state["chains"].items() if b in touched})
+        before = self.raw([int(b) for b in touched])
+        chains = build_chains(fresh, slice_rows) if before is None else rebuild_affected(old, before, fresh, slice_rows)
+        self._bucketed(chains).write.mode("overwrite").partitionBy("bucket").parquet(chain_path)
+        fresh_chains = dict.fromkeys(self._kept(chain_path), n)
+        rest = {b: g for b, g in state["chains"].items() if b not in touched}
+        self._publish({"generation": n, "chains": rest | fresh_chains, "raw": [*state["raw"], n]})
 
 
 def history(updates: DataFrame, late_share: float = 0.05, slice_rows: int = SLICE_ROWS) -> DataFrame:

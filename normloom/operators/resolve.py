@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normloom.functions.text import node_id, normalize_book, short_name, strip_white
+from normloom.functions.text import WHITE, node_id, normalize_book, short_name, strip_white
 from normloom.operators.graph import first_per_key
 
 # Generic words that are no names of laws.
@@ -77,3 +77,11 @@ def top_unresolved(resolved: DataFrame, most: int = 20) -> DataFrame:
     """(book, citations): the names cited most that no law bears."""
     counts = resolved.filter(F.col("target").isNull()).groupBy("book").agg(F.count(F.lit(1)).alias("citations"))
     return counts.orderBy(F.col("citations").desc(), "book").limit(most)
+
+
+def plain_index(laws: DataFrame) -> DataFrame:
+    """(key, slug): the simpler index by lower-case names without white space, each also with ss for ß; the shortest slug wins."""
+    bare = F.regexp_replace(F.lower("name"), f"[{WHITE}]+", "")
+    names = laws.select("slug", F.explode(F.array("jurabk", "langue")).alias("name")).select("slug", bare.alias("k"))
+    keys = names.select("slug", F.explode(F.array("k", F.replace("k", F.lit("ß"), F.lit("ss")), F.replace("k", F.lit("ss"), F.lit("ß")))).alias("key")).filter("key != ''")
+    return first_per_key(keys.withColumn("n", F.length("slug")), "key", ["n", "slug"], ["slug"])

@@ -32,8 +32,10 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector divided by its length; zero vectors stay."""
-    n = norm(v)
-    return F.when(n == 0, v.cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / n))
+    d = v.cast("array<double>")
+    # The length is bound to a variable once; written into the inner function it would be computed for every element.
+    divided = F.transform(F.array(norm(v)), lambda n: F.when(n == 0, d).otherwise(F.transform(d, lambda x: x / n)))
+    return F.element_at(divided, 1)
 
 
 def hashed_embedding(texts: DataFrame, key: str, text: str, width: int = 64) -> DataFrame:

@@ -1,6 +1,7 @@
-"""The whole build as one lazy plan over DataFrames.
+"""The whole build over DataFrames.
 
-Nothing is written between the stages; the caller writes what it needs.
+What several later stages read (classified laws, references, edges, places) is
+written once into the shared folder; all else stays lazy.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from normloom.functions.text import embedding_text, node_id
 from normloom.operators import citations, color, graph, layout, resolve, search, taxonomy, validate, vectors
+from normloom.runtime import written
 from normloom.sources.laws import slug_table
 
 
@@ -34,10 +36,10 @@ def build(laws: DataFrame, toc: DataFrame, entries: DataFrame, embeddings: DataF
     """
     opening = laws.withColumn("opening_text", taxonomy.opening_text(F.col("norms"))).drop("norms", "parse_warnings")
     codes = taxonomy.join_taxonomy(toc, slug_table(laws), *taxonomy.join_maps(taxonomy.distinct_entries(entries)))
-    classified = taxonomy.classify(opening, codes)
+    classified = written(taxonomy.classify(opening, codes), "classified")
 
     norms = laws.select(F.col("slug").alias("source_slug"), F.posexplode("norms").alias("norm_pos", "n")).select("source_slug", "norm_pos", "n.text_xml")
-    refs = citations.extract(norms, ["source_slug", "norm_pos"])
+    refs = written(citations.extract(norms, ["source_slug", "norm_pos"]), "refs")
     ordered = laws.select("slug", "jurabk", "langue").join(toc.select("slug", "ord"), "slug", "left")
     resolved = resolve.resolve(refs, resolve.book_index(ordered, toc), laws.select("slug", "jurabk"), jurisdiction)
     hard = resolve.edges(resolved)
@@ -46,13 +48,13 @@ def build(laws: DataFrame, toc: DataFrame, entries: DataFrame, embeddings: DataF
         texts = classified.select("slug", embedding_text(F.col("langue"), F.col("slug"), F.col("opening_text")).alias("t"))
         embeddings = vectors.hashed_embedding(texts, "slug", "t")
     named = classified.select("slug", "main_group", node_id(F.col("jurabk"), F.col("slug"), jurisdiction).alias("id"))
-    base = embeddings.join(named, "slug").select("id", "main_group", vectors.unit(F.col("embedding")).alias("v"))
+    base = written(embeddings.join(named, "slug").select("id", "main_group", vectors.unit(F.col("embedding")).alias("v")), "base")
     soft = vectors.soft_edges(base.filter("main_group is null"), base, k, soft_weight).drop("cos")
     none = [F.lit(None).cast("date").alias(c) for c in ("valid_from", "valid_to")]
-    edges = graph.union_edges(hard, soft.select("*", *none))
+    edges = written(graph.union_edges(hard, soft.select("*", *none)), "edges")
 
     nodes = graph.build_graph(classified, edges, jurisdiction).drop("x", "y", "color", "meta_cluster")
-    nodes = layout.merge_layout(nodes, layout.run_layout(nodes, edges, iterations))
+    nodes = written(layout.merge_layout(nodes, layout.run_layout(nodes, edges, iterations)), "nodes")
     flat = nodes.select("id", F.col("classification.main_group").alias("main_group"))
     nodes = nodes.join(color.assign_colors(flat, edges, mode).withColumnRenamed("cluster", "meta_cluster"), "id", "left")
     resolver = resolve.resolver(resolved)

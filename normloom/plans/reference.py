@@ -127,7 +127,7 @@ _WHOLE = "whole as (select * from edges where source is not null and target is n
 
 @query(f"select distinct snapshot_no, dok_nr, loaded_at, {_tags('text_xml')} as plain from norm_snapshots")
 def strip_tags(spark: SparkSession, d: str) -> DataFrame:
-    return norms(spark, d).select("snapshot_no", "dok_nr", "loaded_at", T.strip_tags(F.col("text_xml")).alias("plain")).distinct()
+    return table(spark, d, "norm_snapshots").select("snapshot_no", "dok_nr", "loaded_at", T.strip_tags(F.col("text_xml")).alias("plain")).distinct()
 
 
 @query(rf"""
@@ -136,7 +136,7 @@ s as (select *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replac
   '[{W}]+', '-', 'g'), '[^\w-]', '', 'g'), '^-+|-+$', '', 'g') as a from n)
 select snapshot_no, dok_nr, loaded_at, case when coalesce(a, '') = '' then 'norm-' || norm_pos else a end as anchor from s""")
 def norm_anchors(spark: SparkSession, d: str) -> DataFrame:
-    rows = norms(spark, d).select("snapshot_no", "dok_nr", "loaded_at", "norm_pos", "enbez").distinct()
+    rows = table(spark, d, "norm_snapshots").select("snapshot_no", "dok_nr", "loaded_at", "norm_pos", "enbez").distinct()
     return rows.select("snapshot_no", "dok_nr", "loaded_at", T.norm_id(F.col("enbez"), F.col("norm_pos")).alias("anchor"))
 
 
@@ -312,6 +312,13 @@ def book_index(spark: SparkSession, d: str) -> DataFrame:
     return resolve.book_index(b, b.select("slug", F.col("langue").alias("title"), "ord"))
 
 
+@query(f"""with {_LAWS}, n as (select slug, regexp_replace(lower(unnest([jurabk, langue])), '[{W}]+', '', 'g') as k from laws),
+k as (select slug, unnest([k, replace(k, 'ß', 'ss'), replace(k, 'ss', 'ß')]) as key from n)
+select key, slug from k where key <> '' qualify row_number() over (partition by key order by length(slug), slug) = 1""")
+def plain_index(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.plain_index(laws(spark, d))
+
+
 @query(f"with {_RESOLVED} select distinct source, target, 'explicit' as type, 1.0::double as weight, null::date as valid_from, null::date as valid_to from res where target is not null and source is not null")
 def resolved_edges(spark: SparkSession, d: str) -> DataFrame:
     return resolve.edges(resolved(spark, d))

@@ -88,5 +88,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove all scratch tables of this driver; results that still read them can't be computed again."""
+    for root in list(_SEEN):
+        _drop(spark, root)
+        _SEEN.discard(root)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
