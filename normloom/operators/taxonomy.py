@@ -97,3 +97,43 @@ def field_presence(rows: DataFrame, columns: list[str]) -> DataFrame:
     counts = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.count(empty_to_null(F.col(c).cast("string"))).alias(c) for c in columns])
     out = counts.select("_n", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("present")) for c in columns])).alias("e"))
     return out.select("e.field", "e.present", F.expr("case when _n = 0 then 0 else (100 * e.present) div _n end").alias("percent"))
+
+
+# How the pages of a taxonomy mark up a row with code and linked title.
+PAGE_ROW = r'(?s)<td class="fnal">\s*([0-9][0-9\-]*)\s*</td>\s*<td>.*?<a\s+href="([^"]+)"[^>]*class="ltg"[^>]*>(.*?)</a>'
+# The references that a title can hold.
+_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&"))
+
+
+def page_rows(pages: DataFrame, keep: tuple[str, ...] = (), html: str = "html") -> DataFrame:
+    """(keep, pos, code, url, title, main_group) for every law row of taxonomy pages; a trailing parenthetical of the title goes."""
+    found = F.arrays_zip(*[F.regexp_extract_all(F.col(html), F.lit(PAGE_ROW), F.lit(i)).alias(n) for i, n in ((1, "code"), (2, "url"), (3, "title"))])
+
+    def plain(c: Column) -> Column:
+        for ref, text in _REFERENCES:
+            c = F.replace(c, F.lit(ref), F.lit(text))
+        return c
+
+    title = strip_white(F.regexp_replace(strip_white(plain(F.regexp_replace("r.title", "<[^>]+>", ""))), r"\s*\([^()]+\)\s*\z", ""))
+    out = pages.select(*keep, F.posexplode(found).alias("pos", "r"))
+    return out.select(*keep, "pos", "r.code", plain(F.col("r.url")).alias("url"), title.alias("title"), main_group(F.col("r.code")).alias("main_group"))
+
+
+def reached_pages(links: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
+    """(path): pages reached from ``roots`` (path) over ``links`` (parent, parent_code, child, child_code).
+
+    A child counts only if its code consists of digits and strictly extends its parent's, so the walk ends by
+    itself.  Each round is one join with the pages reached last.
+    """
+    from normloom.runtime import written
+
+    down = links.filter(F.col("parent_code").rlike(r"^\d+\z") & F.col("child_code").rlike(r"^\d+\z") & F.col("child_code").startswith(F.col("parent_code")) & (F.length("child_code") > F.length("parent_code")))
+    down = written(down.select("parent", "child").distinct(), "links")
+    seen = last = written(roots.select("path").distinct(), "reached")
+    for _ in range(most):
+        fresh = last.join(down, last["path"] == down["parent"]).select(F.col("child").alias("path")).distinct().join(seen, "path", "left_anti")
+        last = written(fresh, "reached")
+        if last.isEmpty():
+            break
+        seen = written(seen.unionByName(last), "seen")
+    return seen

@@ -62,6 +62,7 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 W = T.WHITE
+BS = "\\"
 
 
 def _strip(c: str) -> str:
@@ -207,6 +208,15 @@ def taxonomy_entries(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.segment_entries(rows.select("law_id", F.concat(own, other).alias("text")), keep=("law_id",))
 
 
+@query(rf"""with {_LAWS}, l as (select law_id, fna_code, langue from laws where langue is not null and regexp_full_match(fna_code, '[0-9][0-9-]*'))
+select law_id, p::int as pos, fna_code as code, 'https://laws.example/' || law_id || '.htm' as url, {_strip(f"regexp_replace({_strip('langue')}, '{BS}s*{BS}([^()]+{BS}){BS}s*$', '')")} as title, {_group("fna_code")} as main_group
+from l, (select unnest([0, 1]) as p)""")
+def taxonomy_page_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = laws(spark, d).filter(F.col("langue").isNotNull() & F.col("fna_code").rlike("^[0-9][0-9-]*\\z"))
+    row = F.concat(F.lit('<tr><td class="fnal"> '), "fna_code", F.lit('</td>\n<td><i>x</i> <a href="https://laws.example/'), F.col("law_id").cast("string"), F.lit('.htm" title="t" class="ltg"><b>'), T.escape_html(F.col("langue")), F.lit("</b></a></td></tr>\n"))
+    return taxonomy.page_rows(rows.select("law_id", F.concat(F.lit("<table>"), row, row, F.lit("</table>")).alias("html")), keep=("law_id",))
+
+
 _ENTRIES = "entries as (select distinct fna_code as code, titel as block, reg_id as ord from law_register where fna_code is not null)"
 _BY_TITLE = f"by_title as (select {_title('block')} as key, code, ord from entries where length({_title('block')}) >= 6 qualify row_number() over (partition by key order by ord, code) = 1)"
 _BY_ABBR = f"by_abbr as (select {_block_abbr('block')} as key, code, ord from entries where length({_block_abbr('block')}) >= 2 qualify row_number() over (partition by key order by ord, code) = 1)"

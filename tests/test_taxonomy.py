@@ -56,3 +56,12 @@ def test_resolution(spark):
     assert resolve.stats(done).first().asDict() == {"resolved": 3, "unresolved": 1, "coverage_pct": 75.0, "unique_edges": 2, "resolver_entries": 2}
     assert [tuple(r) for r in resolve.top_unresolved(done).collect()] == [("nichts", 1)]
     assert resolve.stats(done.limit(0)).first()["coverage_pct"] == 0.0
+
+
+def test_pages(spark):
+    page = '<tr><td class="fnal"> 12-3 </td> <td>x <a href="a?b=1&amp;c=2" id="i" class="ltg"><b>Gesetz &lt;A&gt;</b> (Kurz)</a></td></tr><td class="fnal">9</td><td><a href="z" class="ltg">B</a>'
+    rows = [tuple(r) for r in taxonomy.page_rows(spark.createDataFrame([(page,), (None,), ("",)], "html string")).collect()]
+    assert rows == [(0, "12-3", "a?b=1&c=2", "Gesetz <A>", 1), (1, "9", "z", "B", 9)]
+    links = spark.createDataFrame([("r", "1", "a", "12"), ("a", "12", "b", "123"), ("b", "123", "r", "1"), ("b", "123", "c", "99"), ("q", "5", "s", "51"), ("b", "123", "d", "123x"), ("b", None, "e", "1234")], "parent string, parent_code string, child string, child_code string")
+    got = taxonomy.reached_pages(links, spark.createDataFrame([("r",)], "path string"))
+    assert {r["path"] for r in got.collect()} == {"r", "a", "b"}
