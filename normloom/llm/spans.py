@@ -198,19 +198,20 @@ def _common(a: str, b: str, back: bool) -> int:
 
 
 def _classes(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Texts long enough, one of each class of equal ones (id, text), and membership (id, member)."""
+    """Texts long enough (id, text), and membership (id, member) in classes of equal ones, named by the smallest."""
     rows = documents.filter(F.col("doc_id").isNotNull() & (F.length("text") >= least)).select(F.col("doc_id").alias("member"), "text")
     # Texts are compared by two independent 64-bit hashes and their length; the text itself isn't shuffled.
     hashes = rows.select("member", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(7), "text").alias("y"), F.length("text").alias("n"))
     first = hashes.groupBy("x", "y", "n").agg(F.min("member").alias("id"))
     members = written(hashes.join(first, ["x", "y", "n"]).select("id", "member").distinct(), "members")
-    copies = members.filter("id != member").select("member")
-    return rows.join(copies, "member", "left_anti").select(F.col("member").alias("id"), "text"), members
+    return rows.select(F.col("member").alias("id"), "text"), members
 
 
-def _repeated(texts: DataFrame, least: int) -> DataFrame:
-    """(id, at, h, n): the anchors whose span stands in more than one text, and how often it stands anywhere."""
-    table = written(_anchor_table(texts, least).repartition("h"), "anchors")
+def _repeated(texts: DataFrame, members: DataFrame, least: int) -> DataFrame:
+    """(id, at, h, n): the anchors of representatives whose span stands in more than one of them, and how often it stands anywhere."""
+    # Copies are left out here and not before: anchors are small, texts would have to be shuffled.
+    copies = members.filter("id != member").select(F.col("member").alias("id"))
+    table = written(_anchor_table(texts, least).join(copies, "id", "left_anti").repartition("h"), "anchors")
     per_hash = table.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("h", "n")
     return written(table.join(per_hash, "h"), "repeated")
 
@@ -224,7 +225,7 @@ def shared_spans(documents: DataFrame, least: int = LEAST, many: int = MANY) ->
     """
     span = widths(least)[1]
     texts, members = _classes(documents, least)
-    kept = _repeated(texts, least)
+    kept = _repeated(texts, members, least)
     few = kept.filter(F.col("n") <= many)
 
     ids = F.array_sort(F.collect_list(F.struct("id", "at")))
@@ -300,7 +301,7 @@ def shared_share(documents: DataFrame, least: int = LEAST) -> DataFrame:
     with an equal one is shared whole.  No pairs are formed.
     """
     texts, members = _classes(documents, least)
-    stretches = written(_stretches(texts, _repeated(texts, least).select("id", "at"), least), "stretches")
+    stretches = written(_stretches(texts, _repeated(texts, members, least).select("id", "at"), least), "stretches")
     common = stretches.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("g")
     starts = stretches.join(common, "g", "left_semi").select("id", "start").distinct()
     # Each start covers ``least`` characters, or those up to the next one.
