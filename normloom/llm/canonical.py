@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -259,6 +259,13 @@ def _named(book: pd.Series, span: pd.Series) -> pd.Series:
     return pd.Series([named(b, s) for b, s in zip(book, span, strict=True)], dtype=object)
 
 
+def _may_say_nothing(c: Column) -> Column:
+    """``says_nothing`` inside the JVM; also true for rare letters, of which the exact function decides."""
+    articles, general = ("|".join(sorted(w)) for w in (ARTICLES, GENERAL))
+    plain = F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    return c.isNull() | plain.rlike(rf"^(?:(?:{articles}) ?)*(?:(?:{general})(?: (?:{articles}))*)?\z") | c.rlike(r"[^\x00-\xff]")
+
+
 def _none(x: object) -> bool:
     return x is None or x != x
 
@@ -328,8 +335,8 @@ def mapped(refs: DataFrame, entries: DataFrame, key: str = "ref_id", first: str
     """(key, value, entry, agreement) for every row of ``refs``; ``entries`` has entry id, abbreviation and name in this order."""
     kinds = dict(refs.dtypes)
     text = lambda c: F.col(c).cast("string") if c in kinds else F.lit(None).cast("string")
-    # A long value never is a general word; its second text is left out, so that equal values meet.
-    rows = refs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), text(first).alias("a"), F.when(text(first).isNull() | (F.length(text(first)) <= 40), text(second)).alias("b")).distinct()
+    # Where the first text says something, the second is left out, so that equal values meet.
+    rows = refs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), text(first).alias("a"), F.when(_may_say_nothing(text(first)), text(second)).alias("b")).distinct()
     texts = written(rows.select("a", "b").distinct().withColumn("value", _named("a", "b")), "named")
     values = texts.select("value").filter("value != ''").distinct()
     entries = entries.toDF("entry", "short", "name").filter("entry is not null")
