@@ -243,8 +243,11 @@ def judge(clean: str, best: list[tuple[int, float]], spelled: dict[int, list[str
 
 
 def _apart(a: str, b: str) -> int:
-    """Edits between two words, as they stand or blurred."""
-    return min(edits(a, b), edits(blurred(a), blurred(b))) if abs(len(a) - len(b)) <= 2 * MOST_EDITS else 99
+    """Edits between two words, as they stand or blurred; 99 where their lengths show that there are too many."""
+    if abs(len(a) - len(b)) > MOST_EDITS + MARGIN:
+        return 99
+    d, x, y = edits(a, b), blurred(a), blurred(b)
+    return d if not d or (x == a and y == b) else min(d, edits(x, y))
 
 
 def _stem_apart(s: str, name: str) -> bool:
