@@ -46,4 +46,27 @@ def p9_shared(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_shared": p9_shared}
 
-ORACLES: dict[str, str] = {}
+_STRETCHES = f"""g as (select doc_id, i, hash(substring(text, i::bigint, {spans.LEAST})) as h
+  from (select doc_id, text, unnest(range(1, length(text) - {spans.LEAST} + 2)) as i from documents where length(text) >= {spans.LEAST}))"""
+
+ORACLES: dict[str, str] = {
+    # Every pair of vectors.
+    "p1_found": """
+with v as (select distinct vec_id, list_transform(embedding, lambda x: x::double) as e from opening_vectors where embedding is not null and len(embedding) = 64),
+u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) as e from v where list_inner_product(e, e) > 0),
+s as (select a.vec_id as a, b.vec_id as b, round(list_inner_product(a.e, b.e), 6) as s from u a join u b on a.vec_id <> b.vec_id),
+n as (select a, b from s qualify row_number() over (partition by a order by s desc, b) <= 10)
+select distinct least(a, b) as vec_id_a, greatest(a, b) as vec_id_b from n""",
+    # Every stretch of every text.
+    "p9_found": f"""
+with {_STRETCHES}, d as (select distinct doc_id, h from g)
+select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from d a join d b on a.h = b.h and a.doc_id < b.doc_id""",
+    "p9_shared": f"""
+with {_STRETCHES}, c as (select h from g group by h having min(doc_id) <> max(doc_id)),
+s as (select doc_id, i, lead(i) over (partition by doc_id order by i) as nxt from g where h in (select h from c)),
+t as (select doc_id, sum(least(coalesce(nxt - i, {spans.LEAST}), {spans.LEAST})) as shared from s group by 1),
+k as (select doc_id, min(doc_id) over (partition by text) as class_id from documents where length(text) >= {spans.LEAST})
+select d.doc_id, coalesce(k.class_id, d.doc_id) as class_id, coalesce(length(d.text), 0) as n_chars, coalesce(t.shared, 0)::bigint as shared_chars,
+  case when length(d.text) > 0 then round(coalesce(t.shared, 0)::double / length(d.text), 6) else 0.0 end::double as share
+from documents d left join k on d.doc_id = k.doc_id left join t on d.doc_id = t.doc_id""",
+}
