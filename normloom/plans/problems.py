@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from normloom.functions.text import WHITE
 from normloom.operators import history, orphans, snapshots
 from normloom.runtime import table
 
@@ -46,7 +47,29 @@ o as (
   from j where present = 0)
 """
 
+
+
+def _canonical(c: str) -> str:
+    """References resolved once, NFC, without white space."""
+    parts = f"regexp_extract_all(coalesce({c}, ''), '&[#a-zA-Z0-9]{{1,10}};|[^&]+|&')"
+    text = (
+        "lambda p: case when regexp_full_match(p, '&#[0-9]+;') then chr(p[3:-2]::int) when regexp_full_match(p, '&#[xX][0-9a-fA-F]+;') then chr(('0x' || p[4:-2])::int) "
+        "when p = '&amp;' then '&' when p = '&lt;' then '<' when p = '&gt;' then '>' when p = '&quot;' then chr(34) when p = '&apos;' then chr(39) else p end"
+    )
+    return f"regexp_replace(nfc_normalize(array_to_string(list_transform({parts}, {text}), '')), '[{WHITE}]+', '', 'g')"
+
+
 ORACLES = {
+    "p2_found": f"""
+with w as (
+  select snapshot_no, dok_nr, {_canonical("enbez")} as e, {_canonical("text_xml")} as t from norm_snapshots where snapshot_no is not null and dok_nr is not null
+  qualify row_number() over (partition by snapshot_no, dok_nr order by loaded_at desc nulls last) = 1),
+s as (select snapshot_no as later, lag(snapshot_no) over (order by snapshot_no) as earlier from (select distinct snapshot_no from w)),
+a as (select s.later, w.* from s join w on w.snapshot_no = s.earlier),
+b as (select s.later, w.* from s join w on w.snapshot_no = s.later where s.earlier is not null)
+select coalesce(a.later, b.later) as snapshot_no, coalesce(a.dok_nr, b.dok_nr) as dok_nr,
+  case when a.dok_nr is null then 'added' when b.dok_nr is null then 'removed' else 'changed' end as change
+from a full join b on a.later = b.later and a.dok_nr = b.dok_nr where a.dok_nr is null or b.dok_nr is null or a.e <> b.e or a.t <> b.t""",
     "p3_found": r"""
 with o as (
   select node_id, observed_at, op,
