@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normloom.functions.text import block_abbr, empty_to_null, main_group, norm_abbr, norm_title, strip_tags, strip_white
+from normloom.functions.text import WHITE, block_abbr, empty_to_null, main_group, norm_abbr, norm_title, strip_tags, strip_white
 from normloom.operators.graph import first_per_key
 
 #: Shortest keys of titles and of abbreviations; characters of a block without a citation date; of an opening text.
@@ -75,10 +75,22 @@ def opening_text(norms: Column, most: int = OPENING_CHARS) -> Column:
 
 
 def opening_texts(norms: DataFrame, keys: list[str], most: int = OPENING_CHARS) -> DataFrame:
-    """(keys, opening_text) from rows of norms with norm_pos and text_xml, by partial aggregation."""
-    rows = norms.select(*keys, "norm_pos", strip_tags(F.col("text_xml")).alias("t")).filter("t != ''")
-    first = rows.groupBy(*keys).agg(F.min(F.struct("norm_pos", F.substring("t", 1, most).alias("t"))).alias("r"))
-    return first.select(*keys, F.col("r.t").alias("opening_text"))
+    """(keys, opening_text) from rows of norms with norm_pos and text_xml.
+
+    First the places alone are aggregated, in a hash table of numbers; only the texts that stand there are
+    stripped and compared, so that no text is sorted or shuffled in vain.  A null place comes first, null keys
+    are a group of their own; of several texts at one place the smallest counts.
+    """
+    seen = F.regexp_replace("text_xml", "<[^>]+>", "").rlike(f"[^{WHITE}]")
+    place = F.coalesce(F.col("norm_pos").cast("long"), F.lit(-(1 << 40)))
+    rows = norms.select(*keys, place.alias("_p"), "text_xml").filter(seen)
+    first = rows.groupBy(*keys).agg(F.min("_p").alias("_f"))
+    left, right = rows.alias("l"), first.alias("r")
+    same = F.col("l._p") == F.col("r._f")
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    there = left.join(right, same).select("l.*").distinct()
+    return there.groupBy(*keys).agg(F.min(F.substring(strip_tags(F.col("text_xml")), 1, most)).alias("opening_text"))
 
 
 def classify(laws: DataFrame, codes: DataFrame) -> DataFrame:

@@ -65,3 +65,9 @@ def test_pages(spark):
     links = spark.createDataFrame([("r", "1", "a", "12"), ("a", "12", "b", "123"), ("b", "123", "r", "1"), ("b", "123", "c", "99"), ("q", "5", "s", "51"), ("b", "123", "d", "123x"), ("b", None, "e", "1234")], "parent string, parent_code string, child string, child_code string")
     got = taxonomy.reached_pages(links, spark.createDataFrame([("r",)], "path string"))
     assert {r["path"] for r in got.collect()} == {"r", "a", "b"}
+
+
+def test_opening_texts_of_rows(spark):
+    rows = [("a", 2, "<P>zwei</P>"), ("a", 1, "<P> \xa0</P>"), ("a", 1, None), ("a", 2, "<B>anders</B>"), ("b", 1, ""), (None, 3, "ohne Schlüssel"), ("c", 5, "<>"), ("c", None, "zuerst"), ("d", 1, "<a <b> x")]
+    got = {r["slug"]: r["opening_text"] for r in taxonomy.opening_texts(spark.createDataFrame(rows + rows[:2], "slug string, norm_pos int, text_xml string"), ["slug"], 5).collect()}
+    assert got == {"a": "ander", None: "ohne ", "c": "zuers", "d": "x"}
