@@ -104,7 +104,8 @@ def short_desc(c: Column, most: int = 200) -> Column:
     """At most ``most`` characters, cut at the last word boundary; empty gives null."""
     text = strip_white(c)
     head = F.substring(text, 1, most)
-    cut = F.regexp_replace(F.regexp_replace(head, r" [^ ]*\z", ""), f"[{WHITE}]+\\z", "")
+    # Without a blank the hard cut stays as it is.
+    cut = F.when(F.contains(head, F.lit(" ")), F.regexp_replace(F.regexp_replace(head, r" [^ ]*\z", ""), f"[{WHITE}]+\\z", "")).otherwise(head)
     return empty_to_null(F.when((F.length(text) > most) & F.lit(most != 0), cut).otherwise(text))
 
 

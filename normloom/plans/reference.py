@@ -111,7 +111,8 @@ def _id(c: str) -> str:
 
 def _desc(c: str, n: int) -> str:
     t = _strip(c)
-    return f"nullif(case when length({t}) > {n} then {_strip(f"regexp_replace(left({t}, {n}), ' [^ ]*$', '')")} else {t} end, '')"
+    cut = _strip(f"regexp_replace(left({t}, {n}), ' [^ ]*$', '')")
+    return f"nullif(case when length({t}) > {n} and contains(left({t}, {n}), ' ') then {cut} when length({t}) > {n} then left({t}, {n}) else {t} end, '')"
 
 
 _LAWS = "laws as (select distinct * from laws_classified)"

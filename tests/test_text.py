@@ -61,7 +61,12 @@ def _short(s, most):
     return (head.rsplit(" ", 1)[0].rstrip() if " " in head else head) or None
 
 
-@settings(max_examples=5, deadline=None)
+def test_hard_cut(spark):
+    values = ["aaaaaaa\xa0a", "aaaaaaaaaa", "aaaaaa  bb", "aaa\xa0 bbbb", " " * 20, None]
+    assert _apply(spark, values, lambda c: T.short_desc(c, 8)) == ["aaaaaaa\xa0", "a" * 8, "aaaaaa", "aaa", None, None]
+
+
+@settings(max_examples=10, deadline=None, derandomize=True)
 @given(st.lists(st.text(alphabet="ab \xa0ü", max_size=30), min_size=1, max_size=40))
 def test_short_desc(spark, values):
     assert _apply(spark, values, lambda c: T.short_desc(c, 8)) == [_short(v, 8) for v in values]
