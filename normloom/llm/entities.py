@@ -8,9 +8,10 @@ window, so equal keys of any number make no large group.  Weighted agreements
 of title, abbreviation, code and date add up to a score; what reaches the
 threshold is a candidate.  Register entries of one act are then taken together,
 and the groups are assigned to laws one to one so that the total confidence is
-greatest: exactly (Hungarian method) within every connected group of
-candidates up to LARGEST_EXACT, by repeated choice of mutually best candidates
-beyond, to which further entries with the same date and ordinal are added.
+greatest, exactly (shortest augmenting paths) within every connected group of
+candidates.  Groups up to LARGEST_EXACT are many and taken in sets; in larger
+ones the entries of an act are found by joins, and one task assigns a group
+from three numbers for each candidate.  The result is the same either way.
 
 Defined results: missing fields neither speak for nor against a match; records
 without title and abbreviation match nothing; of repeated rows one counts; an
@@ -26,6 +27,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -39,7 +41,7 @@ from normloom.runtime import default_parallelism, written
 
 #: Places apart that records of a line are compared; records of a block; records of a partition of the line.
 WINDOW, BLOCK, PARTITION_ROWS = 12, 4_096, 50_000
-#: Score a candidate needs; days that dates may differ; candidates of a connected group that is assigned exactly.
+#: Score a candidate needs; days that dates may differ; candidates of a connected group that a set's task takes whole.
 THRESHOLD, DAYS, LARGEST_EXACT = 5.0, 40, 400
 #: Connected groups that one task assigns.
 GROUPS_A_TASK = 2_000
@@ -303,7 +305,7 @@ def candidates(laws: DataFrame, register: DataFrame, window: int = WINDOW, thres
 
 
 def hungarian(cost: np.ndarray) -> list[int]:
-    """The column of each row in a square matrix so that the sum is least."""
+    """The column of each row in a square matrix so that the sum is least; the dense method ``best_assignment`` is tested against."""
     n = len(cost)
     u, v, match, way = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int), np.zeros(n + 1, int)
     for row in range(1, n + 1):
@@ -334,16 +336,67 @@ def hungarian(cost: np.ndarray) -> list[int]:
     return out
 
 
+def best_assignment(row: np.ndarray, column: np.ndarray, gain: np.ndarray) -> list[int]:
+    """The column of each row, or -1, so that the total gain (whole numbers above 0) is greatest.
+
+    Ties go to the smaller columns, then to the smaller rows.  All numbers are exact.  Rows are added one after
+    the other by the shortest augmenting path under prices of the columns; free columns have price 0.
+    """
+    n, m = int(row.max(initial=-1)) + 1, int(column.max(initial=-1)) + 1
+    order = np.lexsort((column, row))
+    column, gain = column[order], gain[order]
+    start = np.searchsorted(row[order], np.arange(n + 1)).tolist()
+    by_column, by_row = (m + 1) ** 2, (n + 1) ** 2
+    price, profit, owner, chosen = [0] * m, [0] * n, [-1] * m, [-1] * n
+
+    def offers(i: int) -> list[tuple[int, int]]:
+        c, g = column[start[i] : start[i + 1]].tolist(), gain[start[i] : start[i + 1]].tolist()
+        return [(j, (w * by_column - j) * by_row - i - price[j]) for j, w in zip(c, g, strict=True)]
+
+    for first in range(n):
+        profit[first] = max([0, *(x for _, x in offers(first))])
+        rows, reached, least, way = {first: 0}, {}, {}, {}
+        # To leave a row without a column costs its profit.
+        end, drop, heap, i = profit[first], first, [], first
+        while True:
+            for j, x in offers(i):
+                far = rows[i] + profit[i] - x
+                if j not in reached and far < least.get(j, end + 1) and far <= end:
+                    least[j], way[j] = far, i
+                    heappush(heap, (far, j))
+            while heap and (heap[0][1] in reached or heap[0][0] > least[heap[0][1]]):
+                heappop(heap)
+            if not heap or heap[0][0] >= end:
+                break
+            far, j = heappop(heap)
+            reached[j] = far
+            if owner[j] < 0:
+                end, drop = far, -1
+                break
+            i = owner[j]
+            rows[i] = far
+            if far + profit[i] < end:
+                end, drop = far + profit[i], i
+        for k, far in rows.items():
+            profit[k] -= end - far
+        for k, far in reached.items():
+            price[k] += end - far
+        if drop >= 0:  # the row gives its column up
+            j, chosen[drop] = chosen[drop], -1
+        while j >= 0:
+            i = way[j]
+            owner[j], chosen[i], j = i, j, chosen[i]
+    return chosen
+
+
 def same_act(a: dict, b: dict) -> bool:
     """Whether two register entries are one act."""
     return score(a, b) >= THRESHOLD + 1
 
 
-def assign(pairs: list[dict]) -> list[tuple[int, int, float]]:
-    """The best assignment of register groups to laws among connected candidates (rows of ``candidates``)."""
-    entries = {p["reg_id"]: p for p in sorted(pairs, key=lambda p: p["reg_id"])}
-    regs = list(entries)
-    group = list(range(len(regs)))
+def _joined(n: int, alike) -> list[int]:
+    """The least member of each one's group, where ``alike(i, j)`` joins i and an earlier j."""
+    group = list(range(n))
 
     def root(i: int) -> int:
         while group[i] != i:
@@ -351,32 +404,43 @@ def assign(pairs: list[dict]) -> list[tuple[int, int, float]]:
             i = group[i]
         return i
 
-    laws_of = defaultdict(set)
-    for p in pairs:
-        laws_of[p["reg_id"]].add(p["law_id"])
-    for i in range(len(regs)):
+    for i in range(n):
         for j in range(i):
-            if root(i) != root(j) and laws_of[regs[i]] & laws_of[regs[j]] and same_act(entries[regs[i]], entries[regs[j]]):
-                group[root(i)] = root(j)
-    name = {reg: root(i) for i, reg in enumerate(regs)}
-    days = {p["law_id"]: p["law_day"] for p in pairs}
+            a, b = root(i), root(j)
+            if a != b and alike(i, j):
+                group[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+def _laws_of_acts(cells: list[tuple[int, int, int | None, float]]) -> dict[int, int]:
+    """The law of each act, of connected (act, law_id, law_day, points)."""
+    days = {law: day for _, law, day, _ in cells}
     laws = sorted(days, key=lambda x: (10**7 if days[x] is None else days[x], x))
-    groups = sorted(set(name.values()))
-    at = {law: i for i, law in enumerate(laws)}, {g: i for i, g in enumerate(groups)}
-    n = max(len(laws), len(groups))
-    gain, points = np.zeros((n, n)), {}
+    acts = sorted({c[0] for c in cells})
+    law_at, act_at = {x: i for i, x in enumerate(laws)}, {x: i for i, x in enumerate(acts)}
+    best = {}
+    for act, law, _, points in cells:
+        cell = act_at[act], law_at[law]
+        best[cell] = max(best.get(cell, points), points)
+    # Confidence has six decimals and points are halves, so millionths are whole.  Ties go to the older law.
+    gain = [round(1e6 * confidence(x) + 100 * x) for x in best.values()]
+    at = np.array(list(best), int).reshape(-1, 2)
+    chosen = best_assignment(at[:, 0], at[:, 1], np.array(gain, int))
+    return {act: laws[j] for act, j in zip(acts, chosen, strict=True) if j >= 0}
+
+
+def assign(pairs: list[dict]) -> list[tuple[int, int, float]]:
+    """The best assignment of register groups to laws among connected candidates (rows of ``candidates``)."""
+    entries = {p["reg_id"]: p for p in sorted(pairs, key=lambda p: p["reg_id"])}
+    regs, laws_of = list(entries), defaultdict(set)
     for p in pairs:
-        points[p["law_id"], p["reg_id"]] = p["points"]
-        cell = at[1][name[p["reg_id"]]], at[0][p["law_id"]]
-        # Ties go to the older law.
-        gain[cell] = max(gain[cell], confidence(p["points"]) + p["points"] * 1e-4 - cell[1] * 1e-9)
-    column = hungarian(-gain)
-    out = []
-    for reg in regs:
-        law_at = column[at[1][name[reg]]]
-        if law_at < len(laws) and (laws[law_at], reg) in points:
-            out.append((laws[law_at], reg, confidence(points[laws[law_at], reg])))
-    return out
+        laws_of[p["reg_id"]].add(p["law_id"])
+    joined = _joined(len(regs), lambda i, j: bool(laws_of[regs[i]] & laws_of[regs[j]]) and same_act(entries[regs[i]], entries[regs[j]]))
+    act = {reg: regs[k] for reg, k in zip(regs, joined, strict=True)}
+    law = _laws_of_acts([(act[p["reg_id"]], p["law_id"], p["law_day"], p["points"]) for p in pairs])
+    points = {(p["law_id"], p["reg_id"]): p["points"] for p in pairs}
+    found = [(law.get(act[reg]), reg) for reg in regs]
+    return [(*x, confidence(points[x])) for x in found if x in points]
 
 
 def _components(pairs: DataFrame) -> DataFrame:
@@ -395,24 +459,50 @@ def _components(pairs: DataFrame) -> DataFrame:
         names = fresh
 
 
-def _mutual(pairs: DataFrame) -> DataFrame:
-    """Pairs of groups too large for the exact way: again and again those that are each other's best.
+_ACT = (*(f for f in FIELDS if f != "body"), "day", "year")
 
-    A further entry of an act that has one is recognised by its date and ordinal and goes to the same law.
-    """
-    whole = written(pairs.select("law_id", "reg_id", "points", "day", "ordinal"), "whole")
-    left, out = whole.select("law_id", "reg_id", "points"), whole.select("law_id", "reg_id", "points").limit(0)
-    while not left.isEmpty():
-        of_law = left.groupBy("law_id").agg(F.max(F.struct("points", (-F.col("reg_id")).alias("r"))).alias("b")).select("law_id", (-F.col("b.r")).alias("reg_id"))
-        of_reg = left.groupBy("reg_id").agg(F.max(F.struct("points", (-F.col("law_id")).alias("l"))).alias("b")).select((-F.col("b.l")).alias("law_id"), "reg_id")
-        chosen = written(left.join(of_law, ["law_id", "reg_id"], "left_semi").join(of_reg, ["law_id", "reg_id"], "left_semi"), "chosen")
-        out = out.unionByName(chosen)
-        left = written(left.join(chosen.select("law_id"), "law_id", "left_anti").join(chosen.select("reg_id"), "reg_id", "left_anti"), "left")
-    out = written(out, "mutual")
-    first = whole.join(out.select("law_id", "reg_id"), ["law_id", "reg_id"], "left_semi").select("law_id", F.col("day").alias("d0"), F.col("ordinal").alias("o0"))
-    more = whole.join(out.select("reg_id"), "reg_id", "left_anti").join(first, "law_id").filter("day = d0 and ordinal = o0")
-    best = more.groupBy("reg_id").agg(F.max(F.struct("points", (-F.col("law_id")).alias("l"))).alias("b"))
-    return out.unionByName(best.select((-F.col("b.l")).alias("law_id"), "reg_id", F.col("b.points").alias("points")))
+
+def _rows(frame: pd.DataFrame) -> list[dict]:
+    return frame.astype(object).where(frame.notna(), None).to_dict("records")
+
+
+def _acts(pairs: DataFrame, sets: int) -> DataFrame:
+    """(reg_id, act): register entries of one act by the rule of ``assign``, named by the least; joined law by law first."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out, alike = [], lru_cache(1 << 18)(lambda a, b: same_act(dict(zip(_ACT, a, strict=True)), dict(zip(_ACT, b, strict=True))))
+        of_law = defaultdict(lambda: defaultdict(list))
+        for r in _rows(frame):
+            of_law[r["law_id"]][tuple(r[f] for f in _ACT)].append(r["reg_id"])
+        for kinds in of_law.values():
+            # Entries that say the same are compared once.
+            kind = sorted(kinds, key=lambda k: min(kinds[k]))
+            groups = defaultdict(list)
+            for k, name in enumerate(_joined(len(kind), lambda i, j: alike(kind[i], kind[j]))):
+                groups[name].append(k)
+            for members in groups.values():
+                regs = [reg for k in members for reg in kinds[kind[k]]]
+                one = len(members) > 1 or alike(kind[members[0]], kind[members[0]])
+                out += [(min(regs) if one else reg, reg) for reg in regs]
+        return pd.DataFrame(out, columns=["law_id", "reg_id"])
+
+    stars = pairs.select("law_id", "reg_id", *_ACT).groupBy(F.pmod(F.xxhash64("law_id"), F.lit(sets)).alias("set")).applyInPandas(run, "law_id long, reg_id long")
+    # An entry that leads a star is a member of it, so the stars' names connect them.
+    return _components(stars.distinct()).groupBy("reg_id").agg(F.min("group").alias("act"))
+
+
+def _large(pairs: DataFrame, sets: int) -> DataFrame:
+    """(law_id, reg_id, points): what ``assign`` chooses, for connected groups of any size."""
+    acts = written(_acts(pairs, sets), "acts")
+    named = written(pairs.join(acts, "reg_id").select("group", "law_id", "reg_id", "act", "law_day", "points"), "named")
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        cells = [(r["act"], r["law_id"], r["law_day"], r["points"]) for r in _rows(frame)]
+        return pd.DataFrame(list(_laws_of_acts(cells).items()), columns=["act", "law_id"])
+
+    cells = named.groupBy("group", "act", "law_id").agg(F.max("law_day").alias("law_day"), F.max("points").alias("points"))
+    chosen = cells.groupBy("group").applyInPandas(solve, "act long, law_id long")
+    return named.join(chosen, ["act", "law_id"]).select("law_id", "reg_id", "points")
 
 
 def matches(laws: DataFrame, register: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, largest: int = LARGEST_EXACT, block: int = BLOCK) -> DataFrame:
@@ -430,8 +520,7 @@ def matches(laws: DataFrame, register: DataFrame, window: int = WINDOW, threshol
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         named = defaultdict(list)
-        plain = frame.astype(object).where(frame.notna(), None)
-        for row in plain.to_dict("records"):
+        for row in _rows(frame):
             named[row["group"]].append({**row, "body": ""})
         return pd.DataFrame([x for key in sorted(named) for x in assign(named[key])], columns=["law_id", "reg_id", "confidence"])
 
@@ -442,7 +531,7 @@ def matches(laws: DataFrame, register: DataFrame, window: int = WINDOW, threshol
     out = alone.unionByName(exact)
     big = sized.filter(F.col("n") > largest)
     if not big.isEmpty():
-        out = out.unionByName(_mutual(big).select("law_id", "reg_id", F.round(sure, 6).alias("confidence")))
+        out = out.unionByName(_large(big, max(sets, big.count() // PARTITION_ROWS)).select("law_id", "reg_id", F.round(sure, 6).alias("confidence")))
     return out
 
 

@@ -62,6 +62,34 @@ def test_matches(spark, block, largest):
     assert len({r["reg_id"] for r in got}) == len(got)
 
 
+def test_best_assignment():
+    rng = np.random.default_rng(2)
+    for _ in range(150):
+        n, m = rng.integers(1, 8, 2)
+        gain = rng.integers(1, 6, (n, m)) * (rng.random((n, m)) < 0.6)
+        row, column = np.nonzero(gain)
+        got = E.best_assignment(row, column, gain[row, column])
+        used = [j for j in got if j >= 0]
+        assert len(set(used)) == len(used) and all(gain[i, j] for i, j in enumerate(got) if j >= 0)
+        square = np.zeros((max(n, m),) * 2)
+        square[:n, :m] = gain
+        assert sum(gain[i, j] for i, j in enumerate(got) if j >= 0) == sum(square[i, j] for i, j in enumerate(E.hungarian(-square)))
+    assert E.best_assignment(np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1]), np.array([5, 5, 5, 5])) in ([0, 1], [1, 0])
+    assert E.best_assignment(np.array([0, 1]), np.array([0, 0]), np.array([5, 5])) == [0, -1]
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_size_of_groups_does_not_matter(spark, seed):
+    laws, register, _ = acts(seed, 150)
+    # Undated and year-only second entries of acts that share their title.
+    title = "Gesetz über die private Kalkschule im Torfwesen"
+    laws += [(500 + i, title, f"KalG {1950 + i}", None, f"{1950 + i}-01-01") for i in range(30)]
+    register += [(50_000 + 10 * i + k, title, abbr, None, date) for i in range(30) for k, (abbr, date) in enumerate([(f"KalG {1950 + i}", None), (None, str(1950 + i)), (f"KalG {1950 + i}", f"{1950 + i}-01-01")])]
+    a, b = spark.createDataFrame(laws, SHAPE), spark.createDataFrame(register, SHAPE)
+    small, large = ({tuple(r) for r in E.matches(a, b, largest=n).collect()} for n in (10**9, 0))
+    assert small == large and len(small) > 150
+
+
 def test_hot_title(spark):
     laws = [(i, "Gesetz über die private Kalkschule im Torfwesen", f"KalG {1900 + i}", None, f"{1900 + i}-01-01") for i in range(120)]
     register = [(1000 + i, "Gesetz über die private Kalkschule im Torfwesen", None, None, f"{1900 + i}-01-01") for i in range(120)]
