@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from normloom.functions import text as T
 from normloom.operators import citations, color, graph, layout, resolve, search, taxonomy, validate, vectors
-from normloom.runtime import table
+from normloom.runtime import table, written
 from normloom.sources import laws as law_source
 from normloom.sources.toc import toc_of
 
@@ -38,6 +38,16 @@ def norms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "norm_snapshots").distinct()
 
 
+def latest_norms(spark: SparkSession, d: str) -> DataFrame:
+    """(slug, norms): the norms of every law in the latest delivery, in order; of several rows of a norm the one loaded last counts."""
+    rows = table(spark, d, "norm_snapshots").filter(F.col("dok_nr").isNotNull() & F.col("slug").isNotNull())
+    last = rows.join(F.broadcast(rows.agg(F.max("snapshot_no").alias("snapshot_no"))), "snapshot_no")
+    one = last.groupBy("dok_nr").agg(F.max(F.struct("loaded_at", "slug", "norm_pos", "enbez", "titel", "text_xml")).alias("r"))
+    norm = F.struct("r.norm_pos", "dok_nr", "r.enbez", "r.titel", "r.text_xml")
+    listed = one.groupBy(F.col("r.slug").alias("slug")).agg(F.array_sort(F.collect_list(norm)).alias("norms"))
+    return listed.select("slug", F.transform("norms", lambda n: F.struct(n["enbez"], n["titel"], n["text_xml"])).alias("norms"))
+
+
 def nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.latest_nodes(table(spark, d, "graph_nodes"))
 
@@ -595,13 +605,14 @@ def law_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def full_build(spark: SparkSession, d: str) -> DataFrame:
-    """The whole build over the laws of the test tables, each with its opening text as its one norm."""
+    """The whole build over the laws of the test tables, each with its norms of the latest delivery; where that has none, with its opening text."""
     from normloom.plans.pipeline import build
 
     rows = laws(spark, d)
     one = F.array(F.struct(F.lit("§ 1").alias("enbez"), F.lit(None).cast("string").alias("titel"), F.col("opening_text").alias("text_xml")))
-    parsed = rows.select("slug", "jurabk", "amtabk", "ausfertigung_datum", "langue", F.lit(1).alias("norm_count"), F.array().cast("array<string>").alias("parse_warnings"), one.alias("norms"))
+    whole = rows.join(latest_norms(spark, d), "slug", "left").withColumn("norms", F.coalesce("norms", one))
+    parsed = written(whole.select("slug", "jurabk", "amtabk", "ausfertigung_datum", "langue", F.size("norms").alias("norm_count"), F.array().cast("array<string>").alias("parse_warnings"), "norms"), "parsed")
     toc = rows.select("slug", F.col("law_id").alias("ord"), F.col("langue").alias("title"))
     vectors_of = table(spark, d, "opening_vectors").filter("embedding is not null and size(embedding) = 64").select("slug", "embedding").dropDuplicates(["slug"])
-    out = build(parsed, toc, entries(spark, d), vectors_of, iterations=10, mode="frozen")
+    out = build(parsed, toc, entries(spark, d), vectors_of)
     return out.nodes.select("id", "title", "meta_cluster", "color", "degree", "size", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

@@ -26,3 +26,32 @@ def test_full_build(spark):
 
     rows = full_build(spark, DATA).collect()
     assert rows and all(r["color"].startswith("#") and r["x"] == r["x"] for r in rows)
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="test tables are not here")
+def test_full_build_takes_all_norms(spark, monkeypatch):
+    from normloom.plans import pipeline
+    from normloom.plans.reference import full_build
+
+    seen = {}
+
+    def build(laws, *rest, **options):
+        seen.update(laws=laws, options=options)
+        raise InterruptedError
+
+    monkeypatch.setattr(pipeline, "build", build)
+    with pytest.raises(InterruptedError):
+        full_build(spark, DATA)
+    rows, known = seen["laws"].collect(), {r["slug"] for r in spark.read.parquet(f"{DATA}/laws_classified.parquet").collect()}
+    last = spark.read.parquet(f"{DATA}/norm_snapshots.parquet").filter("snapshot_no = 4 and dok_nr is not null").collect()
+    newest = {}
+    for r in sorted(last, key=lambda r: r["loaded_at"]):
+        newest[r["dok_nr"]] = r
+    expected = {}
+    for r in newest.values():
+        if r["slug"] in known:
+            expected.setdefault(r["slug"], []).append(r["text_xml"] or "")
+    got = {r["slug"]: [n["text_xml"] or "" for n in r["norms"]] for r in rows}
+    assert not seen["options"] and set(got) == known and max(map(len, expected.values())) > 1
+    assert all(sorted(got[slug]) == sorted(texts) for slug, texts in expected.items())
+    assert all(r["norm_count"] == len(r["norms"]) for r in rows) and all(len(got[slug]) == 1 for slug in known - set(expected))
