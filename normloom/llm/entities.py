@@ -4,7 +4,9 @@ Problem 5.  Both sources are normalised to the same fields.  For each of
 several composite sort keys all records are sorted into one line, and records
 of different sources less than WINDOW places apart are compared (sorted
 neighbourhood).  The line is cut into blocks of fixed length that overlap by a
-window, so equal keys of any number make no large group.  Weighted agreements
+window, so equal keys of any number make no large group.  Besides, records with
+an equal title body, abbreviation, code or day are all compared, in tiles of a
+block by a block, so none of these pairs depends on the window.  Weighted agreements
 of title, abbreviation, code and date add up to a score; what reaches the
 threshold is a candidate.  Register entries of one act are then taken together,
 and the groups are assigned to laws one to one so that the total confidence is
@@ -294,14 +296,51 @@ def _compare(window: int, threshold: float):
     return run
 
 
+def _runs(prepared_records: DataFrame, block: int) -> DataFrame:
+    """Records whose title body, abbreviation, code or day stands on both sides, in tiles that show every such pair."""
+    fields = [F.when(there, F.concat(F.lit(c), F.lit(" "), F.col(c).cast("string"))) for c, there in (*((c, F.col(c) != "") for c in ("body", "abbr", "code")), ("day", F.col("day").isNotNull()))]
+    rows = prepared_records.filter(F.size("keys") > 0).withColumn("run", F.explode(F.array_compact(F.array(*fields)))).drop("keys", "mark", "body")
+    sizes = rows.groupBy("run").agg(F.sum(1 - F.col("side")).alias("nl"), F.sum("side").alias("nr")).filter("nl > 0 and nr > 0")
+    law = F.col("side") == 0
+    tiles = [F.ceil(F.col(c) / block) for c in ("nl", "nr")]
+    placed = rows.join(sizes, "run").withColumn("own", F.pmod(F.xxhash64("id"), F.when(law, tiles[0]).otherwise(tiles[1])))
+    shown = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(law, tiles[1]).otherwise(tiles[0]) - 1)))
+    tile = F.xxhash64("run", F.when(law, F.col("own")).otherwise(F.col("other")), F.when(law, F.col("other")).otherwise(F.col("own")))
+    return shown.withColumn("tile", tile).drop("run", "nl", "nr", "own", "other")
+
+
+def _compare_tiles(threshold: float):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.reset_index(drop=True)
+        side, key = frame["side"].to_numpy(), frame["id"].to_numpy()
+        year = frame["year"].astype("Float64").to_numpy(float, na_value=np.nan)
+        rows, seen, out = _records_of(frame), set(), []
+        for at in frame.groupby("tile").indices.values():
+            regs = at[side[at] == 1]
+            for a in at[side[at] == 0].tolist():
+                # More than a year apart nothing reaches the threshold.
+                for b in regs[~(np.abs(year[regs] - year[a]) > 1)].tolist():
+                    if (key[a], key[b]) in seen:
+                        continue
+                    seen.add((key[a], key[b]))
+                    points = score(rows[a], rows[b])
+                    if points >= threshold:
+                        r = rows[b]
+                        out.append((key[a], key[b], points, rows[a]["day"], r["title"], r["ordinal"], r["abbr"], r["code"], r["day"], r["year"]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _PAIR.split(", ")]).astype({"law_day": "Int32", "day": "Int32", "year": "Int32"})
+
+    return run
+
+
 def candidates(laws: DataFrame, register: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Pairs that reach the threshold within a window of some key."""
+    """Pairs that reach the threshold within a window of some key, or with an equal field."""
     both = written(records(laws, 0).unionByName(records(register, 1)), "records")
     line = _line(both, window, block)
     # Few bytes, much work: as many tasks as there are cores, and more as the line grows.
     parts = max(2 * default_parallelism(laws.sparkSession), both.count() // block)
     compared = line.repartition(parts, "block").groupBy("block").applyInPandas(_compare(window, threshold), _PAIR)
-    return compared.dropDuplicates(["law_id", "reg_id"])
+    runs = _runs(both, block).groupBy(F.pmod("tile", F.lit(parts)).alias("set")).applyInPandas(_compare_tiles(threshold), _PAIR)
+    return compared.unionByName(runs).dropDuplicates(["law_id", "reg_id"])
 
 
 def hungarian(cost: np.ndarray) -> list[int]:

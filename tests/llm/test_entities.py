@@ -97,6 +97,16 @@ def test_hot_title(spark):
     assert got == {(i, 1000 + i) for i in range(120)}
 
 
+@pytest.mark.parametrize("date", [None, "1987"])
+def test_hot_title_without_days(spark, date):
+    rng = random.Random(5)
+    names = ["".join(rng.choices("abcdefghklmnoprstuw", k=12)) for _ in range(60)]
+    laws = [(i, "Gesetz über die private Kalkschule im Torfwesen", name, None, date) for i, name in enumerate(names)]
+    register = [(1000 + i, "Gesetz über die private Kalkschule im Torfwesen", f"{'xyz'[i % 3]}{name[1:]}", None, date) for i, name in enumerate(names)]
+    got = {(r["law_id"], r["reg_id"]) for r in E.candidates(spark.createDataFrame(laws, SHAPE), spark.createDataFrame(register, SHAPE), block=25).collect()}
+    assert {(i, 1000 + i) for i in range(60)} <= got
+
+
 def test_empty_and_null(spark):
     laws, register, _ = acts(2, 20)
     a, b = spark.createDataFrame(laws, SHAPE), spark.createDataFrame(register, SHAPE)
