@@ -15,18 +15,37 @@ from pyspark.sql import functions as F
 WHITE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
-def _accent_map() -> tuple[str, str]:
-    """Latin letters U+00C0..U+024F whose decomposition starts with another letter."""
-    source, target = [], []
-    for code in range(0xC0, 0x250):
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition gives ASCII: one for one, and those that give several."""
+    source, target, several = [], [], {}
+    for code in range(0x80, 0x1FC00):
         base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code):
+        if base == chr(code) or not any(c.isascii() and not c.isspace() for c in base) and not 0xC0 <= code < 0x250:
+            continue
+        if len(base) == 1:
             source.append(chr(code))
             target.append(base)
-    return "".join(source), "".join(target)
+        elif base:
+            several[chr(code)] = base
+    return "".join(source), "".join(target), several
 
 
-_ACCENTED, _PLAIN = _accent_map()
+_COMPOSED, _BASE, _SEVERAL = _decompositions()
+
+
+def _ranges(characters: list[str], gap: int = 256) -> str:
+    """A character class of few ranges that holds all of ``characters``."""
+    codes, out = sorted(map(ord, characters)), []
+    for code in codes:
+        if out and code - out[-1][1] <= gap:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+#: Texts without any of these hold no character of ``_SEVERAL``; a few ranges are tested faster than hundreds of characters.
+_MAYBE_SEVERAL = _ranges([c for c in _SEVERAL if ord(c) < 0x2000], 16)[:-1] + _ranges([c for c in _SEVERAL if ord(c) >= 0x2000])[1:]
 
 
 def strip_white(c: Column) -> Column:
@@ -39,8 +58,15 @@ def empty_to_null(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    """Latin letters without their marks; combining marks U+0300..U+036F go, too."""
-    return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), r"[\x{300}-\x{36f}]", "")
+    """Letters and digits as their plain ASCII ones, by compatibility decomposition; combining marks go.
+
+    Ligatures, fractions, roman numerals and other characters that give several are looked up one by one,
+    in texts that hold any.  Characters without ASCII in their decomposition stay.
+    """
+    known = F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in _SEVERAL.items())), F.lit("\n"), F.lit("\t"))
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+    single = F.when(c.rlike(_MAYBE_SEVERAL), spelled).otherwise(c)
+    return F.regexp_replace(F.translate(single, _COMPOSED, _BASE), r"[\x{300}-\x{36f}]", "")
 
 
 def strip_tags(c: Column) -> Column:
@@ -89,11 +115,11 @@ def main_group(code: Column) -> Column:
 
 
 def norm_id(enbez: Column, idx: Column) -> Column:
-    """Anchor id of a norm: ``§ 1`` gives ``1``, ``Art. 3`` gives ``art-3``, else ``norm-<idx>``."""
+    """Anchor id of a norm: ``§ 1`` gives ``1``, ``Art. 3`` and ``Art.3`` give ``art-3``, nothing gives ``norm-<idx>``."""
     fallback = F.concat(F.lit("norm-"), idx.cast("string"))
     s = strip_white(enbez)
     s = F.regexp_replace(s, f"^§[{WHITE}]*", "")
-    s = F.regexp_replace(s, f"(?i)^art\\.?[{WHITE}]+", "art-")
+    s = F.regexp_replace(s, f"^Art\\.[{WHITE}]*", "art-")
     s = F.regexp_replace(F.lower(s), f"[{WHITE}]+", "-")
     s = F.regexp_replace(s, r"(?U)[^\w-]", "")
     s = F.regexp_replace(s, r"^-+|-+\z", "")

@@ -63,14 +63,26 @@ def resolver(resolved: DataFrame) -> DataFrame:
 
 
 def stats(resolved: DataFrame) -> DataFrame:
-    """One row: resolved, unresolved, coverage_pct, unique_edges, resolver_entries."""
-    hit = F.col("target").isNotNull()
-    share = F.when(F.count(F.lit(1)) > 0, F.bround(F.lit(100.0) * F.count_if(hit) / F.count(F.lit(1)), 1)).otherwise(0.0)
-    base = resolved.agg(F.count_if(hit).alias("resolved"), F.count_if(~hit).alias("unresolved"), share.alias("coverage_pct"))
-    n_edges = edges(resolved).agg(F.count(F.lit(1)).alias("unique_edges"))
-    n_spans = resolver(resolved).agg(F.count(F.lit(1)).alias("resolver_entries"))
-    one = F.lit(1).alias("_one")  # each side is a single row
-    return base.select("*", one).join(n_edges.select("*", one), "_one").join(n_spans.select("*", one), "_one").drop("_one")
+    """One row: resolved, unresolved, coverage_pct, unique_edges, resolver_entries.
+
+    Each reference gives a row to count, one for its edge and one for its span; equal ones meet in one
+    aggregation, so ``resolved`` is computed once.
+    """
+    hit, span = F.col("target").isNotNull(), F.lower(strip_white(F.col("span_text")))
+    kinds = F.array_compact(
+        F.array(
+            F.struct(F.when(hit, "hit").otherwise("miss").alias("kind"), F.lit("").alias("a"), F.lit("").alias("b")),
+            F.when(hit & F.col("source").isNotNull(), F.struct(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"))),
+            F.when(hit & (F.coalesce(span, F.lit("")) != ""), F.struct(F.lit("span").alias("kind"), span.alias("a"), F.lit("").alias("b"))),
+        )
+    )
+    counts = resolved.select(F.explode(kinds).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda kind: F.col("k.kind") == kind
+    rows = lambda kind: F.coalesce(F.sum(F.when(of(kind), F.col("n"))), F.lit(0))
+    n = counts.agg(rows("hit").alias("resolved"), rows("miss").alias("unresolved"), F.count_if(of("edge")).alias("unique_edges"), F.count_if(of("span")).alias("resolver_entries"))
+    total = F.col("resolved") + F.col("unresolved")
+    share = F.when(total > 0, F.bround(F.lit(100.0) * F.col("resolved") / total, 1)).otherwise(0.0)
+    return n.select("resolved", "unresolved", share.alias("coverage_pct"), "unique_edges", "resolver_entries")
 
 
 def top_unresolved(resolved: DataFrame, most: int = 20) -> DataFrame:
@@ -79,9 +91,15 @@ def top_unresolved(resolved: DataFrame, most: int = 20) -> DataFrame:
     return counts.orderBy(F.col("citations").desc(), "book").limit(most)
 
 
-def plain_index(laws: DataFrame) -> DataFrame:
-    """(key, slug): the simpler index by lower-case names without white space, each also with ss for ß; the shortest slug wins."""
-    bare = F.regexp_replace(F.lower("name"), f"[{WHITE}]+", "")
-    names = laws.select("slug", F.explode(F.array("jurabk", "langue")).alias("name")).select("slug", bare.alias("k"))
-    keys = names.select("slug", F.explode(F.array("k", F.replace("k", F.lit("ß"), F.lit("ss")), F.replace("k", F.lit("ss"), F.lit("ß")))).alias("key")).filter("key != ''")
-    return first_per_key(keys.withColumn("n", F.length("slug")), "key", ["n", "slug"], ["slug"])
+def plain_index(toc: DataFrame) -> DataFrame:
+    """(key, slug): the simpler index over ``toc`` (slug, title, ord); of several slugs the shortest wins, then the first.
+
+    Keys are the slug, the title and the title's trailing parenthetical of three characters or more, in lower
+    case without white space, the last two also in the other spelling of ß.  Slugs count before titles.
+    """
+    bare = lambda c: F.regexp_replace(F.lower(c), f"[{WHITE}]+", "")
+    other = lambda k: F.when(F.contains(k, F.lit("ß")), F.replace(k, F.lit("ß"), F.lit("ss"))).otherwise(F.replace(k, F.lit("ss"), F.lit("ß")))
+    title, short = bare(F.col("title")), bare(F.regexp_extract("title", r"\(([^)]{3,})\)\s*$", 1))
+    names = toc.select("slug", "ord", F.array(F.lower("slug"), title, other(title), short, other(short)).alias("names"))
+    keys = names.select("slug", "ord", F.length("slug").alias("n"), F.posexplode("names").alias("at", "key")).filter("key != ''")
+    return first_per_key(keys.withColumn("pass", F.least("at", F.lit(1))), "key", ["n", "pass", "ord", "slug"], ["slug"])

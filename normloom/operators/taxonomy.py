@@ -16,10 +16,8 @@ from normloom.operators.graph import first_per_key
 #: Shortest keys of titles and of abbreviations; characters of a block without a citation date; of an opening text.
 TITLE_KEY, ABBR_KEY, BLOCK_CHARS, OPENING_CHARS = 6, 2, 140, 500
 
-_CODE = r"\d{1,4}-\d+(?:-\d+)?"
-#: A line that begins with a code, up to the next such line or the end.
-ENTRY = rf"(?msd)^({_CODE})\s+(.*?)(?=^{_CODE}\s|\z)"
-#: The numeric date of a citation ends the title.
+# Digits that the parts of a code may have, and the numeric date of a citation, which ends the title.
+CODE_PARTS, FIRST_DIGITS = (2, 3), 4
 CITED = r"vom\s*\d{1,2}\.\s*\d{1,2}\.\s*\d{4}"
 
 
@@ -28,11 +26,44 @@ def block_title(block: Column) -> Column:
     return strip_white(F.when(at > 0, F.substring(block, F.lit(1), at - 1)).otherwise(F.substring(block, 1, BLOCK_CHARS)))
 
 
+def _first_word(line: Column) -> Column:
+    return F.regexp_extract(line, f"^[^{WHITE}]*", 0)
+
+
+def _is_code(word: Column) -> Column:
+    """Two or three numbers joined by hyphens, the first of at most four digits."""
+    parts = F.split(word, "-")
+    digits = F.forall(parts, lambda p: (p != "") & (F.translate(p, "0123456789", "") == ""))
+    return F.size(parts).between(*CODE_PARTS) & digits & (F.length(F.try_element_at(parts, F.lit(1))) <= FIRST_DIGITS)
+
+
 def segment_entries(texts: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep, pos, code, title) for every entry of every text, in order."""
-    codes, blocks = (F.regexp_extract_all(F.col(text), F.lit(ENTRY), F.lit(i)) for i in (1, 2))
-    out = texts.select(*keep, F.posexplode(F.arrays_zip(codes.alias("code"), blocks.alias("block"))).alias("pos", "e"))
-    return out.select(*keep, "pos", "e.code", block_title(F.col("e.block")).alias("title"))
+    """(keep, pos, code, title) for every entry of every text, in order.
+
+    An entry is a line whose first word is a code, with the lines after it up to the next such line.  A code
+    that ends the whole text begins no entry.
+    """
+
+    def folded(lines: Column) -> Column:
+        n = F.size(lines)
+        last = lambda i: F.try_element_at(lines, i)
+        begins = lambda i: _is_code(_first_word(last(i))) & ((i < n) | (F.length(last(i)) > F.length(_first_word(last(i)))))
+        starts = F.filter(F.sequence(F.lit(1), n), begins)
+        # Each start with the one after it.
+        spans = F.arrays_zip(starts.alias("a"), F.slice(F.concat(starts, F.array(n + 1)), F.lit(2), F.size(starts)).alias("b"))
+
+        def entry(s: Column) -> Column:
+            own = F.array_join(F.slice(lines, s["a"], s["b"] - s["a"]), "\n")
+            code = _first_word(last(s["a"]))
+            return F.struct(code.alias("code"), F.substr(own, F.length(code) + 1).alias("block"))
+
+        return F.transform(spans, entry)
+
+    # The lines are bound to a variable once; written out they would be split again for every line.
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    entries = F.element_at(F.transform(F.array(lines), folded), 1)
+    out = texts.select(*keep, F.posexplode(entries).alias("pos", "e"))
+    return out.select(*keep, "pos", "e.code", block_title(F.regexp_replace("e.block", f"^[{WHITE}]+", "")).alias("title"))
 
 
 def distinct_entries(entries: DataFrame) -> DataFrame:
@@ -111,41 +142,59 @@ def field_presence(rows: DataFrame, columns: list[str]) -> DataFrame:
     return out.select("e.field", "e.present", F.expr("case when _n = 0 then 0 else (100 * e.present) div _n end").alias("percent"))
 
 
-# How the pages of a taxonomy mark up a row with code and linked title.
-PAGE_ROW = r'(?s)<td class="fnal">\s*([0-9][0-9\-]*)\s*</td>\s*<td>.*?<a\s+href="([^"]+)"[^>]*class="ltg"[^>]*>(.*?)</a>'
+# The classes that mark the cell of a code and the link of a title on the pages of a taxonomy.
+CODE_CELL, TITLE_LINK = '<td class="fnal">', 'class="ltg"'
 # The references that a title can hold.
 _REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&"))
 
 
 def page_rows(pages: DataFrame, keep: tuple[str, ...] = (), html: str = "html") -> DataFrame:
-    """(keep, pos, code, url, title, main_group) for every law row of taxonomy pages; a trailing parenthetical of the title goes."""
-    found = F.arrays_zip(*[F.regexp_extract_all(F.col(html), F.lit(PAGE_ROW), F.lit(i)).alias(n) for i, n in ((1, "code"), (2, "url"), (3, "title"))])
+    """(keep, pos, code, url, title, main_group) for every law row of taxonomy pages; a trailing parenthetical of the title goes.
+
+    A page is cut at its code cells.  What follows a cell is its row: the cell after it must hold a title link,
+    whose first attribute is its address; rows without one are left out.
+    """
 
     def plain(c: Column) -> Column:
         for ref, text in _REFERENCES:
             c = F.replace(c, F.lit(ref), F.lit(text))
         return c
 
-    title = strip_white(F.regexp_replace(strip_white(plain(F.regexp_replace("r.title", "<[^>]+>", ""))), r"\s*\([^()]+\)\s*\z", ""))
-    out = pages.select(*keep, F.posexplode(found).alias("pos", "r"))
-    return out.select(*keep, "pos", "r.code", plain(F.col("r.url")).alias("url"), title.alias("title"), main_group(F.col("r.code")).alias("main_group"))
+    def after(c: Column, mark: str) -> Column:
+        """What follows the first mark; empty if there is none."""
+        at = F.locate(mark, c)
+        return F.when(at > 0, F.substr(c, at + len(mark))).otherwise("")
+
+    def row(piece: Column) -> Column:
+        links = F.slice(F.split(after(piece, "</td>"), r"<a\s+"), F.lit(2), F.lit(1 << 30))
+        marked = F.filter(links, lambda a: a.startswith('href="') & F.contains(F.substring_index(a, ">", 1), F.lit(TITLE_LINK)) & F.contains(a, F.lit("</a>")))
+        return F.struct(strip_white(F.substring_index(piece, "</td>", 1)).alias("code"), strip_white(after(piece, "</td>")).alias("rest"), F.try_element_at(marked, F.lit(1)).alias("link"))
+
+    def whole(r: Column) -> Column:
+        code = F.translate(r["code"], "0123456789-", "") == ""
+        return code & r["code"].rlike("^[0-9]") & r["rest"].startswith("<td>") & r["link"].isNotNull()
+
+    pieces = F.slice(F.split(F.coalesce(F.col(html), F.lit("")), CODE_CELL, -1), F.lit(2), F.lit(1 << 30))
+    out = pages.select(*keep, F.posexplode(F.filter(F.transform(pieces, row), whole)).alias("pos", "r"))
+    url, shown = F.substring_index(F.substr("r.link", F.lit(7)), '"', 1), F.substring_index(after(F.col("r.link"), ">"), "</a>", 1)
+    title = strip_white(F.regexp_replace(strip_white(plain(F.regexp_replace(shown, "<[^>]+>", ""))), r"\s*\([^()]+\)\s*\z", ""))
+    return out.select(*keep, "pos", "r.code", plain(url).alias("url"), title.alias("title"), main_group(F.col("r.code")).alias("main_group"))
 
 
-def reached_pages(links: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
+def reached_pages(links: DataFrame, roots: DataFrame) -> DataFrame:
     """(path): pages reached from ``roots`` (path) over ``links`` (parent, parent_code, child, child_code).
 
-    A child counts only if its code consists of digits and strictly extends its parent's, so the walk ends by
-    itself.  Each round is one join with the pages reached last.
+    A child counts only if its code consists of digits and strictly extends its parent's.  Each round is one join
+    with the pages reached last and ends with those not seen before, so the walk ends by itself, however deep.
     """
     from normloom.runtime import written
 
     down = links.filter(F.col("parent_code").rlike(r"^\d+\z") & F.col("child_code").rlike(r"^\d+\z") & F.col("child_code").startswith(F.col("parent_code")) & (F.length("child_code") > F.length("parent_code")))
     down = written(down.select("parent", "child").distinct(), "links")
     seen = last = written(roots.select("path").distinct(), "reached")
-    for _ in range(most):
+    while True:
         fresh = last.join(down, last["path"] == down["parent"]).select(F.col("child").alias("path")).distinct().join(seen, "path", "left_anti")
         last = written(fresh, "reached")
         if last.isEmpty():
-            break
+            return seen
         seen = written(seen.unionByName(last), "seen")
-    return seen

@@ -68,7 +68,9 @@ def resolved(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "law_register").distinct().select(F.col("fna_code").alias("code"), F.col("titel").alias("block"), F.col("reg_id").alias("ord"))
+    """Of every code the first entry."""
+    rows = table(spark, d, "law_register").filter("fna_code is not null")
+    return taxonomy.distinct_entries(rows.select(F.col("fna_code").alias("code"), F.col("titel").alias("block"), F.col("reg_id").alias("ord")))
 
 
 W = T.WHITE
@@ -144,7 +146,7 @@ def strip_tags(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""
 with n as (select distinct snapshot_no, dok_nr, loaded_at, norm_pos, enbez from norm_snapshots),
-s as (select *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace({_strip("enbez")}, '^§[{W}]*', ''), '^[aA][rR][tT]\.?[{W}]+', 'art-')),
+s as (select *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace({_strip("enbez")}, '^§[{W}]*', ''), '^Art\.[{W}]*', 'art-')),
   '[{W}]+', '-', 'g'), '[^\w-]', '', 'g'), '^-+|-+$', '', 'g') as a from n)
 select snapshot_no, dok_nr, loaded_at, case when coalesce(a, '') = '' then 'norm-' || norm_pos else a end as anchor from s""")
 def norm_anchors(spark: SparkSession, d: str) -> DataFrame:
@@ -228,7 +230,7 @@ def taxonomy_page_rows(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.page_rows(rows.select("law_id", F.concat(F.lit("<table>"), row, row, F.lit("</table>")).alias("html")), keep=("law_id",))
 
 
-_ENTRIES = "entries as (select distinct fna_code as code, titel as block, reg_id as ord from law_register where fna_code is not null)"
+_ENTRIES = "entries as (select fna_code as code, titel as block, reg_id as ord from law_register where fna_code is not null qualify row_number() over (partition by fna_code order by reg_id) = 1)"
 _BY_TITLE = f"by_title as (select {_title('block')} as key, code, ord from entries where length({_title('block')}) >= 6 qualify row_number() over (partition by key order by ord, code) = 1)"
 _BY_ABBR = f"by_abbr as (select {_block_abbr('block')} as key, code, ord from entries where length({_block_abbr('block')}) >= 2 qualify row_number() over (partition by key order by ord, code) = 1)"
 _JOIN = f"""joined as (
@@ -256,9 +258,9 @@ def abbr_map(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.join_maps(entries(spark, d))[1]
 
 
-@query("select fna_code as code, arg_min(titel, reg_id) as block, min(reg_id) as ord from law_register where fna_code is not null group by 1")
+@query(f"with {_ENTRIES} select code, block, ord from entries")
 def distinct_entries(spark: SparkSession, d: str) -> DataFrame:
-    return taxonomy.distinct_entries(entries(spark, d).filter("code is not null"))
+    return entries(spark, d)
 
 
 @query(f"with {_LAWS}, {_ENTRIES}, {_BY_TITLE}, {_BY_ABBR}, {_JOIN} select slug, fna_code, how from joined where fna_code is not null")
@@ -310,6 +312,18 @@ def citations_found(spark: SparkSession, d: str) -> DataFrame:
     return citations.extract(table(spark, d, "documents"), ["doc_id"], "text")
 
 
+@query(f"""
+with n as (select distinct snapshot_no, dok_nr, loaded_at, {_tags("text_xml")} as t from norm_snapshots where coalesce(text_xml, '') <> ''),
+s as (select snapshot_no, dok_nr, loaded_at, regexp_extract_all(t, '{citations.CITATION}') as spans from n),
+u as (select snapshot_no, dok_nr, loaded_at, unnest(range(len(spans)))::int as cit_pos, unnest(spans) as span_text from s)
+select distinct snapshot_no, dok_nr, loaded_at, cit_pos, span_text, case when span_text like '§%' then 'par' else 'art' end as unit, regexp_extract(span_text, '{citations.CITATION}', 2) as number,
+  lower(regexp_extract(span_text, '{citations.CITATION}', 4)) as book from u where lower(regexp_extract(span_text, '{citations.CITATION}', 4)) not in {resolve.FALSE_POSITIVES}""")
+def norm_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Citations in all norms of all deliveries."""
+    found = citations.extract(table(spark, d, "norm_snapshots"), ["snapshot_no", "dok_nr", "loaded_at"])
+    return found.drop("confidence").distinct()
+
+
 @query(f"select distinct * exclude (extracted_at) from refs_raw where coalesce(book, '') <> '' and lower(book) not in {resolve.FALSE_POSITIVES}")
 def false_positive_filter(spark: SparkSession, d: str) -> DataFrame:
     return resolve.drop_false_positives(table(spark, d, "refs_raw").drop("extracted_at").distinct())
@@ -333,11 +347,15 @@ def book_index(spark: SparkSession, d: str) -> DataFrame:
     return resolve.book_index(b, b.select("slug", F.col("langue").alias("title"), "ord"))
 
 
-@query(f"""with {_LAWS}, n as (select slug, regexp_replace(lower(unnest([jurabk, langue])), '[{W}]+', '', 'g') as k from laws),
-k as (select slug, unnest([k, replace(k, 'ß', 'ss'), replace(k, 'ss', 'ß')]) as key from n)
-select key, slug from k where key <> '' qualify row_number() over (partition by key order by length(slug), slug) = 1""")
+def _spelled(k: str) -> str:
+    return f"case when contains({k}, 'ß') then replace({k}, 'ß', 'ss') else replace({k}, 'ss', 'ß') end"
+
+
+@query(f"""with {_LAWS}, n as (select slug, law_id, regexp_replace(lower(langue), '[{W}]+', '', 'g') as t, regexp_replace(lower(regexp_extract(langue, '\\(([^)]{{3,}})\\)\\s*$', 1)), '[{W}]+', '', 'g') as p from laws),
+k as (select slug, law_id, 0 as pass, lower(slug) as key from n union all select slug, law_id, 1, unnest([t, {_spelled("t")}, p, {_spelled("p")}]) from n)
+select key, slug from k where key <> '' qualify row_number() over (partition by key order by length(slug), pass, law_id, slug) = 1""")
 def plain_index(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.plain_index(laws(spark, d))
+    return resolve.plain_index(laws(spark, d).select("slug", F.col("langue").alias("title"), F.col("law_id").alias("ord")))
 
 
 @query(f"with {_RESOLVED} select distinct source, target, 'explicit' as type, 1.0::double as weight, null::date as valid_from, null::date as valid_to from res where target is not null and source is not null")
@@ -583,24 +601,74 @@ def validation(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- documents
 
 
-@query("select distinct snapshot_no, dok_nr, loaded_at, 1::int as norm_count, enbez as enbez, text_xml is not null and trim(text_xml) <> '' as has_text from norm_snapshots")
-def parsed_laws(spark: SparkSession, d: str) -> DataFrame:
-    rows = norms(spark, d).withColumn("key", F.struct("snapshot_no", "dok_nr", "loaded_at").cast("string"))
+def _reads(c: str, kept: str) -> str:
+    """A text of XML as a parser reads it: references resolved but for ``kept``, line ends as line feeds."""
+    pieces = f"regexp_extract_all(regexp_replace({c}, '\\r\\n?', chr(10), 'g'), '&[#a-zA-Z0-9]{{1,10}};|[^&]+|&')"
+    return (
+        f"array_to_string(list_transform({pieces}, lambda p: case when p in ({kept}) then p when p in ('&#38;', '&#x26;') then {{}} when p = '&amp;' then '&' when p = '&lt;' then '<' when p = '&gt;' then '>' "
+        "when p = '&quot;' then chr(34) when p = '&apos;' then chr(39) when regexp_full_match(p, '&#[0-9]+;') then chr(p[3:-2]::int) when regexp_full_match(p, '&#[xX][0-9a-fA-F]+;') then chr(('0x' || p[4:-2])::int) else p end), '')"
+    )
+
+
+#: The text before the first tag reads plainly; in markup the reserved characters stay references, and empty elements have no blank.
+_INNER = "nullif({strip}, '')".format(
+    strip=_strip("(" + _reads("regexp_extract(text_xml, '^[^<]*')", "''").replace("{}", "'&'") + " || regexp_replace(" + _reads("regexp_replace(text_xml, '^[^<]*', '')", "'&amp;', '&lt;', '&gt;'").replace("{}", "'&amp;'") + ", ' +/>', '/>', 'g'))")
+)
+_ENBEZ = "nullif(regexp_replace(enbez, '\\r\\n?', chr(10), 'g'), '')"
+
+
+def _documents(spark: SparkSession, d: str, names: str, end: str) -> DataFrame:
+    """A document of a header and one norm for each row of the deliveries."""
+    rows = table(spark, d, "norm_snapshots").select("snapshot_no", "dok_nr", "loaded_at", "enbez", "text_xml")
     enbez = F.coalesce(F.concat(F.lit("<enbez>"), T.escape_html(F.col("enbez")), F.lit("</enbez>")), F.lit(""))
-    xml = F.concat(F.lit("<dokumente><norm><metadaten><jurabk>J</jurabk><langue>L</langue></metadaten></norm><norm><metadaten>"), enbez, F.lit("</metadaten><textdaten><text>"), F.coalesce("text_xml", F.lit("")), F.lit("</text></textdaten></norm></dokumente>"))
-    parsed = law_source.parse_laws(rows.select("key", xml.cast("binary").alias("content")).distinct(), "key")
-    back = rows.select("key", "snapshot_no", "dok_nr", "loaded_at").distinct().join(parsed, "key")
-    return back.select("snapshot_no", "dok_nr", "loaded_at", "norm_count", F.col("norms")[0]["enbez"].alias("enbez"), F.col("norms")[0]["text_xml"].isNotNull().alias("has_text")).distinct()
+    xml = F.concat(F.lit(f"<dokumente><norm><metadaten>{names}</metadaten></norm><norm><metadaten>"), enbez, F.lit("</metadaten><textdaten><text>"), F.coalesce("text_xml", F.lit("")), F.lit(f"</text></textdaten>{end}"))
+    return rows.select("snapshot_no", "dok_nr", "loaded_at", xml.cast("binary").alias("content"))
 
 
-@query(f"""with {_LAWS} select law_id, md5('<!DOCTYPE html>' || chr(10) || '<html><head><title>' || e.name || '</title></head><body><h1>' || e.title || '</h1>' || chr(10) ||
-'<section id="1"><h2>§ 1 Zweck</h2>' || coalesce(opening_text, '') || '</section>' || chr(10) || '</body></html>') as page
-from (select law_id, opening_text, replace(replace(replace(replace(replace(coalesce(nullif(jurabk, ''), slug), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as name,
-replace(replace(replace(replace(replace(coalesce(nullif(langue, ''), nullif(jurabk, ''), slug), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as title from laws) e""")
+def _parsed(documents: DataFrame) -> DataFrame:
+    parsed = law_source.parse_laws(documents, "snapshot_no", keep=("dok_nr", "loaded_at"))
+    one = F.try_element_at("norms", F.lit(1))
+    return parsed.select("snapshot_no", "dok_nr", "loaded_at", "jurabk", "langue", "norm_count", F.array_join("parse_warnings", "; ").alias("warnings"), one["enbez"].alias("enbez"), one["text_xml"].alias("text_xml")).distinct()
+
+
+@query(f"select distinct snapshot_no, dok_nr, loaded_at, 'J' as jurabk, 'L & M' as langue, 1::int as norm_count, '' as warnings, {_ENBEZ} as enbez, {_INNER} as text_xml from norm_snapshots")
+def parsed_laws(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(_documents(spark, d, "<jurabk>J</jurabk><langue>L &amp; M<B>fett</B></langue>", "</norm></dokumente>"))
+
+
+@query(f"select distinct snapshot_no, dok_nr, loaded_at, 'J' as jurabk, null::varchar as langue, 1::int as norm_count, 'XML recovered; missing langue' as warnings, {_ENBEZ} as enbez, {_INNER} as text_xml from norm_snapshots")
+def recovered_laws(spark: SparkSession, d: str) -> DataFrame:
+    """The same documents broken off before their end."""
+    return _parsed(_documents(spark, d, "<jurabk>J</jurabk>", "</norm>"))
+
+
+def _escaped(c: str) -> str:
+    for raw, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        c = f"replace({c}, '{raw}', '{ref}')"
+    return c
+
+
+_LATEST = """latest as (
+  select * from norm_snapshots where dok_nr is not null and slug is not null and snapshot_no = (select max(snapshot_no) from norm_snapshots)
+  qualify row_number() over (partition by dok_nr order by loaded_at desc nulls last, slug desc, norm_pos desc nulls last, enbez desc nulls last, titel desc nulls last, text_xml desc nulls last) = 1)"""
+_ANCHOR = rf"""regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace({_strip("enbez")}, '^§[{W}]*', ''), '^Art\.[{W}]*', 'art-')), '[{W}]+', '-', 'g'), '[^\p{{L}}\p{{N}}\p{{M}}_-]', '', 'g'), '^-+|-+$', '', 'g')"""
+
+
+@query(f"""with {_LAWS}, {_LATEST},
+n as (select *, row_number() over (partition by slug order by norm_pos nulls first, dok_nr) - 1 as i from latest),
+t as (select slug, i, '<section id="' || coalesce(nullif({_ANCHOR}, ''), 'norm-' || i) || '">' || chr(10)
+    || coalesce('  <h2>' || nullif({_escaped("coalesce(enbez, '')")} || coalesce(' ' || {_escaped("nullif(titel, '')")}, ''), '') || '</h2>' || chr(10), '')
+    || coalesce('  <div class="norm-text">' || nullif(text_xml, '') || '</div>' || chr(10), '') || '</section>' as part from n),
+s as (select slug, string_agg(part, chr(10) order by i) || chr(10) as parts from t group by slug),
+e as (select law_id, slug, {_escaped("coalesce(nullif(jurabk, ''), slug)")} || ' – ' || {_escaped("coalesce(nullif(langue, ''), nullif(jurabk, ''), slug)")} as shown from laws)
+select law_id, md5('<!DOCTYPE html>' || chr(10) || '<html lang="de">' || chr(10) || '<head>' || chr(10) || '  <meta charset="UTF-8">' || chr(10) || '  <title>' || shown || '</title>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10)
+  || '<h1 data-slug="' || {_escaped("e.slug")} || '">' || shown || '</h1>' || chr(10) || coalesce(parts, '') || '</body>' || chr(10) || '</html>') as page
+from e left join s on e.slug = s.slug""")
 def law_pages(spark: SparkSession, d: str) -> DataFrame:
-    rows = laws(spark, d)
-    one = F.array(F.struct(F.lit("§ 1").alias("enbez"), F.lit("Zweck").alias("titel"), F.col("opening_text").alias("text_xml")))
-    return rows.select("law_id", F.md5(law_source.law_html(F.col("slug"), F.col("jurabk"), F.col("langue"), one)).alias("page"))
+    """The page of every law with all its norms of the latest delivery."""
+    whole = laws(spark, d).join(latest_norms(spark, d), "slug", "left")
+    norms = F.coalesce("norms", F.array().cast(f"array<{law_source.NORM}>"))
+    return whole.select("law_id", F.md5(law_source.law_html(F.col("slug"), F.col("jurabk"), F.col("langue"), norms)).alias("page"))
 
 
 @query()

@@ -11,6 +11,7 @@ documents of any size are parsed whole.
 from __future__ import annotations
 
 import io
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
@@ -61,21 +62,27 @@ class _Tolerant(HTMLParser):
 
 def _tree(data: bytes) -> tuple[ET.Element | None, list[str]]:
     try:
-        return ET.fromstring(data), []
+        # Comments stay where they are, as they part the texts around them.
+        return ET.fromstring(data, ET.XMLParser(target=ET.TreeBuilder(insert_comments=True))), []
     except ET.ParseError:
         pass
     text = data.decode("utf-8", "replace")
     if "<" not in text:
         return None, ["Unrecoverable XML"]
     parser = _Tolerant()
-    parser.feed(text)
+    parser.feed(text.replace("\r\n", "\n").replace("\r", "\n"))  # line ends as the strict parser reads them
     parser.close()
     return (parser.root, ["XML recovered"]) if len(parser.root) else (None, ["Unrecoverable XML"])
 
 
+_EMPTY = re.compile(r"(<!--.*?-->)| />", re.S)
+
+
 def inner_xml(e: ET.Element) -> str | None:
-    """Text before the first child and the children as markup, trimmed; null if nothing remains."""
-    text = (e.text or "") + "".join(ET.tostring(c, encoding="unicode") for c in e)
+    """Text before the first child as it reads and the children as markup, trimmed; null if nothing remains."""
+    markup = "".join(ET.tostring(c, encoding="unicode") for c in e)
+    # A literal > stands in tags and comments alone; empty elements are written without a blank.
+    text = (e.text or "") + _EMPTY.sub(lambda m: m[1] or "/>", markup)
     return text.strip() or None
 
 
@@ -85,14 +92,14 @@ def parse_law(data: bytes | None) -> dict:
     root, law["parse_warnings"] = _tree(data or b"")
     if root is None:
         return law
-    found = [e for e in root.iter("norm")]
+    found = root.findall(".//norm")
     if not found:
         law["parse_warnings"].append("no norms")
         return law
 
-    def text(e: ET.Element, name: str) -> str | None:
-        hit = next(e.iter(name), None)
-        return hit.text if hit is not None else None
+    def text(norm: ET.Element, name: str) -> str | None:
+        """The leading text of an entry of a norm's metadata."""
+        return norm.findtext(f"metadaten/{name}") or None
 
     for field, name in (("jurabk", "jurabk"), ("amtabk", "amtabk"), ("ausfertigung_datum", "ausfertigung-datum"), ("langue", "langue")):
         law[field] = text(found[0], name)
@@ -104,16 +111,18 @@ def parse_law(data: bytes | None) -> dict:
     return law
 
 
-def parse_laws(documents: DataFrame, key: str = "slug", content: str = "content") -> DataFrame:
-    """(key and the fields of a law) from documents as bytes."""
-    kind = dict(documents.dtypes)[key]
+def parse_laws(documents: DataFrame, key: str = "slug", content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep and the fields of a law) from documents as bytes."""
+    keys = [key, *keep]
+    kinds = dict(documents.dtypes)
+    fields = ("jurabk", "amtabk", "ausfertigung_datum", "langue", "norm_count", "parse_warnings", "norms")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             laws = [parse_law(None if c is None else bytes(c)) for c in batch[content]]
-            yield pd.DataFrame({key: batch[key], **{f: [x[f] for x in laws] for f in ("jurabk", "amtabk", "ausfertigung_datum", "langue", "norm_count", "parse_warnings", "norms")}})
+            yield pd.DataFrame({**{k: batch[k] for k in keys}, **{f: [x[f] for x in laws] for f in fields}})
 
-    return documents.select(key, content).mapInPandas(run, f"{key} {kind}, {LAW}")
+    return documents.select(*keys, content).mapInPandas(run, f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, {LAW}")
 
 
 def first_xml(archive: bytes | None) -> bytes | None:
@@ -168,14 +177,21 @@ def slug_table(laws: DataFrame) -> DataFrame:
 
 
 def law_html(slug: Column, jurabk: Column, langue: Column, norms: Column) -> Column:
-    """A law as an HTML page: names escaped, a section with its anchor for each norm, the norm's markup as it stands."""
+    """A law as an HTML page: names escaped, a section with its anchor for each norm, the norm's markup as it stands.
+
+    The name falls back to the slug, the title to the name; a norm without number and title has no heading, one
+    without text no body.
+    """
     some = lambda c: F.when(c != "", c)
     name = escape_html(F.coalesce(some(jurabk), slug))
-    title = escape_html(F.coalesce(some(langue), some(jurabk), slug))
+    shown = F.concat(name, F.lit(" – "), escape_html(F.coalesce(some(langue), some(jurabk), slug)))
 
     def section(n: Column, i: Column) -> Column:
-        heading = F.concat_ws(" ", some(strip_white(n["enbez"])), some(strip_white(n["titel"])))
-        return F.concat(F.lit('<section id="'), norm_id(n["enbez"], i), F.lit('"><h2>'), escape_html(heading), F.lit("</h2>"), F.coalesce(n["text_xml"], F.lit("")), F.lit("</section>"))
-
-    head = F.concat(F.lit("<!DOCTYPE html>\n<html><head><title>"), name, F.lit("</title></head><body><h1>"), title, F.lit("</h1>"))
-    return F.concat_ws("\n", head, F.array_join(F.transform(norms, section), "\n"), F.lit("</body></html>"))
+        heading = F.concat(escape_html(F.coalesce(n["enbez"], F.lit(""))), F.coalesce(F.concat(F.lit(" "), escape_html(some(n["titel"]))), F.lit("")))
+        begin = F.concat(F.lit('<section id="'), norm_id(n["enbez"], i), F.lit('">'))
+        # The lines of a page.
+        return F.concat_ws("\n", begin, F.concat(F.lit("  <h2>"), some(heading), F.lit("</h2>")), F.concat(F.lit('  <div class="norm-text">'), some(n["text_xml"]), F.lit("</div>")), F.lit("</section>"))
+
+    head = [F.lit('<!DOCTYPE html>\n<html lang="de">\n<head>\n  <meta charset="UTF-8">'), F.concat(F.lit("  <title>"), shown, F.lit("</title>")), F.lit("</head>\n<body>")]
+    top = F.concat(F.lit('<h1 data-slug="'), escape_html(slug), F.lit('">'), shown, F.lit("</h1>"))
+    return F.concat_ws("\n", *head, top, some(F.array_join(F.transform(norms, section), "\n")), F.lit("</body>\n</html>"))

@@ -19,7 +19,7 @@ def test_parse_law():
     law = laws.parse_law(LAW.encode())
     assert (law["jurabk"], law["amtabk"], law["ausfertigung_datum"], law["langue"]) == (" ABC", "A", "2001-02-03", "Gesetz ")
     assert law["norm_count"] == 2 and law["parse_warnings"] == []
-    assert law["norms"][0] == {"enbez": "§ 1", "titel": "Zweck", "text_xml": "vor < <P>a &lt; b<BR />c</P> nach"}
+    assert law["norms"][0] == {"enbez": "§ 1", "titel": "Zweck", "text_xml": "vor < <P>a &lt; b<BR/>c</P> nach"}
     assert law["norms"][1] == {"enbez": None, "titel": "Ohne", "text_xml": None}
 
 
@@ -28,6 +28,9 @@ def test_broken_documents():
     assert broken["jurabk"] == "X" and "XML recovered" in broken["parse_warnings"] and "missing langue" in broken["parse_warnings"]
     for data in (b"", None, b"\x00\xff no markup"):
         assert laws.parse_law(data)["parse_warnings"] == ["Unrecoverable XML"]
+    lines = laws.parse_law(b"<d><norm/><norm><textdaten><text><P a='1 /&gt;'>x\r\ny /&gt; </P><!-- a /> --></text></textdaten></norm></d>")["norms"][0]["text_xml"]
+    assert lines == '<P a="1 /&gt;">x\ny /&gt; </P><!-- a /> -->'
+    assert laws.parse_law(b"<d><norm/><norm><textdaten><text><P>x\r\ny</P></text></textdaten></norm>")["norms"][0]["text_xml"] == "<P>x\ny</P>"
     empty = laws.parse_law(b"<dokumente/>")
     assert empty["norm_count"] == 0 and empty["parse_warnings"] == ["no norms"]
 
@@ -55,7 +58,10 @@ def test_toc(spark, tmp_path):
 def test_html(spark):
     df = spark.createDataFrame([("s", "A&B", None, [("§ 1", "T<i>", "<P>x</P>"), (None, None, None)])], f"slug string, jurabk string, langue string, norms array<{laws.NORM}>")
     page = df.select(laws.law_html(*[F.col(c) for c in ("slug", "jurabk", "langue", "norms")])).first()[0]
-    assert "<title>A&amp;B</title>" in page and '<section id="1"><h2>§ 1 T&lt;i&gt;</h2><P>x</P></section>' in page and '<section id="norm-1">' in page
+    want = ["<!DOCTYPE html>", '<html lang="de">', "<head>", '  <meta charset="UTF-8">', "  <title>A&amp;B – A&amp;B</title>", "</head>", "<body>", '<h1 data-slug="s">A&amp;B – A&amp;B</h1>', '<section id="1">', "  <h2>§ 1 T&lt;i&gt;</h2>", '  <div class="norm-text"><P>x</P></div>', "</section>", '<section id="norm-1">', "</section>", "</body>", "</html>"]
+    assert page.split("\n") == want
+    bare = df.select(laws.law_html(F.col("slug"), F.lit(""), F.lit("T"), F.array().cast(f"array<{laws.NORM}>"))).first()[0]
+    assert bare.endswith('<h1 data-slug="s">s – T</h1>\n</body>\n</html>')
     assert df.select(F.size(laws.content_norms(F.col("norms")))).first()[0] == 1
 
 

@@ -13,8 +13,8 @@ def _apply(spark, values, f, kind="string"):
 
 
 def test_norm_id(spark):
-    values = ["§ 1", "§ 2a", "Art. 3", "Art 4", "§§ 1 bis 3", "Anlage (zu § 3)", None, "", "  ", "§ 1\xa0", "Eingangsformel", "§", "Übersicht 2", "---"]
-    want = ["1", "2a", "art-3", "art-4", "1-bis-3", "anlage-zu--3", "norm-6", "norm-7", "norm-8", "1", "eingangsformel", "norm-11", "übersicht-2", "norm-13"]
+    values = ["§ 1", "§ 2a", "Art. 3", "Art 4", "§§ 1 bis 3", "Anlage (zu § 3)", None, "", "  ", "§ 1\xa0", "Eingangsformel", "§", "Übersicht 2", "---", "Art.3", "art. 5", "§1a"]
+    want = ["1", "2a", "art-3", "art-4", "1-bis-3", "anlage-zu--3", "norm-6", "norm-7", "norm-8", "1", "eingangsformel", "norm-11", "übersicht-2", "norm-13", "art-3", "art-5", "1a"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").orderBy("i")
     got = [r[0] for r in df.select(T.norm_id(F.col("v"), F.col("i"))).collect()]
     want[4] = "-1-bis-3".strip("-")
@@ -22,7 +22,7 @@ def test_norm_id(spark):
 
 
 def test_keys(spark):
-    assert _apply(spark, ["Straßenverkehrs-Ordnung (StVO)", "Größe ½", None, ""], T.norm_title) == ["straenverkehrsordnung", "groe", None, ""]
+    assert _apply(spark, ["Straßenverkehrs-Ordnung (StVO)", "Größe ½", None, ""], T.norm_title) == ["straenverkehrsordnung", "groe12", None, ""]
     assert _apply(spark, ["StVO 2013", "§", None], T.norm_abbr) == ["stvo2013", None, None]
     assert _apply(spark, ["Straßengesetzes", "BGBs", "Ordnungs", "kurzes", "Abgabengess", None], T.normalize_book) == ["strassengesetz", "bgbs", "ordnungs", "kurzes", "abgabengess", None]
     assert _apply(spark, ["Gesetz (Kurz - ABC)", "ohne", "(a) (b–cd)", None], T.block_abbr) == ["abc", None, "cd", None]
@@ -30,6 +30,18 @@ def test_keys(spark):
     assert _apply(spark, ["0x-1", "912-3", "x1", "", None], T.main_group) == [0, 9, None, None, None]
 
 
+def test_decompositions(spark):
+    """Keys are those of the compatibility decomposition, whatever the character."""
+    characters = [chr(c) for c in range(0x80, 0x1FC00) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFKD", chr(c)) != chr(c)]
+    values = [f"x{c}y" for c in characters] + ["".join(characters[i : i + 50]) for i in range(0, len(characters), 50)]
+
+    def model(v):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)).lower()
+        return "".join(c for c in plain if c in "abcdefghijklmnopqrstuvwxyz0123456789") or None
+
+    assert _apply(spark, values, T.norm_abbr) == [model(v) for v in values]
+
+
 def test_links(spark):
     links = ["https://a.example/bgb/index.html", "https://a.example/bgb/xml.zip", "bgb", "https://a.example/bgb/"]
     assert _apply(spark, links, T.slug_from_link) == ["bgb", "bgb", "bgb", "a.example"]
