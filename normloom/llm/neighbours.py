@@ -1,27 +1,32 @@
 """The most similar vectors of every vector, by a hierarchical k-means tree.
 
-Problem 1.  The tree is fitted on a bounded sample (SAMPLE vectors); every
-vector is then assigned to a leaf.  A query walks the tree best bin first: a
-priority queue holds the nodes that were seen, ordered by the distance of their
-centre, and gives the leaves in the order they should be visited.  As a node
-leaves the queue only after its parents, that order is the order of the largest
-distance on the path from the root (``leaf_keys``), which is computed for many
-queries at once; ``best_bin_first`` is the queue itself, for tests and single
-queries.  How many leaves are visited is calibrated: for PROBES vectors the
-exact neighbours are found by a full pass over all vectors, and the visits are
+Problem 1.  The tree is fitted on a bounded sample, its leaves are refined over
+that sample, and every vector is assigned to the leaf nearest to it.  A query
+walks the tree best bin first: a priority queue holds the nodes that were seen,
+leaves by the distance of their centre, inner nodes by that distance less REACH
+times the radius of what lies below, and gives the leaves in the order they are
+visited.  ``Tree.walk`` keeps the queues of many queries at once and opens, of
+each query, the first inner node as long as it comes before the leaves that are
+still due; ``Tree.best_bin_first`` is the same queue for a single query.  How
+many leaves are visited is calibrated: for about PROBES vectors the exact
+neighbours are found by a full pass over all vectors, and the visits are
 widened until TARGET of those neighbours lie in visited leaves.
 
+Vectors are packed into blocks in leaf order.  A block first asks itself: its
+own vectors visit the leaves it holds, which gives every query a floor below
+which nothing counts.  Then each query goes to the blocks that hold its other
+leaves, once to each, with its floor and the leaves it visits there, and is
+compared with those leaves alone.  No step depends on the number of vectors:
+leaves hold about LEAF vectors, blocks MOST_ROWS at most; where the tree is as
+large as it may be (MOST_LEAVES), fuller leaves are split inside their blocks
+and a query takes only the parts that come before the last leaf it visits.
+
 Equal vectors are searched once.  Of each class of equal vectors only the k + 1
 smallest ids can be anyone's neighbours, as the others come after them.
 
-Work is done in units of two blocks of vectors in leaf order (query block, data
-block) that some query of the first has to visit; within a unit queries close
-to each other share the columns they visit.  No unit depends on the number of
-vectors, and a leaf of any size is cut into blocks.
-
 Defined results: vectors that are null, have a null, infinite or missing value,
 another length than asked, or only zeros are not usable; repeated rows count
-once; fewer than k others give all of them; an empty table gives none.
+once, of several vectors of one id the one of least hash; fewer than k others give all of them; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -36,16 +41,32 @@ from pyspark.sql import functions as F
 
 from normloom.runtime import written
 
-#: Vectors the tree is fitted on at most, and those a leaf should hold.
-SAMPLE, LEAF = 32_768, 128
-#: Children of a node; rounds of k-means.
-BRANCHES, ROUNDS = 16, 8
+#: Vectors of a leaf, leaves of the tree at most; vectors the tree is fitted on at least, and those for each leaf.
+LEAF, MOST_LEAVES = 128, 16_384
+SAMPLE, SAMPLE_A_LEAF = 32_768, 16
+#: Children of a node; rounds of k-means for each node and for all leaves together.
+BRANCHES, ROUNDS, REFINED = 16, 8, 2
+#: Share of a node's radius by which it comes earlier in the queue.
+REACH = 0.5
 #: Vectors of the calibration, and the share of their true neighbours that visited leaves must hold.
-PROBES, TARGET = 512, 0.99
-#: Vectors of a block at most, and blocks that small tables should have.
-MOST_ROWS, LEAST_BLOCKS = 65_536, 10
-#: Queries of a block that share their visited columns; rounding is to DIGITS, errors of single precision stay below SLACK.
-CHUNK, DIGITS, SLACK = 256, 6, 4e-6
+PROBES, TARGET = 512, 0.995
+#: Vectors of a block at most, and blocks that small tables should have; queries that one task asks of a block.
+MOST_ROWS, LEAST_BLOCKS, MOST_ASKED = 16_384, 8, 65_536
+#: Queries that walk together; rounding is to DIGITS, errors of single precision stay below SLACK.
+CHUNK, DIGITS, SLACK = 1_024, 6, 4e-6
+
+
+def _means(x: np.ndarray, near: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The mean of the rows near each centre; centres without rows stay."""
+    order = np.argsort(near, kind="stable")
+    used, first = np.unique(near[order], return_index=True)
+    out = centres.copy()
+    out[used] = np.add.reduceat(x[order].astype(np.float64), first, axis=0) / np.diff(np.append(first, len(x)))[:, None]
+    return out.astype(np.float32)
+
+
+def _squares(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((q * q).sum(1)[:, None] + (c * c).sum(1) - 2 * (q @ c.T), 0)
 
 
 class Tree:
@@ -53,30 +74,40 @@ class Tree:
 
     def __init__(self, centres: np.ndarray, parents: np.ndarray, levels: np.ndarray):
         self.centres, self.parents, self.levels = centres.astype(np.float32), parents, levels
-        has_child = np.zeros(len(parents), bool)
-        has_child[parents[1:]] = True
         order, stack, kids = [], [0], [[] for _ in parents]
         for node, parent in enumerate(parents.tolist()):
             if node:
                 kids[parent].append(node)
         while stack:
             node = stack.pop()
-            if not has_child[node]:
+            if not kids[node]:
                 order.append(node)
             stack += kids[node][::-1]
-        self.kids = kids
+        self.kids = [np.array(k, np.int64) for k in kids]
         self.leaves = np.array(order)
         self.leaf_of = np.full(len(parents), -1)
         self.leaf_of[self.leaves] = np.arange(len(order))
-
-    def distances(self, q: np.ndarray) -> np.ndarray:
-        c = self.centres
-        return np.maximum((q * q).sum(1)[:, None] + (c * c).sum(1) - 2 * (q @ c.T), 0)
+        self._reach()
+
+    def _reach(self) -> None:
+        """How much earlier than its distance says a node comes: a share of the mean distance of its leaves."""
+        sums, count = np.zeros(len(self.parents)), np.zeros(len(self.parents))
+        node = above = self.leaves
+        while (above != 0).any():
+            node, above = node[above != 0], self.parents[above[above != 0]]
+            far = np.sqrt(((self.centres[node] - self.centres[above]) ** 2).sum(1))
+            sums += np.bincount(above, far, len(sums))
+            count += np.bincount(above, minlength=len(sums))
+        self.reach = (REACH * sums / np.maximum(count, 1)).astype(np.float32)
+
+    def keys(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """The places of nodes in the queues of queries."""
+        return np.sqrt(_squares(q, self.centres[nodes])) - self.reach[nodes]
 
     def leaf_keys(self, q: np.ndarray) -> np.ndarray:
-        """For each query and leaf the largest distance on the leaf's path: leaves are visited in this order."""
-        d = self.distances(q)
-        d[:, 0] = 0
+        """For each query and leaf the largest key on the leaf's path: leaves are visited in this order."""
+        d = self.keys(q, np.arange(len(self.parents)))
+        d[:, 0] = -np.inf
         for level in range(1, int(self.levels.max()) + 1):
             at = np.flatnonzero(self.levels == level)
             d[:, at] = np.maximum(d[:, at], d[:, self.parents[at]])
@@ -84,42 +115,71 @@ class Tree:
 
     def best_bin_first(self, q: np.ndarray) -> Iterator[int]:
         """Leaves of one query in the order a priority queue gives them."""
-        d = self.distances(q[None])[0]
-        queue = [(0.0, 0)]
+        queue = [(-np.inf, 0)]
         while queue:
             _, node = heapq.heappop(queue)
             if self.leaf_of[node] >= 0:
                 yield int(self.leaf_of[node])
-            for kid in self.kids[node]:
-                heapq.heappush(queue, (float(d[kid]), kid))
+            elif len(kids := self.kids[node]):
+                for kid, key in zip(kids.tolist(), self.keys(q[None], kids)[0].tolist(), strict=True):
+                    heapq.heappush(queue, (key, kid))
+
+    def walk(self, q: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The leaves that each query's queue gives first, (queries, visits), and their places in it; -1 where there are no more.
+
+        Each row of ``key`` is the queue of a query.  A leaf is given once no inner node comes before it, so a node is
+        opened as long as fewer than ``visits`` leaves come before it.
+        """
+        n, size = len(q), 64
+        key, node, used = np.full((n, size), np.inf, np.float32), np.zeros((n, size), np.int32), np.zeros(n, np.int64)
+        inner = np.zeros((n, size), bool)
+        rows, opened, reached = np.arange(n), np.zeros(n, np.int64), np.full(n, -np.inf, np.float32)
+        if len(self.parents) == 1:
+            return np.zeros((n, 1), np.int64), np.zeros((n, 1), np.float32)
+        while len(rows):
+            order = np.argsort(opened, kind="stable")
+            cut = np.flatnonzero(np.diff(opened[order], prepend=-1))
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], strict=True):
+                kids, at = self.kids[opened[order[a]]], rows[order[a:b]]
+                while (used[at] + len(kids)).max() > size:
+                    key, node, inner = (np.concatenate([x, np.full((n, size), f, x.dtype)], 1) for x, f in ((key, np.inf), (node, 0), (inner, False)))
+                    size *= 2
+                to = used[at][:, None] + np.arange(len(kids))
+                # What lies below a node never comes before it.
+                key[at[:, None], to], node[at[:, None], to] = np.maximum(self.keys(q[at], kids), reached[order[a:b], None]), kids
+                inner[at[:, None], to] = self.leaf_of[kids] < 0
+                used[at] += len(kids)
+            wide = int(used.max())
+            first = np.where(inner[rows, :wide], key[rows, :wide], np.inf)
+            at = first.argmin(1)
+            least = first[np.arange(len(rows)), at]
+            before = ((key[rows, :wide] <= least[:, None]) & ~inner[rows, :wide]).sum(1)
+            # Where enough leaves come before the first inner node, the walk has ended.
+            on = (before < visits) & (least < np.inf)
+            rows, at, reached = rows[on], at[on], least[on].astype(np.float32)
+            opened = node[rows, at].astype(np.int64)
+            inner[rows, at], key[rows, at] = False, np.inf
+        key = np.where(inner, np.inf, key)
+        some = min(visits, key.shape[1])
+        best = np.argpartition(key, some - 1, axis=1)[:, :some]
+        far = np.take_along_axis(key, best, 1)
+        leaf = np.where(far < np.inf, self.leaf_of[np.take_along_axis(node, best, 1)], -1)
+        return leaf, far
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each vector: from the root always to the nearest child."""
+        """The leaf of each vector: the first its queue gives."""
         out = np.zeros(len(x), np.int64)
-        stack = [(0, np.arange(len(x)))]
-        while stack:
-            node, rows = stack.pop()
-            if not self.kids[node]:
-                out[rows] = self.leaf_of[node]
-                continue
-            c = self.centres[self.kids[node]]
-            near = ((c * c).sum(1) - 2 * (x[rows] @ c.T)).argmin(1)
-            for i, kid in enumerate(self.kids[node]):
-                part = rows[near == i]
-                if len(part):
-                    stack.append((kid, part))
+        for part in _chunks(len(x)):
+            out[part] = self.walk(x[part], 1)[0][:, 0]
         return out
 
 
-def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     c = x[rng.choice(len(x), k, replace=False)]
     near = np.zeros(len(x), np.int64)
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         near = ((c * c).sum(1) - 2 * (x @ c.T)).argmin(1)
-        n = np.bincount(near, minlength=k)
-        sums = np.zeros((k, x.shape[1]))
-        np.add.at(sums, near, x)
-        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c).astype(np.float32)
+        c = _means(x, near, c)
     return c, near
 
 
@@ -143,7 +203,11 @@ def fit(x: np.ndarray, leaf: int, seed: int = 7) -> Tree:
             parents.append(node)
             levels.append(levels[node] + 1)
             stack.append((len(parents) - 1, rows[near == i]))
-    return Tree(np.array(centres), np.array(parents), np.array(levels))
+    tree = Tree(np.array(centres), np.array(parents), np.array(levels))
+    for _ in range(REFINED if len(tree.leaves) > 1 else 0):
+        tree.centres[tree.leaves] = _means(x, tree.assign(x), tree.centres[tree.leaves])
+        tree._reach()
+    return tree
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -152,64 +216,138 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _matrix(data: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(data, np.float32).reshape(-1, width)
-
+def _chunks(n: int) -> Iterator[slice]:
+    for a in range(0, n, CHUNK):
+        yield slice(a, min(n, a + CHUNK))
 
-def best_of(q: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each query the k best columns not below its floor, ties in and near the rounding included.
 
-    Returns query, column and similarity rounded; both sides are unit vectors in double precision.
-    """
-    s = q.astype(np.float32) @ x.astype(np.float32).T
-    least = floor.astype(np.float32) - np.float32(SLACK)
-    hits = s >= least[:, None]
-    if s.shape[1] > k and np.count_nonzero(hits) > 64 * len(q):
-        kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-        hits = s >= np.maximum(least, kth - np.float32(SLACK))[:, None]
-    row, col = np.nonzero(hits)
-    near = s[row, col]
-    # Of more than k hits those below the k-th best are left out.
-    order = np.lexsort((-near, row))
-    first = np.searchsorted(row, np.arange(len(q)))
-    place = np.empty(len(row), np.int64)
-    place[order] = np.arange(len(row)) - first[row[order]]
-    edge = np.full(len(q), -np.inf, np.float32)
-    at_k = place == k - 1
-    edge[row[at_k]] = near[at_k] - np.float32(SLACK)
-    kept = near >= edge[row]
-    row, col = row[kept], col[kept]
-    sim = np.round(np.einsum("ij,ij->i", q[row], x[col]), DIGITS)
-    return row, col, sim
+class Block:
+    """Vectors in leaf order, cut into parts: of each part its leaf, its centre and where it begins.  A fuller leaf has several."""
+
+    FIELDS = ("cids", "vs", "leaves", "centres", "starts")
+
+    def __init__(self, row, width: int, prefix: str = ""):
+        get = lambda name, kind: np.frombuffer(row[prefix + name], kind)
+        self.cids, self.leaves, self.starts = get("cids", np.int64), get("leaves", np.int64), get("starts", np.int64)
+        self.raw, self.centres = get("vs", np.float32).reshape(-1, width), get("centres", np.float32).reshape(-1, width)
+        self.units = _unit(self.raw)
+        self.singles = self.units.astype(np.float32)
+
+    @staticmethod
+    def packed(cids: np.ndarray, raw: np.ndarray, leaves: np.ndarray, tree: Tree, leaf: int) -> dict[str, bytes]:
+        order = np.argsort(leaves, kind="stable")
+        cids, raw, leaves = cids[order], raw[order], leaves[order]
+        x = _unit(raw).astype(np.float32)
+        names, first, count = np.unique(leaves, return_index=True, return_counts=True)
+        part_leaf, part_centre, starts, place = [], [], [], np.arange(len(x))
+        for name, a, n in zip(names.tolist(), first.tolist(), count.tolist(), strict=True):
+            if n <= 2 * leaf:
+                parts = [(tree.centres[tree.leaves[name]], np.arange(n))]
+            else:
+                c, near = _kmeans(x[a : a + n], -(-n // leaf), np.random.default_rng(name))
+                parts = [(c[i], np.flatnonzero(near == i)) for i in np.unique(near)]
+            at = a
+            for centre, rows in parts:
+                part_leaf.append(name)
+                part_centre.append(centre)
+                starts.append(at)
+                place[at : at + len(rows)] = a + rows
+                at += len(rows)
+        starts.append(len(x))
+        return {"cids": cids[place].tobytes(), "vs": raw[place].tobytes(), "leaves": np.array(part_leaf, np.int64).tobytes(), "centres": np.array(part_centre, np.float32).tobytes(), "starts": np.array(starts, np.int64).tobytes()}
+
+    def part_of_rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.leaves)), np.diff(self.starts))
+
+    def search(self, q: np.ndarray, floor: np.ndarray, cut: np.ndarray, asked: list[tuple[int, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Of each query (unit, double) its k best rows in the asked leaves and not below its floor, ties in and near the rounding included.
+
+        ``asked`` has leaves with the queries that visit them.  Of a leaf in several parts a query takes those
+        before its cut.  Returns query, row and rounded similarity, and how many pairs were compared.
+        """
+        single, least, found, pairs = q.astype(np.float32), floor.astype(np.float32) - np.float32(SLACK), [], 0
+        lo, hi = np.searchsorted(self.leaves, [a for a, _ in asked]), np.searchsorted(self.leaves, [a for a, _ in asked], "right")
+        for (_, queries), a, b in zip(asked, lo.tolist(), hi.tolist(), strict=True):
+            for part in range(a, b):
+                at = queries
+                if b - a > 1:
+                    at = at[np.sqrt(_squares(single[at], self.centres[part : part + 1]))[:, 0] <= cut[at]]
+                for piece in _chunks(len(at)):
+                    mine, begin = at[piece], self.starts[part]
+                    s = single[mine] @ self.singles[begin : self.starts[part + 1]].T
+                    pairs += s.size
+                    row, col = np.nonzero(s >= least[mine][:, None])
+                    found.append((mine[row], begin + col, s[row, col]))
+        row, col, near = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        # Of more than k hits those below the k-th best are left out.
+        order = np.lexsort((-near, row))
+        row, col, near = row[order], col[order], near[order]
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q)))[row]
+        edge = np.full(len(q), -np.inf, np.float32)
+        edge[row[place == k - 1]] = near[place == k - 1] - np.float32(SLACK)
+        kept = near >= edge[row]
+        row, col = row[kept], col[kept]
+        return row, col, np.round(np.einsum("ij,ij->i", q[row], self.units[col]), DIGITS), pairs
+
+    def floors(self, k: int) -> np.ndarray:
+        """For each row the k-th best similarity within its own part, itself included; -2 where the part has fewer."""
+        out = np.full(len(self.cids), -2.0)
+        for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True):
+            if b - a >= k:
+                for piece in _chunks(b - a):
+                    s = self.singles[a:b][piece] @ self.singles[a:b].T
+                    out[a:b][piece] = np.partition(s, b - a - k, axis=1)[:, b - a - k]
+        return out
 
 
-def _chunks(n: int) -> Iterator[slice]:
-    for a in range(0, n, CHUNK):
-        yield slice(a, min(n, a + CHUNK))
+def _grouped(leaf: np.ndarray, query: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Leaves with the queries that visit them, from pairs."""
+    order = np.argsort(leaf, kind="stable")
+    leaf, query = leaf[order], query[order]
+    first = np.flatnonzero(np.diff(leaf, prepend=-1))
+    return [(int(leaf[a]), query[a:b]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(leaf)], strict=True)]
 
 
 def usable(vectors: DataFrame, key: str, column: str, width: int) -> DataFrame:
-    """(id, v): the vectors that can be compared, each id once."""
+    """(id, v, x, y): the vectors that can be compared, with two independent hashes."""
     v = F.col(column)
     good = v.isNotNull() & (F.size(v) == width) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.filter(F.col(key).isNotNull() & good).select(F.col(key).alias("id"), v.cast("array<float>").alias("v")).dropDuplicates(["id"])
+    rows = vectors.filter(F.col(key).isNotNull() & good).select(F.col(key).alias("id"), v.cast("array<float>").alias("v"))
+    return rows.select("id", "v", F.xxhash64("v").alias("x"), F.xxhash64(F.lit(7), "v").alias("y"))
+
+
+def _sampled(reps: DataFrame, salt: int, most: int, n: int) -> np.ndarray:
+    """About ``most`` of n vectors, chosen by the hash of their ids."""
+    share = min(1.0, most / max(n, 1))
+    return np.array(reps.filter(F.pmod(F.xxhash64(F.lit(salt), "cid"), F.lit(1 << 30)) < share * (1 << 30)).select("v").toPandas()["v"].tolist(), np.float32)
+
 
+_PACK = "block long, cids binary, vs binary, leaves binary, centres binary, starts binary"
+#: What a block's own search gives: its hits (target -1), and the queries for each other block with their leaves.
+_ASKED = "target long, n long, pairs long, a binary, b binary, s binary, vs binary, floors binary, cuts binary, leaves binary, counts binary, queries binary"
 
-def neighbours(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", k: int = 10, width: int = 64, target: float = TARGET, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
-    """(id, neighbour, rank, similarity): the k most similar others of every usable vector."""
+
+def neighbours(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", k: int = 10, width: int = 64, target: float = TARGET, sample: int = SAMPLE, leaf: int = LEAF, most_leaves: int = MOST_LEAVES, most_rows: int = MOST_ROWS, measured: dict | None = None) -> DataFrame:
+    """(id, neighbour, rank, similarity): the k most similar others of every usable vector.
+
+    ``measured`` receives the number of distinct vectors, leaves and visits, the pairs compared and their share.
+    """
     spark = vectors.sparkSession
     rows = usable(vectors, key, column, width)
-    hashed = rows.select("id", F.xxhash64("v").alias("x"), F.xxhash64(F.lit(7), "v").alias("y"))
+    # Hashes alone find the classes; of each class one vector is moved.
+    hashed = rows.select("id", F.struct("x", "y").alias("h")).groupBy("id").agg(F.min("h").alias("h")).select("id", "h.x", "h.y")
     first = Window.partitionBy("x", "y").orderBy("id")
     low = hashed.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
     classes = written(low.groupBy("x", "y").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("x", "y", F.col("ids")[0].alias("cid"), "ids"), "classes")
-    reps = rows.join(classes.select(F.col("cid").alias("id")), "id").select(F.col("id").alias("cid"), "v")
+    reps = rows.join(classes.select(F.col("cid").alias("id"), "x", "y"), ["id", "x", "y"]).dropDuplicates(["id"])
+    reps = written(reps.select(F.col("id").alias("cid"), "v"), "reps")
     n = classes.count()
 
-    fitted = np.array(reps.orderBy(F.xxhash64("cid")).limit(sample).toPandas()["v"].tolist(), np.float32).reshape(-1, width)
-    tree = fit(_unit(fitted).astype(np.float32) if len(fitted) else fitted, max(8, leaf * len(fitted) // max(n, 1)))
+    leaves = int(min(most_leaves, max(1, -(-n // leaf))))
+    fitted = _sampled(reps, 1, max(sample, SAMPLE_A_LEAF * leaves), n).reshape(-1, width)
+    tree = fit(_unit(fitted).astype(np.float32) if len(fitted) else fitted, max(1, -(-len(fitted) // leaves)))
     shared = spark.sparkContext.broadcast(tree)
-    size = int(min(MOST_ROWS, max(512, -(-n // LEAST_BLOCKS))))
+    size = int(min(most_rows // 2, max(512, -(-n // LEAST_BLOCKS))))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -220,64 +358,104 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", column: str = "embedding
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        def block(parts: list[pd.DataFrame]) -> pd.DataFrame:
+            rows = pd.concat(parts)
+            raw = np.frombuffer(b"".join(rows["v"]), np.float32).reshape(-1, width)
+            return pd.DataFrame([{"block": number, **Block.packed(rows["cid"].to_numpy(np.int64), raw, rows["leaf"].to_numpy(np.int64), shared.value, leaf)}])
+
         number, kept, count = TaskContext.get().partitionId() << 24, [], 0
         for batch in batches:
             while len(batch):
-                part, batch = batch.iloc[: size - count], batch.iloc[size - count :]
+                part, batch = batch.iloc[: most_rows - count], batch.iloc[most_rows - count :]
                 kept.append(part)
                 count += len(part)
-                if count == size:
-                    yield _block(number, kept)
+                if count == most_rows:
+                    yield block(kept)
                     number, kept, count = number + 1, [], 0
         if kept:
-            yield _block(number, kept)
+            yield block(kept)
 
     ordered = reps.mapInPandas(assign, "leaf long, cid long, v binary").repartitionByRange(max(1, -(-n // size)), "leaf", "cid").sortWithinPartitions("leaf", "cid")
-    blocks = written(ordered.mapInPandas(pack, "block long, leaves binary, cids binary, vs binary"), "blocks")
-    visits = _calibrated(blocks, reps, shared, k, width, target)
-
-    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of each block the leaves its queries visit, and the similarity they reach at home."""
+    blocks = written(ordered.mapInPandas(pack, _PACK), "blocks")
+    visits = _calibrated(blocks, reps, shared, k, width, target, n)
+    # A row for each leaf and block that holds some of it: leaves and blocks in number, whatever the vectors.
+    holds = blocks.mapInPandas(_held, "block long, leaf long").toPandas().sort_values(["leaf", "block"])
+    where = spark.sparkContext.broadcast((holds["leaf"].to_numpy(np.int64), holds["block"].to_numpy(np.int64)))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, homes = where.value
         for batch in batches:
-            for row in batch.itertuples():
-                q = _unit(_matrix(row.vs, width))
-                floor, seen, cut = np.full(len(q), -2.0), np.zeros(len(shared.value.leaves), bool), np.zeros(len(q), np.float32)
-                for part in _chunks(len(q)):
-                    keys = shared.value.leaf_keys(q[part].astype(np.float32))
-                    cut[part] = np.partition(keys, visits - 1, axis=1)[:, visits - 1]
-                    seen |= (keys <= cut[part][:, None]).any(0)
-                    if len(q) > k:
-                        s = q[part].astype(np.float32) @ q.astype(np.float32).T
-                        floor[part] = np.partition(s, len(q) - k - 1, axis=1)[:, len(q) - k - 1]
-                leaves = np.flatnonzero(seen)
-                yield pd.DataFrame({"query": row.block, "leaf": leaves, "floor": [floor.astype(np.float32).tobytes()] + [None] * (len(leaves) - 1), "cut": [cut.tobytes()] + [None] * (len(leaves) - 1)})
-
-    planned = written(blocks.mapInPandas(plan, "query long, leaf long, floor binary, cut binary"), "planned")
-    holds = blocks.mapInPandas(_held, "block long, leaf long")
-    units = planned.select("query", "leaf").join(holds, "leaf").select("query", "block").distinct()
-    units = written(units.withColumn("unit", F.xxhash64("query", "block")), "units")
-    asks = planned.filter(F.col("floor").isNotNull()).select("query", "floor", "cut")
-    left = units.select("unit", "query").join(blocks.withColumnRenamed("block", "query"), "query").join(asks, "query").drop("query")
-    right = units.select("unit", "block").join(blocks, "block").select(*[F.col(c).alias(f"b_{c}") for c in ("unit", "leaves", "cids", "vs")])
+            for row in batch.to_dict("records"):
+                own = Block(row, width)
+                parts = own.part_of_rows()
+                floor, cut, leaf_of, query_of = own.floors(k + 1), np.zeros(len(own.cids), np.float32), [], []
+                for part in _chunks(len(own.cids)):
+                    leaf, far = shared.value.walk(own.singles[part], visits)
+                    cut[part] = np.where(leaf >= 0, far, -np.inf).max(1)
+                    # The part a query lies in is asked in any case.
+                    home = np.sqrt(((own.singles[part] - own.centres[parts[part]]) ** 2).sum(1))
+                    cut[part] = np.maximum(cut[part], home + np.float32(SLACK))
+                    q, at = np.nonzero(leaf >= 0)
+                    leaf_of.append(leaf[q, at])
+                    query_of.append(q + part.start)
+                leaf_of, query_of = np.concatenate(leaf_of), np.concatenate(query_of)
+                here = np.isin(leaf_of, own.leaves)
+                a, b, s, pairs = own.search(own.units, floor, cut, _grouped(leaf_of[here], query_of[here]), k + 1)
+                yield _row(-1, pairs=pairs, a=own.cids[a], b=own.cids[b], s=s)
+                best = np.lexsort((-s, a))
+                place = np.arange(len(a)) - np.searchsorted(a[best], np.arange(len(floor)))[a[best]]
+                full = best[place == k]
+                floor[a[full]] = np.maximum(floor[a[full]], s[full] - 10.0**-DIGITS)
+                # Leaves are looked up block by block, so a leaf of several blocks is asked in each.
+                lo, hi = np.searchsorted(held, leaf_of), np.searchsorted(held, leaf_of, "right")
+                pair = np.repeat(np.arange(len(leaf_of)), hi - lo)
+                home = homes[np.repeat(lo, hi - lo) + np.arange(len(pair)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
+                order = np.argsort(home, kind="stable")
+                cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
+                for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+                    if home[order[x]] != row["block"]:
+                        mine = pair[order[x:y]]
+                        asked, at = np.unique(query_of[mine], return_inverse=True)
+                        groups = _grouped(leaf_of[mine], at)
+                        yield _row(
+                            int(home[order[x]]), n=len(asked), a=own.cids[asked], vs=own.raw[asked], floors=floor[asked].astype(np.float32), cuts=cut[asked],
+                            leaves=np.array([g[0] for g in groups], np.int64), counts=np.array([len(g[1]) for g in groups], np.int64), queries=np.concatenate([g[1] for g in groups]).astype(np.uint16),
+                        )
+
+    asked = written(blocks.mapInPandas(ask, _ASKED), "asked")
+    # Blocks that many ask are shown to several tasks.
+    loads = asked.filter("target >= 0").groupBy("target").agg(F.ceil(F.sum("n") / MOST_ASKED).alias("tasks"))
+    left = asked.filter("target >= 0").join(loads, "target").withColumn("task", F.pmod(F.xxhash64("a"), F.col("tasks")))
+    right = blocks.withColumnRenamed("block", "target").join(loads, "target").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)))
+    right = right.select(F.col("target").alias("x_target"), F.col("task").alias("x_task"), *[F.col(c).alias(f"x_{c}") for c in Block.FIELDS])
 
     def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        qs, xs, leaves = _unit(_matrix(q["vs"][0], width)), _unit(_matrix(x["b_vs"][0], width)), np.frombuffer(x["b_leaves"][0], np.int64)
-        floor, cut = np.frombuffer(q["floor"][0], np.float32), np.frombuffer(q["cut"][0], np.float32)
-        from_id, to_id, out = np.frombuffer(q["cids"][0], np.int64), np.frombuffer(x["b_cids"][0], np.int64), []
-        here = np.unique(leaves)
-        for part in _chunks(len(qs)):
-            keys = shared.value.leaf_keys(qs[part].astype(np.float32))[:, here]
-            visited = here[(keys <= cut[part][:, None]).any(0)]
-            columns = np.flatnonzero(np.isin(leaves, visited))
-            if len(columns):
-                row, col, sim = best_of(qs[part], xs[columns], floor[part], k + 1)
-                out.append((from_id[part][row], to_id[columns[col]], sim))
-        a, b, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pd.DataFrame({"cid": a, "other": b, "s": s})
-
-    met = left.groupBy("unit").cogroup(right.groupBy("b_unit")).applyInPandas(search, "cid long, other long, s double")
+        block, out, pairs = Block(x.iloc[0], width, "x_"), [], 0
+        for row in q.to_dict("records"):
+            get = lambda name, kind, r=row: np.frombuffer(r[name], kind)
+            ends = np.cumsum(get("counts", np.int64))
+            groups = [(int(name), part.astype(np.int64)) for name, part in zip(get("leaves", np.int64), np.split(get("queries", np.uint16), ends[:-1]), strict=True)]
+            at, col, sim, some = block.search(_unit(get("vs", np.float32).reshape(-1, width)), get("floors", np.float32), get("cuts", np.float32), groups, k + 1)
+            out.append((get("a", np.int64)[at], block.cids[col], sim))
+            pairs += some
+        a, b, s = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"cid": a, "other": b, "s": s, "pairs": np.where(np.arange(len(a)) == 0, pairs, 0)})
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                a, b, s = (np.frombuffer(row[c], t) for c, t in (("a", np.int64), ("b", np.int64), ("s", np.float64)))
+                yield pd.DataFrame({"cid": a, "other": b, "s": s, "pairs": np.where(np.arange(len(a)) == 0, row["pairs"], 0)})
+
+    shape = "cid long, other long, s double, pairs long"
+    met = left.groupBy("target", "task").cogroup(right.groupBy("x_target", "x_task")).applyInPandas(search, shape)
+    met = asked.filter("target < 0").select("pairs", "a", "b", "s").mapInPandas(unpack, shape).unionByName(met)
+    if measured is not None:
+        met = written(met, "met")
+        pairs = met.agg(F.sum("pairs")).first()[0] or 0
+        measured |= {"vectors": n, "leaves": len(tree.leaves), "visits": visits, "pairs": pairs, "share": pairs / max(n * n, 1)}
     several = classes.filter(F.size("ids") > 1).select(F.col("cid").alias("other"), "ids")
-    every = met.join(several, "other", "left").select("cid", "s", F.explode(F.coalesce("ids", F.array("other"))).alias("id"))
+    every = met.drop("pairs").join(several, "other", "left").select("cid", "s", F.explode(F.coalesce("ids", F.array("other"))).alias("id"))
     rank = Window.partitionBy("cid").orderBy(F.col("s").desc(), "id")
     best = every.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= k + 1)
     lists = best.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("r", "id", "s"))).alias("best"))
@@ -287,9 +465,10 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", column: str = "embedding
     return out.select("id", F.col("b.id").alias("neighbour"), (F.col("at") + 1).alias("rank"), F.col("b.s").alias("similarity"))
 
 
-def _block(number: int, parts: list[pd.DataFrame]) -> pd.DataFrame:
-    rows = pd.concat(parts)
-    return pd.DataFrame({"block": [number], "leaves": [rows["leaf"].to_numpy(np.int64).tobytes()], "cids": [rows["cid"].to_numpy(np.int64).tobytes()], "vs": [b"".join(rows["v"])]})
+def _row(target: int, n: int = 0, pairs: int = 0, **arrays: np.ndarray) -> pd.DataFrame:
+    fields = [f.split()[0] for f in _ASKED.split(", ")]
+    whole = {"target": target, "n": n, "pairs": pairs, **{k: v.tobytes() for k, v in arrays.items()}}
+    return pd.DataFrame({f: [whole.get(f)] for f in fields})
 
 
 def _held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,24 +477,31 @@ def _held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"block": row.block, "leaf": np.unique(np.frombuffer(row.leaves, np.int64))})
 
 
-def _calibrated(blocks: DataFrame, reps: DataFrame, shared, k: int, width: int, target: float) -> int:
+def _calibrated(blocks: DataFrame, reps: DataFrame, shared, k: int, width: int, target: float, n: int) -> int:
     """How many leaves a query visits, so that they hold ``target`` of the true neighbours of the probes."""
-    probes = reps.orderBy(F.xxhash64(F.lit(3), "cid")).limit(PROBES).toPandas()
+    probes = _sampled(reps, 3, PROBES, n)
     if not len(probes):
         return 1
-    q = _unit(np.array(probes["v"].tolist(), np.float32))
+    q = _unit(probes)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples():
-                a, b, s = best_of(q, _unit(_matrix(row.vs, width)), np.full(len(q), -2.0), k + 1)
-                yield pd.DataFrame({"probe": a, "leaf": np.frombuffer(row.leaves, np.int64)[b], "cid": np.frombuffer(row.cids, np.int64)[b], "s": s})
+            for row in batch.to_dict("records"):
+                x = Block(row, width)
+                every = [(leaf, np.arange(len(q))) for leaf in np.unique(x.leaves).tolist()]
+                a, b, s, _ = x.search(q, np.full(len(q), -2.0), np.full(len(q), np.inf), every, k + 1)
+                part = x.part_of_rows()[b]
+                # A part of a leaf comes at its own distance, if that is farther than the leaf's place.
+                far = np.sqrt(((q[a] - x.centres[part]) ** 2).sum(1)) * (np.bincount(x.leaves)[x.leaves[part]] > 1)
+                yield pd.DataFrame({"probe": a, "leaf": x.leaves[part], "far": far, "cid": x.cids[b], "s": s})
 
     top = Window.partitionBy("probe").orderBy(F.col("s").desc(), "cid")
-    true = blocks.mapInPandas(scan, "probe long, leaf long, cid long, s double").withColumn("r", F.row_number().over(top)).filter(F.col("r") <= k + 1).select("probe", "leaf").toPandas()
+    true = blocks.mapInPandas(scan, "probe long, leaf long, far double, cid long, s double").withColumn("r", F.row_number().over(top)).filter(F.col("r") <= k + 1).select("probe", "leaf", "far").toPandas()
     keys = shared.value.leaf_keys(q.astype(np.float32))
-    mine = keys[true["probe"].to_numpy(), true["leaf"].to_numpy()]
-    ranks = np.sort((keys[true["probe"].to_numpy()] <= mine[:, None]).sum(1))
+    probe = true["probe"].to_numpy()
+    inside = keys[probe] <= keys[probe, true["leaf"].to_numpy()][:, None]
+    before = keys[probe] < true["far"].to_numpy()[:, None]
+    ranks = np.sort(np.maximum(inside.sum(1), np.minimum(before.sum(1) + 1, keys.shape[1])))
     return int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))))])
 
 

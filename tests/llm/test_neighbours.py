@@ -24,26 +24,38 @@ def model(rows, k, width):
 
 def test_queue_order_equals_keys():
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(600, 6)).astype(np.float32)
+    x = rng.normal(size=(900, 6)).astype(np.float32)
     tree = N.fit(x, 9)
-    assert len(tree.leaves) > 30
-    for q in x[:25]:
-        keys = tree.leaf_keys(q[None])[0]
-        order = list(tree.best_bin_first(q))
-        assert sorted(order) == list(range(len(tree.leaves))) and (np.diff(keys[order]) >= 0).all()
-    leaf = tree.assign(x)
-    assert leaf.min() >= 0 and len(np.unique(leaf)) > 20
+    assert len(tree.leaves) > 30 and tree.levels.max() > 1
+    order = np.array([list(tree.best_bin_first(q)) for q in x[:40]])
+    keys = tree.leaf_keys(x[:40])
+    assert (np.sort(order, 1) == np.arange(len(tree.leaves))).all() and (np.diff(np.take_along_axis(keys, order, 1), axis=1) >= -1e-6).all()
+    for visits in (1, 3, 12, len(tree.leaves), 10_000):
+        leaf, far = tree.walk(x[:40], visits)
+        assert leaf.shape[1] >= min(visits, len(tree.leaves))
+        for i in range(40):
+            got = leaf[i][leaf[i] >= 0]
+            assert len(got) == min(visits, len(tree.leaves)) == len(set(got))
+            # Ties aside these are the leaves the queue gives first.
+            assert np.allclose(np.sort(keys[i][got]), np.sort(keys[i][order[i][: len(got)]]), atol=1e-6) and np.allclose(np.sort(far[i][leaf[i] >= 0]), np.sort(keys[i][got]), atol=1e-6)
+    assert (np.take_along_axis(keys, tree.assign(x[:40])[:, None], 1)[:, 0] <= keys.min(1) + 1e-6).all()
 
 
-@pytest.mark.parametrize("leaf", [8, 128])
-def test_recall(spark, leaf):
+def test_single_leaf():
+    tree = N.fit(np.ones((5, 3), np.float32), 2)
+    assert list(tree.best_bin_first(np.zeros(3, np.float32))) == [0] and tree.walk(np.zeros((2, 3), np.float32), 4)[0].tolist() == [[0], [0]]
+    assert N.fit(np.zeros((0, 3), np.float32), 2).assign(np.ones((2, 3), np.float32)).tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("options", [{"leaf": 8}, {"leaf": 128}, {"leaf": 16, "most_leaves": 3}, {"leaf": 16, "most_rows": 64, "sample": 100}])
+def test_recall(spark, options):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(700, 8)).astype(np.float32)
     x[100:130] = x[100]
     x[200] = x[201] * 3
     rows = rows_of(x)
     got = {}
-    for r in N.neighbours(spark.createDataFrame(rows + rows[:9], SHAPE), k=5, width=8, leaf=leaf).collect():
+    for r in N.neighbours(spark.createDataFrame(rows + rows[:9], SHAPE), k=5, width=8, **options).collect():
         got.setdefault(r["id"], {})[r["rank"]] = r["neighbour"]
     want = model(rows, 5, 8)
     assert set(got) == set(want) and all(sorted(v) == [1, 2, 3, 4, 5] for v in got.values())
@@ -67,3 +79,20 @@ def test_few_vectors(spark):
     assert {tuple(r) for r in N.found(spark.createDataFrame(rows, SHAPE)).collect()} == {(0, 1), (0, 2), (1, 2)}
     assert N.found(spark.createDataFrame([], SHAPE)).count() == 0
     assert N.found(spark.createDataFrame(rows[:1], SHAPE)).count() == 0
+
+
+def test_prunes(spark):
+    """On data with structure few pairs are compared, and fewer of them as the table grows."""
+    rng, shares = np.random.default_rng(4), []
+    for n in (1_000, 8_000):
+        x = (rng.normal(size=(n // 20, 16)).repeat(20, 0) + 0.2 * rng.normal(size=(n, 16))).astype(np.float32)
+        seen = {}
+        rows = N.neighbours(spark.createDataFrame(rows_of(x), SHAPE), k=5, width=16, leaf=32, measured=seen).collect()
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        sim = unit @ unit.T
+        np.fill_diagonal(sim, -2)
+        kth = -np.partition(-sim, 4, axis=1)[:, 4]
+        hits = sum(sim[r["id"], r["neighbour"]] >= kth[r["id"]] - 1e-5 for r in rows)
+        assert len(rows) == 5 * n and hits >= 0.98 * 5 * n and seen["vectors"] == n
+        shares.append(seen["share"])
+    assert shares[1] < 0.5 * shares[0] and shares[1] < 0.1
