@@ -42,10 +42,10 @@ from pyspark.sql import functions as F
 from normloom.runtime import written
 
 #: Vectors of a leaf, leaves of the tree at most; vectors the tree is fitted on at least, and those for each leaf.
-LEAF, MOST_LEAVES = 128, 16_384
+LEAF, MOST_LEAVES = 96, 16_384
 SAMPLE, SAMPLE_A_LEAF = 32_768, 16
-#: Children of a node; rounds of k-means for each node and for all leaves together.
-BRANCHES, ROUNDS, REFINED = 16, 8, 2
+#: Children of a node at most; rounds of k-means for each node and for all leaves together.
+BRANCHES, ROUNDS, REFINED = 32, 8, 1
 #: Share of a node's radius by which it comes earlier in the queue.
 REACH = 0.5
 #: Vectors of the calibration, and the share of their true neighbours that visited leaves must hold.
@@ -99,10 +99,16 @@ class Tree:
             sums += np.bincount(above, far, len(sums))
             count += np.bincount(above, minlength=len(sums))
         self.reach = (REACH * sums / np.maximum(count, 1)).astype(np.float32)
+        self.squares = (self.centres * self.centres).sum(1)
 
     def keys(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """The places of nodes in the queues of queries."""
-        return np.sqrt(_squares(q, self.centres[nodes])) - self.reach[nodes]
+        d = q @ self.centres[nodes].T
+        d *= -2
+        d += self.squares[nodes]
+        d += np.einsum("ij,ij->i", q, q)[:, None]
+        np.maximum(d, 0, out=d)
+        return np.sqrt(d, out=d) - self.reach[nodes]
 
     def leaf_keys(self, q: np.ndarray) -> np.ndarray:
         """For each query and leaf the largest key on the leaf's path: leaves are visited in this order."""
@@ -127,39 +133,41 @@ class Tree:
     def walk(self, q: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
         """The leaves that each query's queue gives first, (queries, visits), and their places in it; -1 where there are no more.
 
-        Each row of ``key`` is the queue of a query.  A leaf is given once no inner node comes before it, so a node is
-        opened as long as fewer than ``visits`` leaves come before it.
+        Each row of ``key`` is the queue of a query.  A leaf is given once no inner node comes before it.  So in each
+        round the nodes that come before the last leaf due are opened, all at once; while too few leaves are known,
+        as many of the first nodes as should hold them.
         """
+        if len(self.parents) == 1:
+            return np.zeros((len(q), 1), np.int64), np.zeros((len(q), 1), np.float32)
         n, size = len(q), 64
         key, node, used = np.full((n, size), np.inf, np.float32), np.zeros((n, size), np.int32), np.zeros(n, np.int64)
-        inner = np.zeros((n, size), bool)
-        rows, opened, reached = np.arange(n), np.zeros(n, np.int64), np.full(n, -np.inf, np.float32)
-        if len(self.parents) == 1:
-            return np.zeros((n, 1), np.int64), np.zeros((n, 1), np.float32)
+        closed = np.full((n, size), np.inf, np.float32)  # places of inner nodes that are not open
+        rows, opened, reached = np.arange(n), np.zeros(n, np.int32), np.full(n, -np.inf, np.float32)
         while len(rows):
             order = np.argsort(opened, kind="stable")
             cut = np.flatnonzero(np.diff(opened[order], prepend=-1))
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], strict=True):
                 kids, at = self.kids[opened[order[a]]], rows[order[a:b]]
                 while (used[at] + len(kids)).max() > size:
-                    key, node, inner = (np.concatenate([x, np.full((n, size), f, x.dtype)], 1) for x, f in ((key, np.inf), (node, 0), (inner, False)))
+                    key, node, closed = (np.concatenate([x, np.full((n, size), f, x.dtype)], 1) for x, f in ((key, np.inf), (node, 0), (closed, np.inf)))
                     size *= 2
-                to = used[at][:, None] + np.arange(len(kids))
                 # What lies below a node never comes before it.
-                key[at[:, None], to], node[at[:, None], to] = np.maximum(self.keys(q[at], kids), reached[order[a:b], None]), kids
-                inner[at[:, None], to] = self.leaf_of[kids] < 0
+                place, to = np.maximum(self.keys(q[at], kids), reached[order[a:b], None]), (at[:, None], used[at][:, None] + np.arange(len(kids)))
+                leaf = self.leaf_of[kids] >= 0
+                key[to], closed[to], node[to] = np.where(leaf, place, np.inf), np.where(leaf, np.inf, place), kids
                 used[at] += len(kids)
             wide = int(used.max())
-            first = np.where(inner[rows, :wide], key[rows, :wide], np.inf)
-            at = first.argmin(1)
-            least = first[np.arange(len(rows)), at]
-            before = ((key[rows, :wide] <= least[:, None]) & ~inner[rows, :wide]).sum(1)
-            # Where enough leaves come before the first inner node, the walk has ended.
-            on = (before < visits) & (least < np.inf)
-            rows, at, reached = rows[on], at[on], least[on].astype(np.float32)
-            opened = node[rows, at].astype(np.int64)
-            inner[rows, at], key[rows, at] = False, np.inf
-        key = np.where(inner, np.inf, key)
+            due = np.partition(key[:, :wide], visits - 1, axis=1)[:, visits - 1] if wide >= visits else np.full(n, np.inf, np.float32)
+            short = np.flatnonzero(np.isinf(due))
+            if len(short):
+                known = np.isfinite(key[short, :wide]).sum(1)
+                first = np.sort(closed[short, :wide], axis=1)
+                due[short] = first[np.arange(len(short)), np.minimum((visits - known) // BRANCHES + 1, wide - 1)]
+                # Equal ones go together; with few nodes left all of them are opened.
+                due[short] = np.minimum(np.nextafter(due[short], np.float32(np.inf)), np.finfo(np.float32).max)
+            rows, at = np.nonzero(closed[:, :wide] < due[:, None])
+            opened, reached = node[rows, at], closed[rows, at]
+            closed[rows, at] = np.inf
         some = min(visits, key.shape[1])
         best = np.argpartition(key, some - 1, axis=1)[:, :some]
         far = np.take_along_axis(key, best, 1)
@@ -175,7 +183,7 @@ class Tree:
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    c = x[rng.choice(len(x), k, replace=False)]
+    c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     near = np.zeros(len(x), np.int64)
     for _ in range(rounds):
         near = ((c * c).sum(1) - 2 * (x @ c.T)).argmin(1)
@@ -191,9 +199,11 @@ def fit(x: np.ndarray, leaf: int, seed: int = 7) -> Tree:
     stack = [(0, np.arange(len(x)))]
     while stack:
         node, rows = stack.pop()
-        if len(rows) <= leaf:
+        if len(rows) <= 1.5 * leaf:
             continue
-        k = int(min(BRANCHES, max(2, -(-len(rows) // leaf))))
+        # As few levels as can be, and on each about the same number of children.
+        want = len(rows) / leaf
+        k = max(2, round(want ** (1 / max(1, np.ceil(np.log(want) / np.log(BRANCHES))))))
         c, near = _kmeans(x[rows], k, rng)
         used = np.unique(near)
         if len(used) < 2:
