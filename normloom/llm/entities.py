@@ -3,7 +3,8 @@
 Problem 5.  Both sources are normalised to the same fields.  For each of
 several composite sort keys all records are sorted into one line, and records
 of different sources less than WINDOW places apart are compared (sorted
-neighbourhood).  The line is cut into blocks of fixed length that overlap by a
+neighbourhood); pairs are left out before only where an upper bound of their
+score shows that they can't reach the threshold.  The line is cut into blocks of fixed length that overlap by a
 window, so equal keys of any number make no large group.  Besides, records with
 an equal title body, abbreviation, code or day are all compared, in tiles of a
 block by a block, so none of these pairs depends on the window.  Weighted agreements
@@ -33,7 +34,6 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,13 +202,67 @@ def confidence(points: float) -> float:
     return round(1 / (1 + math.exp(-(points - 3) / 2)), 6)
 
 
-def _mark(text: str, bits: int = 256) -> bytes:
-    """Bits of the text's trigrams."""
-    out = bytearray(bits // 8)
-    for i in range(len(text) - 2):
-        h = xxhash.xxh32_intdigest(text[i : i + 3].encode()) % bits
-        out[h >> 3] |= 1 << (h & 7)
-    return bytes(out)
+def _marks(texts: list[str], bits: int = 256) -> list[bytes]:
+    """Of each text (ASCII) the bits of its trigrams."""
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("ascii"), np.uint8).astype(np.uint32)
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[: max(0, len(codes) - 2)]
+    gram = (codes[:-2] << 16) | (codes[1:-1] << 8) | codes[2:]
+    inside = (codes[:-2] != 10) & (codes[1:-1] != 10) & (codes[2:] != 10)
+    with np.errstate(over="ignore"):
+        place = ((gram * np.uint32(0x9E3779B1)) >> np.uint32(15)) % np.uint32(bits)
+    out = np.zeros((len(texts), bits), bool)
+    out[owner[inside], place[inside]] = True
+    return [row.tobytes() for row in np.packbits(out, axis=1)]
+
+
+def _numbers(values: pd.Series) -> np.ndarray:
+    """Equal texts as equal numbers; -1 for empty ones."""
+    codes, names = pd.factorize(values.fillna(""))
+    return np.where(names.isin([""])[codes], -1, codes) if len(values) else codes
+
+
+class Bound:
+    """An upper bound of ``score`` for many pairs at once; what stays below the threshold need not be compared.
+
+    An edit changes at most four trigrams (a swap of neighbours), so titles of which one has t trigrams that the
+    other lacks are at least t / 4 edits apart.  All other parts are exact or bounded by the lengths.
+    """
+
+    def __init__(self, frame: pd.DataFrame):
+        self.year = frame["year"].astype("Float64").to_numpy(float, na_value=np.nan)
+        self.day = frame["day"].astype("Float64").to_numpy(float, na_value=np.nan)
+        self.code, self.first = _numbers(frame["code"]), _numbers(frame["code"].str.split("-").str[0])
+        self.abbr, self.tail = _numbers(frame["abbr"]), _numbers(frame["abbr"].str.extract(r"(\d*)$", expand=False))
+        self.abbr_length, self.length = (frame[c].str.len().to_numpy(int) for c in ("abbr", "title"))
+        self.ordinal = _numbers(frame["ordinal"])
+        self.mark = np.frombuffer(b"".join(frame["mark"]), np.uint64).reshape(len(frame), -1)
+
+    def title(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        x, y, m, n = self.mark[i], self.mark[j], self.length[i], self.length[j]
+        only_x, only_y = np.bitwise_count(x & ~y).sum(1).astype(int), np.bitwise_count(y & ~x).sum(1).astype(int)
+        apart, most, least = np.maximum(np.maximum(only_x, only_y) / 4, np.abs(m - n)), np.maximum(np.maximum(m, n), 1), np.minimum(m, n)
+        sim = 1 - apart / most + 1e-9
+        points = np.select([sim >= 0.97, sim >= 0.9, sim >= 0.8, sim >= 0.65], [6.0, 5.0, 3.0, 0.5], -5.0)
+        cut = (least >= 25) & (np.abs(m - n) > 3) & (np.where(m <= n, only_x, only_y) <= 4 * (least // 12))
+        points = np.where(cut, np.maximum(points, 3.0), points)
+        return np.where(least == 0, 0.0, np.where((self.ordinal[i] >= 0) & (self.ordinal[j] >= 0) & (self.ordinal[i] != self.ordinal[j]), -6.0, points))
+
+    def others(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        years, days = self.year[i] - self.year[j], np.abs(self.day[i] - self.day[j])
+        date = np.where(np.isnan(years), 0.0, np.where(np.isnan(days), np.where(years == 0, 2.0, -12.0), np.where(days == 0, 4.0, np.where(days <= DAYS, 3.0, -12.0))))
+        code = np.where((self.code[i] < 0) | (self.code[j] < 0), 0.0, np.where(self.code[i] == self.code[j], 2.5, np.where(self.first[i] == self.first[j], 2.0, -1.5)))
+        far = np.abs(self.abbr_length[i] - self.abbr_length[j])
+        near = np.select([far <= 1, far == 2, far <= 4], [3.0, 2.0, 0.0], -4.0)
+        abbr = np.where((self.abbr[i] < 0) | (self.abbr[j] < 0), 0.0, np.where(self.abbr[i] == self.abbr[j], 5.0, np.where(self.tail[i] == self.tail[j], near, 0.0)))
+        return date + code + abbr
+
+    def may_reach(self, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+        """Which of the pairs (i, j) may reach the threshold."""
+        out = self.others(i, j)
+        at = np.flatnonzero(out + 6 >= threshold)
+        kept = np.zeros(len(out), bool)
+        kept[at] = out[at] + self.title(i[at], j[at]) >= threshold
+        return kept
 
 
 FIELDS = ("title", "body", "ordinal", "abbr", "code")
@@ -223,8 +277,9 @@ def records(rows: DataFrame, side: int) -> DataFrame:
             out = []
             for key, *texts in batch.itertuples(index=False):
                 r = prepared(*[None if x is None or x != x else x for x in texts])
-                out.append((side, key, *[r[f] for f in FIELDS], r["day"], r["year"], _mark(r["body"]), sort_keys(r) if r["title"] or r["abbr"] else []))
+                out.append((side, key, *[r[f] for f in FIELDS], r["day"], r["year"], None, sort_keys(r) if r["title"] or r["abbr"] else []))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in _SHAPE.split(", ")])
+            frame["mark"] = _marks(frame["title"].tolist())
             yield frame.astype({"day": "Int32", "year": "Int32"})
 
     text = [F.col(c).cast("string").alias(c) for c in ("title", "abbr", "code", "date")]
@@ -266,21 +321,14 @@ def _compare(window: int, threshold: float):
         frame = frame.sort_values("at", kind="stable").reset_index(drop=True)
         at, own, home = frame["at"].to_numpy(), frame["own"].to_numpy(), frame["block"].to_numpy()
         side, key = frame["side"].to_numpy(), frame["id"].to_numpy()
-        year = frame["year"].astype("Float64").to_numpy(float, na_value=-9999)
-        day = frame["day"].astype("Float64").to_numpy(float, na_value=np.nan)
-        mark = np.frombuffer(b"".join(frame["mark"]), np.uint64).reshape(len(frame), -1)
-        size = np.bitwise_count(mark).sum(1).astype(int)
-        abbr = frame["abbr"].to_numpy()
-        rows, seen, out = _records_of(frame), set(), []
+        bound, rows, seen, out = Bound(frame), _records_of(frame), set(), []
         for step in range(1, window):
             # A pair is compared where its later record is at home.
             i = np.arange(len(frame) - step)
             j = i + step
             near = (side[i] != side[j]) & (own[j] == home[j]) & (at[j] - at[i] == step)
-            near &= (year[i] < -9000) | (year[j] < -9000) | (np.abs(year[i] - year[j]) <= 1)
             i, j = i[near], j[near]
-            common = np.bitwise_count(mark[i] & mark[j]).sum(1)
-            alike = (day[i] == day[j]) | (2 * common >= 0.45 * (size[i] + size[j])) | (abbr[i] == abbr[j]) & (abbr[i] != "") | (size[i] == 0) | (size[j] == 0) | (common >= 0.8 * np.minimum(size[i], size[j]))
+            alike = bound.may_reach(i, j, threshold)
             for a, b in zip(i[alike].tolist(), j[alike].tolist(), strict=True):
                 if side[a]:
                     a, b = b, a
@@ -299,7 +347,7 @@ def _compare(window: int, threshold: float):
 def _runs(prepared_records: DataFrame, block: int) -> DataFrame:
     """Records whose title body, abbreviation, code or day stands on both sides, in tiles that show every such pair."""
     fields = [F.when(there, F.concat(F.lit(c), F.lit(" "), F.col(c).cast("string"))) for c, there in (*((c, F.col(c) != "") for c in ("body", "abbr", "code")), ("day", F.col("day").isNotNull()))]
-    rows = prepared_records.filter(F.size("keys") > 0).withColumn("run", F.explode(F.array_compact(F.array(*fields)))).drop("keys", "mark", "body")
+    rows = prepared_records.filter(F.size("keys") > 0).withColumn("run", F.explode(F.array_compact(F.array(*fields)))).drop("keys", "body")
     sizes = rows.groupBy("run").agg(F.sum(1 - F.col("side")).alias("nl"), F.sum("side").alias("nr")).filter("nl > 0 and nr > 0")
     law = F.col("side") == 0
     tiles = [F.ceil(F.col(c) / block) for c in ("nl", "nr")]
@@ -313,13 +361,11 @@ def _compare_tiles(threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.reset_index(drop=True)
         side, key = frame["side"].to_numpy(), frame["id"].to_numpy()
-        year = frame["year"].astype("Float64").to_numpy(float, na_value=np.nan)
-        rows, seen, out = _records_of(frame), set(), []
+        bound, rows, seen, out = Bound(frame), _records_of(frame), set(), []
         for at in frame.groupby("tile").indices.values():
             regs = at[side[at] == 1]
             for a in at[side[at] == 0].tolist():
-                # More than a year apart nothing reaches the threshold.
-                for b in regs[~(np.abs(year[regs] - year[a]) > 1)].tolist():
+                for b in regs[bound.may_reach(np.full(len(regs), a), regs, threshold)].tolist():
                     if (key[a], key[b]) in seen:
                         continue
                     seen.add((key[a], key[b]))

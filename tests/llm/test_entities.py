@@ -27,6 +27,44 @@ def test_preparation():
     assert E.prepared(None, "ABC 2025", None, None)["year"] == 2025
 
 
+def test_bound_holds():
+    """No pair that reaches the threshold is left out before it is compared, however damaged its texts are."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnop 0123456789"
+
+    def damaged(t, n):
+        t = list(t)
+        for _ in range(n):
+            k = rng.randrange(4)
+            i = rng.randrange(max(1, len(t) - 1))
+            if k == 0 and t:
+                del t[i]
+            elif k == 1:
+                t.insert(i, rng.choice(letters))
+            elif k == 2 and t:
+                t[i] = rng.choice(letters)
+            elif len(t) > 1:
+                t[i], t[i + 1] = t[i + 1], t[i]
+        return "".join(t)
+
+    records = []
+    for k in range(700):
+        title, abbr = f"gesetz ueber die {rng.choice(NOUNS)} {rng.choice(NOUNS)} im {rng.choice(NOUNS)}wesen", rng.choice(NOUNS)[:5] + rng.choice(["", "g", "1999", "2001"])
+        for cut in (None, rng.randrange(20, 60)):
+            records.append({"title": " ".join(damaged(title[:cut], rng.randrange(12)).split()) if rng.random() < 0.9 else "", "ordinal": rng.choice(["", "", "erste", "zweite"]), "abbr": damaged(abbr, rng.randrange(4)).replace(" ", "") if rng.random() < 0.8 else "", "code": rng.choice(["", "1-2", "1-2-3", "7-1"]), "day": (day := rng.choice([None, 0, 5, 39, 41, 400])), "year": None if day is None and rng.random() < 0.5 else 1970 + (day or 0) // 365, "body": ""})
+    import pandas as pd
+
+    frame = pd.DataFrame(records).astype({"day": "Int32", "year": "Int32"})
+    frame["mark"] = E._marks(frame["title"].tolist())
+    i, j = (np.array(x) for x in zip(*[(rng.randrange(len(records)), rng.randrange(len(records))) for _ in range(12_000)], *[(2 * k, 2 * k + 1) for k in range(700)], strict=True))
+    bound = E.Bound(frame)
+    top = bound.others(i, j) + bound.title(i, j)
+    exact = np.array([E.date_points(records[a], records[b]) + E.code_points(records[a], records[b]) + E.abbr_points(records[a], records[b]) + E.title_points(records[a], records[b]) for a, b in zip(i, j, strict=True)])
+    assert (exact <= top + 1e-9).all() and (exact >= E.THRESHOLD).sum() > 100
+    kept = bound.may_reach(i, j, E.THRESHOLD)
+    assert kept[exact >= E.THRESHOLD].all() and not kept.all()
+
+
 NOUNS = ["kalk", "torf", "moor", "obst", "eis", "salz", "wein", "rohr", "seil", "honig", "draht", "kork", "hopfen", "jagd"]
 
 
