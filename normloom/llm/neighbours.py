@@ -5,9 +5,9 @@ that sample, and every vector is assigned to the leaf nearest to it.  A query
 walks the tree best bin first: a priority queue holds the nodes that were seen,
 leaves by the distance of their centre, inner nodes by that distance less REACH
 times the radius of what lies below, and gives the leaves in the order they are
-visited.  ``Tree.walk`` keeps the queues of many queries at once and opens, of
-each query, the first inner node as long as it comes before the leaves that are
-still due; ``Tree.best_bin_first`` is the same queue for a single query.  How
+visited.  ``Tree.walk`` keeps the queues of many queries at once, neighbours in
+leaf order mostly, and opens inner nodes as long as they come before leaves that
+are still due; ``Tree.best_bin_first`` is the same queue for a single query.  How
 many leaves are visited is calibrated: for about PROBES vectors the exact
 neighbours are found by a full pass over all vectors, and the visits are
 widened until TARGET of those neighbours lie in visited leaves.
@@ -133,46 +133,33 @@ class Tree:
     def walk(self, q: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
         """The leaves that each query's queue gives first, (queries, visits), and their places in it; -1 where there are no more.
 
-        Each row of ``key`` is the queue of a query.  A leaf is given once no inner node comes before it.  So in each
-        round the nodes that come before the last leaf due are opened, all at once; while too few leaves are known,
-        as many of the first nodes as should hold them.
+        ``closed`` and ``known`` are the queues of all queries: places of inner nodes that are not open, and of leaves.
+        A leaf is given once no inner node comes before it.  So in each round the nodes that come before the last leaf
+        due to some query are opened; while too few leaves are known, as many of the first nodes as should hold them.
+        A node that only other queries need moves nothing, as what lies below never comes before it.
         """
         if len(self.parents) == 1:
             return np.zeros((len(q), 1), np.int64), np.zeros((len(q), 1), np.float32)
-        n, size = len(q), 64
-        key, node, used = np.full((n, size), np.inf, np.float32), np.zeros((n, size), np.int32), np.zeros(n, np.int64)
-        closed = np.full((n, size), np.inf, np.float32)  # places of inner nodes that are not open
-        rows, opened, reached = np.arange(n), np.zeros(n, np.int32), np.full(n, -np.inf, np.float32)
-        while len(rows):
-            order = np.argsort(opened, kind="stable")
-            cut = np.flatnonzero(np.diff(opened[order], prepend=-1))
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], strict=True):
-                kids, at = self.kids[opened[order[a]]], rows[order[a:b]]
-                while (used[at] + len(kids)).max() > size:
-                    key, node, closed = (np.concatenate([x, np.full((n, size), f, x.dtype)], 1) for x, f in ((key, np.inf), (node, 0), (closed, np.inf)))
-                    size *= 2
-                # What lies below a node never comes before it.
-                place, to = np.maximum(self.keys(q[at], kids), reached[order[a:b], None]), (at[:, None], used[at][:, None] + np.arange(len(kids)))
-                leaf = self.leaf_of[kids] >= 0
-                key[to], closed[to], node[to] = np.where(leaf, place, np.inf), np.where(leaf, np.inf, place), kids
-                used[at] += len(kids)
-            wide = int(used.max())
-            due = np.partition(key[:, :wide], visits - 1, axis=1)[:, visits - 1] if wide >= visits else np.full(n, np.inf, np.float32)
-            short = np.flatnonzero(np.isinf(due))
-            if len(short):
-                known = np.isfinite(key[short, :wide]).sum(1)
-                first = np.sort(closed[short, :wide], axis=1)
-                due[short] = first[np.arange(len(short)), np.minimum((visits - known) // BRANCHES + 1, wide - 1)]
-                # Equal ones go together; with few nodes left all of them are opened.
-                due[short] = np.minimum(np.nextafter(due[short], np.float32(np.inf)), np.finfo(np.float32).max)
-            rows, at = np.nonzero(closed[:, :wide] < due[:, None])
-            opened, reached = node[rows, at], closed[rows, at]
-            closed[rows, at] = np.inf
-        some = min(visits, key.shape[1])
-        best = np.argpartition(key, some - 1, axis=1)[:, :some]
-        far = np.take_along_axis(key, best, 1)
-        leaf = np.where(far < np.inf, self.leaf_of[np.take_along_axis(node, best, 1)], -1)
-        return leaf, far
+        closed, known = np.full((len(q), 1), -np.inf, np.float32), np.zeros((len(q), 0), np.float32)
+        nodes, leaves = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        while len(nodes):
+            if len(leaves) >= visits:
+                due = np.partition(known, visits - 1, axis=1)[:, visits - 1]
+            else:
+                more = min((visits - len(leaves)) // BRANCHES, len(nodes) - 1)
+                due = np.nextafter(np.partition(closed, more, axis=1)[:, more], np.float32(np.inf))
+            opened = (closed < due[:, None]).any(0)
+            if not opened.any():
+                break
+            kids = [self.kids[node] for node in nodes[opened].tolist()]
+            new = np.concatenate(kids)
+            place = np.maximum(self.keys(q, new), np.repeat(closed[:, opened], [len(k) for k in kids], axis=1))
+            leaf = self.leaf_of[new] >= 0
+            known, leaves = np.concatenate([known, place[:, leaf]], 1), np.concatenate([leaves, self.leaf_of[new[leaf]]])
+            closed, nodes = np.concatenate([closed[:, ~opened], place[:, ~leaf]], 1), np.concatenate([nodes[~opened], new[~leaf]])
+        some = min(visits, len(leaves))
+        best = np.argpartition(known, some - 1, axis=1)[:, :some]
+        return leaves[best], np.take_along_axis(known, best, 1)
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each vector: the first its queue gives."""
@@ -299,6 +286,17 @@ class Block:
         row, col = row[kept], col[kept]
         return row, col, np.round(np.einsum("ij,ij->i", q[row], self.units[col]), DIGITS), pairs
 
+    def best(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each query the k best of all rows, ties in and near the rounding included: query, row and similarity."""
+        found = []
+        for part in _chunks(len(q)):
+            s = q[part].astype(np.float32) @ self.singles.T
+            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -2, np.float32)
+            row, col = np.nonzero(s >= least[:, None] - np.float32(SLACK))
+            found.append((row + part.start, col))
+        row, col = (np.concatenate(x) for x in zip(*found, strict=True))
+        return row, col, np.round(np.einsum("ij,ij->i", q[row], self.units[col]), DIGITS)
+
     def floors(self, k: int) -> np.ndarray:
         """For each row the k-th best similarity within its own part, itself included; -2 where the part has fewer."""
         out = np.full(len(self.cids), -2.0)
@@ -349,7 +347,7 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", column: str = "embedding
     first = Window.partitionBy("x", "y").orderBy("id")
     low = hashed.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
     classes = written(low.groupBy("x", "y").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("x", "y", F.col("ids")[0].alias("cid"), "ids"), "classes")
-    reps = rows.join(classes.select(F.col("cid").alias("id"), "x", "y"), ["id", "x", "y"]).dropDuplicates(["id"])
+    reps = rows.dropDuplicates(["id", "x", "y"]).join(classes.select(F.col("cid").alias("id"), "x", "y"), ["id", "x", "y"])
     reps = written(reps.select(F.col("id").alias("cid"), "v"), "reps")
     n = classes.count()
 
@@ -385,7 +383,9 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", column: str = "embedding
         if kept:
             yield block(kept)
 
-    ordered = reps.mapInPandas(assign, "leaf long, cid long, v binary").repartitionByRange(max(1, -(-n // size)), "leaf", "cid").sortWithinPartitions("leaf", "cid")
+    # Written, as a partitioning by ranges reads its input twice.
+    assigned = written(reps.mapInPandas(assign, "leaf long, cid long, v binary"), "assigned")
+    ordered = assigned.repartitionByRange(max(1, -(-n // size)), "leaf", "cid").sortWithinPartitions("leaf", "cid")
     blocks = written(ordered.mapInPandas(pack, _PACK), "blocks")
     visits = _calibrated(blocks, reps, shared, k, width, target, n)
     # A row for each leaf and block that holds some of it: leaves and blocks in number, whatever the vectors.
@@ -498,8 +498,7 @@ def _calibrated(blocks: DataFrame, reps: DataFrame, shared, k: int, width: int,
         for batch in batches:
             for row in batch.to_dict("records"):
                 x = Block(row, width)
-                every = [(leaf, np.arange(len(q))) for leaf in np.unique(x.leaves).tolist()]
-                a, b, s, _ = x.search(q, np.full(len(q), -2.0), np.full(len(q), np.inf), every, k + 1)
+                a, b, s = x.best(q, k + 1)
                 part = x.part_of_rows()[b]
                 # A part of a leaf comes at its own distance, if that is farther than the leaf's place.
                 far = np.sqrt(((q[a] - x.centres[part]) ** 2).sum(1)) * (np.bincount(x.leaves)[x.leaves[part]] > 1)
