@@ -2,18 +2,20 @@
 
 Problem 4.  Values are deduplicated and normalised.  Every entry stands in a
 character n-gram inverted index with its name, its abbreviation and the common
-shortenings of both; a value's candidates are the spellings that share n-grams
-with it, scored by the cosine of n-gram vectors weighted by inverse document
-frequency.  The best CANDIDATES of these are compared letter by letter.  The
-edits (a swap of neighbours being one) must lead the best other entry by a
-margin and stay below a threshold, in all and in the stem alone: there a few
-letters make another name, while the endings of acts are told apart anyway.
-Short values, in which a single letter makes another abbreviation, need full
-agreement.  A name whose first word is cut off with a stop or a dash agrees
-with the one entry that fits both parts.
+shortenings of both.  A value is scored with all spellings by the cosine of
+n-gram vectors weighted by inverse document frequency.  The best entry must
+reach LEAST_COSINE and lead the next one by NEAR; entries within NEAR of the
+best are told apart letter by letter.  An exact check follows: the edits (a swap
+of neighbours being one) must stay below what the value's length allows, from
+none for abbreviations to MOST_EDITS for long names, in all and in the stem
+alone, and the next entry within NEAR must be MARGIN edits behind.  A name whose
+first word is cut off with a stop or a dash agrees with the one entry that
+reaches LEAST_COSINE and fits both parts.
 
 Reference lists of bounded size are broadcast as an index; larger ones are
-joined on n-grams.
+joined on n-grams.  There a value looks up only its rarest n-grams: what shares
+none of them has a cosine below LEAST_COSINE for certain, as the others' weights
+are too small together.
 
 Defined results: null, empty and general words let the second text speak; what
 names no entry is -1; of repeated rows one counts; an empty list maps
@@ -36,10 +38,12 @@ from pyspark.sql.types import StringType
 from normloom.runtime import default_parallelism, written
 
 UNMATCHED = -1
-#: Characters of an n-gram; candidates compared letter by letter, and the least cosine of one.
-GRAM, CANDIDATES, LEAST_COSINE = 3, 10, 0.15
-#: Edits allowed in all; letters of the stem for each edit allowed there; edits the next entry must be behind; letters up to which a value is short.
-MOST_EDITS, STEM_LETTERS, MARGIN, SHORT = 5, 5, 1, 9
+#: Characters of an n-gram; the least cosine of a candidate, and how far behind the best one the next must be to be left out.
+GRAM, LEAST_COSINE, NEAR = 3, 0.25, 0.12
+#: Edits allowed at most; letters without any, and letters for each edit beyond these.
+MOST_EDITS, EXACT_LETTERS, EDIT_LETTERS = 5, 9, 1
+#: Letters of the stem for each edit allowed there; edits the next entry must be behind.
+STEM_LETTERS, MARGIN = 5, 1
 #: Entries of a reference list that is broadcast.
 BROADCAST_ENTRIES = 20_000
 #: Different values that one task maps.
@@ -145,13 +149,9 @@ class Index:
                 self.entry.append(key)
                 self.text.append(s)
         self.keys = np.array(self.entry, np.int64)
-        self.exact: dict[str, set[int]] = defaultdict(set)
-        for k, s in zip(self.entry, self.text, strict=True):
-            self.exact[s].add(k)
         self.spelled: dict[int, list[str]] = defaultdict(list)
         for k, t in zip(self.entry, self.text, strict=True):
-            if len(t) > SHORT:
-                self.spelled[k].append(t)
+            self.spelled[k].append(t)
         self.names = {key: letters(cleaned(name or "")) for key, _, name in entries}
         holds = [grams(s) for s in self.text]
         df = Counter(g for h in holds for g in h)
@@ -179,11 +179,10 @@ class Index:
         return np.bincount(at, value, len(self.keys)) / length
 
     def candidates(self, s: str) -> list[tuple[int, float]]:
-        """The best entries and their best cosine, best first."""
-        cosine = self.scores(s)
-        best = np.maximum.reduceat(cosine, self.first)
-        top = np.argsort(-best, kind="stable")[:CANDIDATES]
-        return [(self.entry[self.first[i]], float(best[i])) for i in top[best[top] >= LEAST_COSINE].tolist()]
+        """All entries that reach the least cosine with their best one, best first."""
+        best = np.maximum.reduceat(self.scores(s), self.first)
+        at = np.flatnonzero(best >= LEAST_COSINE)
+        return [(self.entry[self.first[i]], float(best[i])) for i in at[np.argsort(-best[at], kind="stable")].tolist()]
 
 
 def edits(a: str, b: str) -> int:
@@ -222,30 +221,37 @@ def decide(index: Index, clean: str) -> tuple[int, float]:
     s = letters(clean)
     if not s or not len(index.keys):
         return UNMATCHED, 0.0
-    hit = index.exact.get(s, ())
-    if len(hit) == 1:
-        return next(iter(hit)), 1.0
     return judge(clean, index.candidates(s), index.spelled, index.names)
 
 
+def allowed(n: int) -> int:
+    """Edits that a value of n letters may have."""
+    return min(MOST_EDITS, max(0, n - EXACT_LETTERS) // EDIT_LETTERS)
+
+
 def judge(clean: str, best: list[tuple[int, float]], spelled: dict[int, list[str]], names: dict[int, str]) -> tuple[int, float]:
-    """The letter-by-letter comparison of a value with its candidates (entry, cosine)."""
+    """Threshold, margin and exact check of a value's candidates (entry, cosine), best first."""
     s = letters(clean)
-    cut = [key for key, _ in best if _fits(clean, names[key])]
-    if len(cut) == 1:
-        return cut[0], 1.0
-    if not best or len(s) <= SHORT:
+    if not best:
         return UNMATCHED, 0.0
-    far = sorted((min((_apart(s, t) for t in spelled[key]), default=99), -cosine, key) for key, cosine in best)
+    near = [(key, cosine) for key, cosine in best if cosine >= best[0][1] - NEAR]
+    if near[0][1] < 1 - 1e-9:
+        cut = [key for key, _ in best if _fits(clean, names[key])]
+        if len(cut) == 1:
+            return cut[0], 1.0
+    most = allowed(len(s))
+    far = sorted((min((_apart(s, t, most) for t in spelled[key]), default=99), -cosine, key) for key, cosine in near)
     d, _, key = far[0]
-    good = d <= MOST_EDITS and (len(far) < 2 or far[1][0] - d >= MARGIN) and _stem_apart(s, names[key])
+    good = d <= most and (len(far) < 2 or far[1][0] - d >= MARGIN) and (not d or _stem_apart(s, names[key]))
     return (key if good else UNMATCHED), round(max(0.0, 1 - d / len(s)), 6)
 
 
-def _apart(a: str, b: str) -> int:
+def _apart(a: str, b: str, most: int = MOST_EDITS) -> int:
     """Edits between two words, as they stand or blurred; 99 where their lengths show that there are too many."""
-    if abs(len(a) - len(b)) > MOST_EDITS + MARGIN:
+    if abs(len(a) - len(b)) > most + MARGIN:
         return 99
+    if a == b or not most:
+        return 0 if a == b else 99
     d, x, y = edits(a, b), blurred(a), blurred(b)
     return d if not d or (x == a and y == b) else min(d, edits(x, y))
 
@@ -289,8 +295,16 @@ def _decided(values: DataFrame, entries: DataFrame) -> DataFrame:
     return values.repartition(parts, F.xxhash64("value")).mapInPandas(run, "value string, entry long, agreement double")
 
 
+def _rarest(weights: list[float]) -> int:
+    """How many of the weights, greatest first, must be looked up: the rest together lie below the least cosine."""
+    w = np.asarray(weights)
+    rest = np.sqrt(np.maximum(0, (w * w).sum() - np.cumsum(w * w)))
+    return int(np.argmax(rest < LEAST_COSINE * np.sqrt((w * w).sum()) - 1e-9)) + 1
+
+
 def _joined(values: DataFrame, entries: DataFrame) -> DataFrame:
-    """The same by joins on spellings and n-grams, for lists of any size."""
+    """The same by joins on n-grams, for lists of any size."""
+    pair = "array<struct<w:double,g:string>>"
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -299,39 +313,49 @@ def _joined(values: DataFrame, entries: DataFrame) -> DataFrame:
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            s = [letters(v) for v in batch["value"]]
-            held = [grams(x) for x in s]
-            yield pd.DataFrame({"value": batch["value"], "s": s, "g": [list(h) for h in held], "n": [list(map(float, h.values())) for h in held]})
+            held = [grams(letters(v)) for v in batch["value"]]
+            yield pd.DataFrame({"value": batch["value"], "g": [list(h) for h in held], "n": [list(map(float, h.values())) for h in held]})
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rarest n-grams of each value."""
+        for batch in batches:
+            rows = [(v, w, [x["g"] for x in w[: _rarest([x["w"] for x in w])]]) for v, w in zip(batch["value"], map(list, batch["ws"]), strict=True)]
+            yield pd.DataFrame(rows, columns=["value", "ws", "rare"])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for a, b in zip(batch["ws"], batch["own"], strict=True):
+                x, y = {p["g"]: p["w"] for p in a}, {p["g"]: p["w"] for p in b}
+                out.append(sum(w * y.get(g, 0.0) for g, w in x.items()) / np.sqrt(sum(w * w for w in x.values()) * sum(w * w for w in y.values())))
+            yield pd.DataFrame({"value": batch["value"], "entry": batch["entry"], "cosine": out})
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for row in batch.itertuples():
-                best = [] if row.best is None else sorted(((b["entry"], b["cosine"]) for b in row.best), key=lambda x: (-x[1], x[0]))
-                spelled = {} if row.best is None else {b["entry"]: [t for t in b["spelled"] if len(t) > SHORT] for b in row.best}
-                names = {} if row.best is None else {b["entry"]: b["name"] for b in row.best}
-                exact = None if _none(row.exact) else int(row.exact)
-                out.append((row.value, exact, 1.0) if exact is not None else (row.value, *(judge(row.value, best, spelled, names) if row.s else (UNMATCHED, 0.0))))
+            for value, found in zip(batch["value"], batch["best"], strict=True):
+                best = [] if found is None else sorted(((b["entry"], b["cosine"]) for b in found), key=lambda x: (-x[1], x[0]))
+                spelled = {} if found is None else {b["entry"]: list(b["spelled"]) for b in found}
+                names = {} if found is None else {b["entry"]: b["name"] for b in found}
+                out.append((value, *judge(value, best, spelled, names)))
             yield pd.DataFrame(out, columns=["value", "entry", "agreement"])
 
-    spelled = entries.distinct().mapInPandas(spell, "entry long, name string, t string, g array<string>, n array<double>")
-    parts = values.mapInPandas(split, "value string, s string, g array<string>, n array<double>")
+    spelled = written(entries.distinct().mapInPandas(spell, "entry long, name string, t string, g array<string>, n array<double>"), "spelled")
+    parts = values.mapInPandas(split, "value string, g array<string>, n array<double>")
     pairs = lambda df, *keep: df.select(*keep, F.explode(F.arrays_zip("g", "n")).alias("p")).select(*keep, "p.g", "p.n")
     total = spelled.count()
     own = pairs(spelled, "entry", "t")
     idf = own.groupBy("g").agg(F.log(F.lit(1) + F.lit(total) / F.count(F.lit(1))).alias("idf"))
-    weighted = lambda df, *keep: df.join(idf, "g", "left").select(*keep, "g", (F.col("n") * F.coalesce("idf", F.log(F.lit(1.0 + total)))).alias("w"))
-    left, right = weighted(pairs(parts, "value"), "value"), weighted(own, "entry", "t")
-    size = lambda df, name, *keys: df.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    dots = left.withColumnRenamed("w", "a").join(right, "g").groupBy("value", "entry", "t").agg(F.sum(F.col("a") * F.col("w")).alias("dot"))
-    cosine = dots.join(size(left, "x", "value"), "value").join(size(right, "y", "entry", "t"), ["entry", "t"]).groupBy("value", "entry").agg(F.max(F.col("dot") / (F.col("x") * F.col("y"))).alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("value").orderBy(F.col("cosine").desc(), "entry"))
-    top = cosine.filter(F.col("cosine") >= LEAST_COSINE).withColumn("r", rank).filter(F.col("r") <= CANDIDATES)
+    weighted = lambda df, *keep: df.join(idf, "g", "left").select(*keep, F.struct((F.col("n") * F.coalesce("idf", F.log(F.lit(1.0 + total)))).alias("w"), "g").alias("p"))
+    whole = lambda df, name, *keep: weighted(df, *keep).groupBy(*keep).agg(F.sort_array(F.collect_list("p"), asc=False).alias(name))
+    left = written(whole(pairs(parts, "value"), "ws", "value").mapInPandas(look, f"value string, ws {pair}, rare array<string>"), "looked")
+    right = written(whole(own, "own", "entry", "t"), "postings")
+    met = left.select("value", F.explode("rare").alias("g")).join(right.select("entry", "t", F.explode("own.g").alias("g")), "g").select("value", "entry", "t").distinct()
+    scored = met.join(left.select("value", "ws"), "value").join(right, ["entry", "t"]).select("value", "entry", "ws", "own").mapInPandas(score, "value string, entry long, cosine double")
+    top = scored.filter(F.col("cosine") >= LEAST_COSINE).groupBy("value", "entry").agg(F.max("cosine").alias("cosine"))
     forms = spelled.groupBy("entry", "name").agg(F.array_sort(F.collect_list("t")).alias("spelled"))
     best = top.join(forms, "entry").groupBy("value").agg(F.collect_list(F.struct("entry", "cosine", "name", "spelled")).alias("best"))
-    exact = spelled.groupBy("t").agg(F.min("entry").alias("exact"), F.count_distinct("entry").alias("k")).filter("k = 1").select(F.col("t").alias("s"), "exact")
-    whole = parts.select("value", "s").join(exact, "s", "left").join(best, "value", "left").select("value", "s", "exact", "best")
-    return whole.mapInPandas(settle, "value string, entry long, agreement double")
+    return values.join(best, "value", "left").select("value", "best").mapInPandas(settle, "value string, entry long, agreement double")
 
 
 def mapped(refs: DataFrame, entries: DataFrame, key: str = "ref_id", first: str = "book", second: str = "span_text", most: int = BROADCAST_ENTRIES) -> DataFrame:

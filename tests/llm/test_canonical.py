@@ -67,3 +67,28 @@ def test_empty(spark, most):
 def test_long_value():
     index = C.Index(BOOKS)
     assert C.decide(index, C.named("klapaco " * 20_000, None))[0] == -1
+
+
+def test_siblings_and_both_ways(spark):
+    """More than ten entries that differ by their endings, and the same results by the index and by joins."""
+    rng = random.Random(5)
+    stems = ["muehlen", "torf", "kalk", "gerberei", "klaeranlagen"]
+    second = ["abgaben", "foerder", "pacht", "zonen", "messungs", "karten", "wacht"]
+    books = [(i, f"A{i}Xyz", f"{a}{b}{c}") for i, (a, b, c) in enumerate((a, b, c) for a in stems for b in second for c in ("gesetz", "verordnung", "ordnung", "gesetzbuch"))]
+    values = {name: i for i, _, name in books} | {short.lower(): i for i, short, _ in books}
+    for i, _, name in books:
+        at = rng.randrange(1, len(name) - 12)
+        values[name[:at] + "q" + name[at:]] = i
+    refs = [(i, v, None, 1, "x") for i, v in enumerate(values)]
+    table, rows = spark.createDataFrame(books, "book_id long, jurabk string, name string"), spark.createDataFrame(refs, SHAPE)
+    by_index, by_join = ({r["ref_id"]: (r["entry"], r["agreement"]) for r in C.mapped(rows, table, most=most).collect()} for most in (1_000, 0))
+    assert by_index == by_join
+    want = dict(enumerate(values.values()))
+    wrong = [i for i in want if by_index[i][0] != want[i]]
+    assert all(by_index[i][0] == C.UNMATCHED for i in wrong) and len(wrong) <= 0.03 * len(want)
+
+
+def test_allowed():
+    """The fewer letters, the fewer edits, without a step from one length to the next."""
+    edits = [C.allowed(n) for n in range(40)]
+    assert edits[0] == edits[C.EXACT_LETTERS] == 0 and edits[-1] == C.MOST_EDITS and all(b - a in (0, 1) for a, b in zip(edits, edits[1:], strict=False))
