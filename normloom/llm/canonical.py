@@ -240,9 +240,12 @@ def judge(clean: str, best: list[tuple[int, float]], spelled: dict[int, list[str
         if len(cut) == 1:
             return cut[0], 1.0
     most = allowed(len(s))
+    same = [key for key, _ in near if s in spelled[key]]
+    if same:  # Any other is an edit or more away.
+        return (same[0], 1.0) if len(same) == 1 else (UNMATCHED, 1.0)
     far = sorted((min((_apart(s, t, most) for t in spelled[key]), default=99), -cosine, key) for key, cosine in near)
     d, _, key = far[0]
-    good = d <= most and (len(far) < 2 or far[1][0] - d >= MARGIN) and (not d or _stem_apart(s, names[key]))
+    good = d <= most and (len(far) < 2 or far[1][0] - d >= MARGIN) and _stem_apart(s, names[key])
     return (key if good else UNMATCHED), round(max(0.0, 1 - d / len(s)), 6)
 
 

@@ -44,7 +44,11 @@ def p9_shared(spark: SparkSession, directory: str) -> DataFrame:
     return spans.shared_share(table(spark, directory, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_shared": p9_shared}
+def p9_kept(spark: SparkSession, directory: str) -> DataFrame:
+    return spans.kept_texts(table(spark, directory, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_found": p5_found, "p5_confidence": p5_confidence, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_shared": p9_shared, "p9_kept": p9_kept}
 
 _STRETCHES = f"""g as (select doc_id, i, hash(substring(text, i::bigint, {spans.LEAST})) as h
   from (select doc_id, text, unnest(range(1, length(text) - {spans.LEAST} + 2)) as i from documents where length(text) >= {spans.LEAST}))"""
@@ -61,6 +65,15 @@ select distinct least(a, b) as vec_id_a, greatest(a, b) as vec_id_b from n""",
     "p9_found": f"""
 with {_STRETCHES}, d as (select distinct doc_id, h from g)
 select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from d a join d b on a.h = b.h and a.doc_id < b.doc_id""",
+    # Every run of sentences, from the texts themselves.
+    "p9_kept": f"""
+with d as (select distinct doc_id, regexp_extract_all(coalesce(text, ''), '{spans.SENTENCE}') as s from documents where doc_id is not null),
+r as (select doc_id, at, array_to_string(s[at:at + {spans.RUN} - 1], chr(0)) as h from (select doc_id, s, unnest(range(1, len(s) - {spans.RUN} + 2)) as at from d)),
+n as (select *, row_number() over (partition by h order by doc_id, at) as occurrence from r where length(h) - {spans.RUN} + 1 >= {spans.RUN_CHARS}),
+c as (select distinct doc_id, unnest(range(at, at + {spans.RUN})) as i from n where occurrence > 1),
+w as (select doc_id, unnest(range(1, len(s) + 1)) as i, unnest(s) as x from d)
+select d.doc_id, len(d.s)::int as sentences, count(c.i)::int as removed, coalesce(string_agg(w.x, '' order by w.i) filter (where c.i is null), '') as kept
+from d left join w on d.doc_id = w.doc_id left join c on w.doc_id = c.doc_id and w.i = c.i group by d.doc_id, d.s""",
     "p9_shared": f"""
 with {_STRETCHES}, c as (select h from g group by h having min(doc_id) <> max(doc_id)),
 s as (select doc_id, i, lead(i) over (partition by doc_id order by i) as nxt from g where h in (select h from c)),

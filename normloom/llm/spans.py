@@ -20,9 +20,15 @@ whole window and the span of its anchor, in both texts.
    characters around them is hashed instead, and only texts that share such a
    stretch meet, each set of texts once.
 
+``kept_texts`` is the method's other half, on whole sentences: every run of RUN
+consecutive sentences is hashed and joined globally, and the sentences covered
+by any occurrence of a repeated run but the first are removed.
+
 Defined results: null texts and texts shorter than ``least`` share nothing;
 texts of any length are taken whole; a text that repeats itself isn't paired
-with itself; repeated rows count once; other columns are ignored.
+with itself; repeated rows count once; other columns are ignored.  In
+``kept_texts`` a null text gives an empty one, texts of fewer sentences than a
+run stay, and a run that a text repeats itself is removed there, too.
 """
 
 from __future__ import annotations
@@ -41,6 +47,9 @@ from normloom.runtime import written
 LEAST = 300
 #: Texts above which a span's pairs are not formed but its stretches hashed.
 MANY = 48
+#: Sentences of a run, and characters it must have; a sentence with the signs and white space that end it.
+RUN, RUN_CHARS = 3, 60
+SENTENCE = r"[^.!?\n]+[.!?\n]*[ \t\r\n]*|[.!?\n]+[ \t\r\n]*"
 #: Code points that are handled at once.
 BATCH_CHARS = 1 << 20
 #: Code points whose hash gives the priority of a place that isn't a sentence start.
@@ -211,16 +220,18 @@ def _repeated(texts: DataFrame, members: DataFrame, least: int) -> DataFrame:
     """(id, at, h, n): the anchors of representatives whose span stands in more than one of them, and how often it stands anywhere."""
     # Copies are left out here and not before: anchors are small, texts would have to be shuffled.
     copies = members.filter("id != member").select(F.col("member").alias("id"))
-    table = written(_anchor_table(texts, least).join(copies, "id", "left_anti").repartition("h"), "anchors")
+    table = written(_anchor_table(texts, least).join(copies, "id", "left_anti"), "anchors")
+    # Counted before they are moved, so a span of many texts is no large group; repeated ones are few, and beyond a
+    # broadcast's size the join splits keys of many rows.
     per_hash = table.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("h", "n")
-    return written(table.join(per_hash, "h"), "repeated")
+    return written(table.join(written(per_hash, "spans"), "h"), "repeated")
 
 
 def shared_spans(documents: DataFrame, least: int = LEAST, many: int = MANY) -> tuple[DataFrame, DataFrame]:
     """Finds between representatives, and membership.
 
     The first table (id_a, id_b, at_a, at_b, length) has a row for each chain found between two different
-    texts; ``length`` is what is proven, at least ``least`` (spans of many texts: null positions).  The second
+    texts; ``length`` is what is proven, at least ``least`` (for spans of many texts one stretch of ``least``).  The second
     (id, member) names the texts equal to each representative, itself among them.
     """
     span = widths(least)[1]
@@ -263,7 +274,7 @@ def shared_spans(documents: DataFrame, least: int = LEAST, many: int = MANY) ->
 
     big = kept.filter(F.col("n") > many).select("id", "at")
     if not big.isEmpty():
-        finds = finds.unionByName(_met(_stretches(texts, big, least).select("id", "g").distinct(), least))
+        finds = finds.unionByName(_met(_stretches(texts, big, least).groupBy("id", "g").agg(F.min("start").alias("start")), least))
     return finds, members
 
 
@@ -273,11 +284,10 @@ def _met(stretches: DataFrame, least: int, salts: int = 16) -> DataFrame:
     sets = stretches.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mixed).alias("x"), F.sum(mixed % (1 << 40)).alias("s")).filter("n > 1")
     once = sets.groupBy("n", "x", "s").agg(F.min("g").alias("g")).select("g")
     held = stretches.join(once, "g")
-    left = held.select("g", F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
-    right = held.select("g", F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    none = F.lit(None).cast("int")
-    met = left.join(right, ["g", "salt"]).filter("id_a < id_b").select("id_a", "id_b").distinct()
-    return met.select("id_a", "id_b", none.alias("at_a"), none.alias("at_b"), F.lit(least).alias("length"))
+    left = held.select("g", F.col("id").alias("id_a"), F.col("start").alias("at_a"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
+    right = held.select("g", F.col("id").alias("id_b"), F.col("start").alias("at_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    met = left.join(right, ["g", "salt"]).filter("id_a < id_b").groupBy("id_a", "id_b").agg(F.min(F.struct("at_a", "at_b")).alias("p"))
+    return met.select("id_a", "id_b", "p.at_a", "p.at_b", F.lit(least).alias("length"))
 
 
 def found(documents: DataFrame, least: int = LEAST, many: int = MANY) -> DataFrame:
@@ -313,3 +323,25 @@ def shared_share(documents: DataFrame, least: int = LEAST) -> DataFrame:
     n = F.coalesce(F.col("n_chars"), F.lit(0))
     shared = F.when(F.col("copied"), n).otherwise(F.coalesce("shared", F.lit(0))).cast("long")
     return out.select(F.col("member").alias("doc_id"), F.coalesce("id", "member").alias("class_id"), n.cast("long").alias("n_chars"), shared.alias("shared_chars"), F.when(n > 0, F.round(shared / n, 6)).otherwise(0.0).alias("share"))
+
+
+def kept_texts(documents: DataFrame, run: int = RUN, chars: int = RUN_CHARS) -> DataFrame:
+    """(doc_id, sentences, removed, kept): each text without the sentences that a repeated run covers.
+
+    The first occurrence of a run, by document and place, stays; of every other one all its sentences go.
+    """
+    rows = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("x", F.xxhash64("text"))
+    rows = rows.dropDuplicates(["doc_id", "x"]).select("doc_id", F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)).alias("s"))
+    hashed = rows.select("doc_id", F.transform("s", lambda x: F.struct(F.xxhash64(x).alias("x"), F.xxhash64(F.lit(7), x).alias("y"), F.length(x).alias("n"))).alias("s"))
+    starts = F.when(F.size("s") >= run, F.sequence(F.lit(1), F.size("s") - run + 1))
+    runs = hashed.select("doc_id", "s", F.explode(starts).alias("at"))
+    parts = [F.try_element_at("s", F.col("at") + i) for i in range(run)]
+    total = sum((p["n"] for p in parts[1:]), parts[0]["n"])
+    runs = runs.filter(total >= chars).select("doc_id", "at", F.xxhash64(*[p["x"] for p in parts]).alias("x"), F.xxhash64(*[p["y"] for p in parts]).alias("y"))
+    runs = written(runs, "runs")
+    repeated = runs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).filter("n > 1").select("x", "y", "first")
+    later = runs.join(written(repeated, "repeated_runs"), ["x", "y"]).filter((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.at") != F.col("at")))
+    covered = later.select("doc_id", F.explode(F.sequence("at", F.col("at") + run - 1)).alias("i")).groupBy("doc_id").agg(F.collect_set("i").alias("gone"))
+    left = F.array_except(F.when(F.size("s") > 0, F.sequence(F.lit(1), F.size("s"))).otherwise(F.array().cast("array<int>")), F.coalesce("gone", F.array().cast("array<int>")))
+    kept = F.array_join(F.transform(left, lambda i: F.try_element_at("s", i)), "")
+    return rows.join(covered, "doc_id", "left").select("doc_id", F.size("s").alias("sentences"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("removed"), kept.alias("kept"))

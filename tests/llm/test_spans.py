@@ -81,3 +81,35 @@ def test_guarantee_of_anchors():
             codes = np.frombuffer((text(rng, rng.randrange(200)) + stretch + text(rng, rng.randrange(200))).encode("utf-32-le"), np.uint32)
             found.append(set(S.anchors(codes)[1].tolist()))
         assert found[0] & found[1]
+
+
+def test_kept(spark):
+    import re
+
+    rng = random.Random(6)
+    known = [f"Satz {k} {text(rng, 30).replace('.', ',')}. " for k in range(12)]
+    docs = ["".join(rng.choice(known) for _ in range(rng.randrange(0, 14))) for _ in range(30)] + [None, "", "  ", "Kurz. Satz.", "".join(known) * 2]
+    rows = [(i, t, 1, "q", 2) for i, t in enumerate(docs)]
+    got = {r["doc_id"]: (r["sentences"], r["removed"], r["kept"]) for r in S.kept_texts(spark.createDataFrame(rows + rows[:4] + [(None, docs[0], 1, "q", 2)], SHAPE), 3, 20).collect()}
+    seen, gone = set(), {i: set() for i, *_ in rows}
+    cut = {i: re.findall(S.SENTENCE, t or "") for i, t, *_ in rows}
+    for i in sorted(cut):
+        for at in range(len(cut[i]) - 2):
+            run = tuple(cut[i][at : at + 3])
+            if sum(map(len, run)) >= 20:
+                if run in seen:
+                    gone[i] |= {at, at + 1, at + 2}
+                seen.add(run)
+    assert got == {i: (len(s), len(gone[i]), "".join(x for k, x in enumerate(s) if k not in gone[i])) for i, s in cut.items()}
+    assert any(gone.values()) and S.kept_texts(spark.createDataFrame([], SHAPE)).count() == 0
+
+
+def test_many_have_places(spark):
+    """Spans of many texts name a place and a length that are shared, as those of few do."""
+    docs = data(7)
+    finds, members = S.shared_spans(spark.createDataFrame(docs, SHAPE), 60, 4)
+    known, rows = {d: t for d, t, *_ in docs if d is not None}, finds.collect()
+    assert len(rows) > 100 and members.count() > 0
+    for r in rows:
+        a, b = known[r["id_a"]][r["at_a"] :][: r["length"]], known[r["id_b"]][r["at_b"] :][: r["length"]]
+        assert a == b and len(a) == r["length"] >= 60
