@@ -68,9 +68,9 @@ select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from d a join d b on
     # Every run of sentences, from the texts themselves.
     "p9_kept": f"""
 with d as (select distinct doc_id, regexp_extract_all(coalesce(text, ''), '{spans.SENTENCE}') as s from documents where doc_id is not null),
-r as (select doc_id, at, array_to_string(s[at:at + {spans.RUN} - 1], chr(0)) as h from (select doc_id, s, unnest(range(1, len(s) - {spans.RUN} + 2)) as at from d)),
-n as (select *, row_number() over (partition by h order by doc_id, at) as occurrence from r where length(h) - {spans.RUN} + 1 >= {spans.RUN_CHARS}),
-c as (select distinct doc_id, unnest(range(at, at + {spans.RUN})) as i from n where occurrence > 1),
+r as (select doc_id, k, array_to_string(s[k:k + {spans.RUN} - 1], chr(0)) as h from (select doc_id, s, unnest(range(1, len(s) - {spans.RUN} + 2)) as k from d)),
+n as (select *, row_number() over (partition by h order by doc_id, k) as occurrence from r where length(h) - {spans.RUN} + 1 >= {spans.RUN_CHARS}),
+c as (select distinct doc_id, unnest(range(k, k + {spans.RUN})) as i from n where occurrence > 1),
 w as (select doc_id, unnest(range(1, len(s) + 1)) as i, unnest(s) as x from d)
 select d.doc_id, len(d.s)::int as sentences, count(c.i)::int as removed, coalesce(string_agg(w.x, '' order by w.i) filter (where c.i is null), '') as kept
 from d left join w on d.doc_id = w.doc_id left join c on w.doc_id = c.doc_id and w.i = c.i group by d.doc_id, d.s""",
