@@ -215,10 +215,17 @@ def _marks(texts: list[str], bits: int = 256) -> list[bytes]:
     return [row.tobytes() for row in np.packbits(out, axis=1)]
 
 
-def _numbers(values: pd.Series) -> np.ndarray:
-    """Equal texts as equal numbers; -1 for empty ones."""
-    codes, names = pd.factorize(values.fillna(""))
-    return np.where(names.isin([""])[codes], -1, codes) if len(values) else codes
+def numbered(frame: pd.DataFrame) -> pd.DataFrame:
+    """``frame`` with what ``Bound`` needs: fields as numbers, equal for equal texts and 0 for empty ones, lengths, and marks."""
+
+    def key(values: pd.Series) -> np.ndarray:
+        texts = values.to_numpy(object)
+        return np.where(texts == "", 0, pd.util.hash_array(texts, categorize=False).view(np.int64)) if len(texts) else np.zeros(0, np.int64)
+
+    first, tail = [c.partition("-")[0] for c in frame["code"]], [_tail(a) for a in frame["abbr"]]
+    parts = {"code_k": frame["code"], "first_k": pd.Series(first, dtype=object), "abbr_k": frame["abbr"], "tail_k": pd.Series(tail, dtype=object), "ordinal_k": frame["ordinal"]}
+    lengths = {"abbr_n": frame["abbr"].map(len).astype("int32"), "title_n": frame["title"].map(len).astype("int32")}
+    return frame.assign(**{n: key(v) for n, v in parts.items()}, **lengths, mark=_marks(frame["title"].tolist()))
 
 
 class Bound:
@@ -229,12 +236,8 @@ class Bound:
     """
 
     def __init__(self, frame: pd.DataFrame):
-        self.year = frame["year"].astype("Float64").to_numpy(float, na_value=np.nan)
-        self.day = frame["day"].astype("Float64").to_numpy(float, na_value=np.nan)
-        self.code, self.first = _numbers(frame["code"]), _numbers(frame["code"].str.split("-").str[0])
-        self.abbr, self.tail = _numbers(frame["abbr"]), _numbers(frame["abbr"].str.extract(r"(\d*)$", expand=False))
-        self.abbr_length, self.length = (frame[c].str.len().to_numpy(int) for c in ("abbr", "title"))
-        self.ordinal = _numbers(frame["ordinal"])
+        self.year, self.day = (frame[c].astype("Float64").to_numpy(float, na_value=np.nan) for c in ("year", "day"))
+        self.code, self.first, self.abbr, self.tail, self.ordinal, self.abbr_length, self.length = (frame[c].to_numpy(np.int64) for c in _NUMBERS)
         self.mark = np.frombuffer(b"".join(frame["mark"]), np.uint64).reshape(len(frame), -1)
 
     def title(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -245,15 +248,15 @@ class Bound:
         points = np.select([sim >= 0.97, sim >= 0.9, sim >= 0.8, sim >= 0.65], [6.0, 5.0, 3.0, 0.5], -5.0)
         cut = (least >= 25) & (np.abs(m - n) > 3) & (np.where(m <= n, only_x, only_y) <= 4 * (least // 12))
         points = np.where(cut, np.maximum(points, 3.0), points)
-        return np.where(least == 0, 0.0, np.where((self.ordinal[i] >= 0) & (self.ordinal[j] >= 0) & (self.ordinal[i] != self.ordinal[j]), -6.0, points))
+        return np.where(least == 0, 0.0, np.where((self.ordinal[i] != 0) & (self.ordinal[j] != 0) & (self.ordinal[i] != self.ordinal[j]), -6.0, points))
 
     def others(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         years, days = self.year[i] - self.year[j], np.abs(self.day[i] - self.day[j])
         date = np.where(np.isnan(years), 0.0, np.where(np.isnan(days), np.where(years == 0, 2.0, -12.0), np.where(days == 0, 4.0, np.where(days <= DAYS, 3.0, -12.0))))
-        code = np.where((self.code[i] < 0) | (self.code[j] < 0), 0.0, np.where(self.code[i] == self.code[j], 2.5, np.where(self.first[i] == self.first[j], 2.0, -1.5)))
+        code = np.where((self.code[i] == 0) | (self.code[j] == 0), 0.0, np.where(self.code[i] == self.code[j], 2.5, np.where(self.first[i] == self.first[j], 2.0, -1.5)))
         far = np.abs(self.abbr_length[i] - self.abbr_length[j])
         near = np.select([far <= 1, far == 2, far <= 4], [3.0, 2.0, 0.0], -4.0)
-        abbr = np.where((self.abbr[i] < 0) | (self.abbr[j] < 0), 0.0, np.where(self.abbr[i] == self.abbr[j], 5.0, np.where(self.tail[i] == self.tail[j], near, 0.0)))
+        abbr = np.where((self.abbr[i] == 0) | (self.abbr[j] == 0), 0.0, np.where(self.abbr[i] == self.abbr[j], 5.0, np.where(self.tail[i] == self.tail[j], near, 0.0)))
         return date + code + abbr
 
     def may_reach(self, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
@@ -266,7 +269,10 @@ class Bound:
 
 
 FIELDS = ("title", "body", "ordinal", "abbr", "code")
-_SHAPE = "side int, id long, title string, body string, ordinal string, abbr string, code string, day int, year int, mark binary, keys array<string>"
+_NUMBERS = ("code_k", "first_k", "abbr_k", "tail_k", "ordinal_k", "abbr_n", "title_n")
+_SHAPE = "side int, id long, title string, body string, ordinal string, abbr string, code string, day int, year int, keys array<string>, code_k long, first_k long, abbr_k long, tail_k long, ordinal_k long, abbr_n int, title_n int, mark binary"
+#: What is moved to find candidates: no texts.
+_SLIM = ("side", "id", "day", "year", *_NUMBERS, "mark")
 
 
 def records(rows: DataFrame, side: int) -> DataFrame:
@@ -277,10 +283,10 @@ def records(rows: DataFrame, side: int) -> DataFrame:
             out = []
             for key, *texts in batch.itertuples(index=False):
                 r = prepared(*[None if x is None or x != x else x for x in texts])
-                out.append((side, key, *[r[f] for f in FIELDS], r["day"], r["year"], None, sort_keys(r) if r["title"] or r["abbr"] else []))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _SHAPE.split(", ")])
-            frame["mark"] = _marks(frame["title"].tolist())
-            yield frame.astype({"day": "Int32", "year": "Int32"})
+                out.append((side, key, *[r[f] for f in FIELDS], r["day"], r["year"], sort_keys(r) if r["title"] or r["abbr"] else []))
+            frame = pd.DataFrame(out, columns=["side", "id", *FIELDS, "day", "year", "keys"])
+            if len(frame):
+                yield numbered(frame).astype({"day": "Int32", "year": "Int32"})
 
     text = [F.col(c).cast("string").alias(c) for c in ("title", "abbr", "code", "date")]
     known = rows.filter(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), *text).groupBy("id").agg(F.max(F.struct("title", "abbr", "code", "date")).alias("r"))
@@ -290,7 +296,7 @@ def records(rows: DataFrame, side: int) -> DataFrame:
 def _line(prepared_records: DataFrame, window: int, block: int) -> DataFrame:
     """Every record at its place in the line of each key, in overlapping blocks (``block``, ``at``, ``shown`` before)."""
     spark = prepared_records.sparkSession
-    keyed = prepared_records.select("*", F.explode("keys").alias("key")).drop("keys", "body")
+    keyed = prepared_records.select(*_SLIM, F.explode("keys").alias("key"))
     n = keyed.count()
     placed = keyed.repartitionByRange(max(1, -(-n // PARTITION_ROWS)), "key", "side", "id").sortWithinPartitions("key", "side", "id")
     placed = written(placed.withColumn("m", F.monotonically_increasing_id()).withColumn("p", F.shiftright("m", 33)), "line")
@@ -308,38 +314,32 @@ def _line(prepared_records: DataFrame, window: int, block: int) -> DataFrame:
     return placed.withColumn("own", own).withColumn("block", F.explode(both))
 
 
-def _records_of(frame: pd.DataFrame) -> list[dict]:
-    whole = frame.astype({"day": object, "year": object})
-    return [{**dict(zip(FIELDS, (t, "", o, a, c), strict=True)), "day": None if d is None or d != d else int(d), "year": None if y is None or y != y else int(y)} for t, o, a, c, d, y in zip(whole["title"], whole["ordinal"], whole["abbr"], whole["code"], whole["day"], whole["year"], strict=True)]
+_PAIR = "law_id long, reg_id long, points double, law_day int, title string, ordinal string, abbr string, code string, day int, year int"
+_IDS = "law_id long, reg_id long"
 
 
-_PAIR = "law_id long, reg_id long, points double, law_day int, title string, ordinal string, abbr string, code string, day int, year int"
+def _ids(frame: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    """Pairs of a law and a register entry, each once, from places in either order."""
+    side, key = frame["side"].to_numpy(), frame["id"].to_numpy(np.int64)
+    law, reg = np.where(side[i] == 0, i, j), np.where(side[i] == 0, j, i)
+    return pd.DataFrame({"law_id": key[law], "reg_id": key[reg]}).drop_duplicates()
 
 
 def _compare(window: int, threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("at", kind="stable").reset_index(drop=True)
-        at, own, home = frame["at"].to_numpy(), frame["own"].to_numpy(), frame["block"].to_numpy()
-        side, key = frame["side"].to_numpy(), frame["id"].to_numpy()
-        bound, rows, seen, out = Bound(frame), _records_of(frame), set(), []
+        at, own, home, side = (frame[c].to_numpy() for c in ("at", "own", "block", "side"))
+        bound, found = Bound(frame), []
         for step in range(1, window):
             # A pair is compared where its later record is at home.
             i = np.arange(len(frame) - step)
             j = i + step
             near = (side[i] != side[j]) & (own[j] == home[j]) & (at[j] - at[i] == step)
             i, j = i[near], j[near]
-            alike = bound.may_reach(i, j, threshold)
-            for a, b in zip(i[alike].tolist(), j[alike].tolist(), strict=True):
-                if side[a]:
-                    a, b = b, a
-                if (key[a], key[b]) in seen:
-                    continue
-                seen.add((key[a], key[b]))
-                points = score(rows[a], rows[b])
-                if points >= threshold:
-                    r = rows[b]
-                    out.append((key[a], key[b], points, rows[a]["day"], r["title"], r["ordinal"], r["abbr"], r["code"], r["day"], r["year"]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _PAIR.split(", ")]).astype({"law_day": "Int32", "day": "Int32", "year": "Int32"})
+            kept = bound.may_reach(i, j, threshold)
+            found.append((i[kept], j[kept]))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        return _ids(frame, i, j)
 
     return run
 
@@ -347,7 +347,7 @@ def _compare(window: int, threshold: float):
 def _runs(prepared_records: DataFrame, block: int) -> DataFrame:
     """Records whose title body, abbreviation, code or day stands on both sides, in tiles that show every such pair."""
     fields = [F.when(there, F.concat(F.lit(c), F.lit(" "), F.col(c).cast("string"))) for c, there in (*((c, F.col(c) != "") for c in ("body", "abbr", "code")), ("day", F.col("day").isNotNull()))]
-    rows = prepared_records.filter(F.size("keys") > 0).withColumn("run", F.explode(F.array_compact(F.array(*fields)))).drop("keys", "body")
+    rows = prepared_records.filter(F.size("keys") > 0).select(*_SLIM, F.explode(F.array_compact(F.array(*fields))).alias("run"))
     sizes = rows.groupBy("run").agg(F.sum(1 - F.col("side")).alias("nl"), F.sum("side").alias("nr")).filter("nl > 0 and nr > 0")
     law = F.col("side") == 0
     tiles = [F.ceil(F.col(c) / block) for c in ("nl", "nr")]
@@ -357,36 +357,57 @@ def _runs(prepared_records: DataFrame, block: int) -> DataFrame:
     return shown.withColumn("tile", tile).drop("run", "nl", "nr", "own", "other")
 
 
+#: Pairs of a tile whose bounds are computed at once.
+PAIRS_AT_ONCE = 1 << 19
+
+
 def _compare_tiles(threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.reset_index(drop=True)
-        side, key = frame["side"].to_numpy(), frame["id"].to_numpy()
-        bound, rows, seen, out = Bound(frame), _records_of(frame), set(), []
-        for at in frame.groupby("tile").indices.values():
-            regs = at[side[at] == 1]
-            for a in at[side[at] == 0].tolist():
-                for b in regs[bound.may_reach(np.full(len(regs), a), regs, threshold)].tolist():
-                    if (key[a], key[b]) in seen:
-                        continue
-                    seen.add((key[a], key[b]))
-                    points = score(rows[a], rows[b])
-                    if points >= threshold:
-                        r = rows[b]
-                        out.append((key[a], key[b], points, rows[a]["day"], r["title"], r["ordinal"], r["abbr"], r["code"], r["day"], r["year"]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _PAIR.split(", ")]).astype({"law_day": "Int32", "day": "Int32", "year": "Int32"})
+        frame = frame.sort_values(["tile", "side"], kind="stable").reset_index(drop=True)
+        side, (_, tile) = frame["side"].to_numpy(), np.unique(frame["tile"].to_numpy(), return_inverse=True)
+        bound, found = Bound(frame), [(np.zeros(0, int), np.zeros(0, int))]
+        # Within a tile the laws come first, then the entries that each of them meets.
+        laws = np.flatnonzero(side == 0)
+        regs = np.bincount(tile[side == 1], minlength=tile.max() + 1)[tile[laws]]
+        first = np.searchsorted(2 * tile + side, 2 * tile[laws] + 1)
+        cuts = np.searchsorted(np.cumsum(regs), np.arange(PAIRS_AT_ONCE, regs.sum() + PAIRS_AT_ONCE, PAIRS_AT_ONCE))
+        for a, b in zip([0, *(cuts + 1).tolist()], [*(cuts + 1).tolist(), len(laws)], strict=True):
+            n = regs[a:b]
+            i = np.repeat(laws[a:b], n)
+            j = np.repeat(first[a:b], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            kept = bound.may_reach(i, j, threshold)
+            found.append((i[kept], j[kept]))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        return _ids(frame, i, j)
 
     return run
 
 
+def _scored(pairs: DataFrame, both: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """The pairs that reach the threshold, each scored once from all its fields."""
+    names = [*(f for f in FIELDS if f != "body"), "day", "year"]
+    of = lambda s: both.filter(F.col("side") == s).select(F.col("id").alias(("law_id", "reg_id")[s]), *[F.col(c).alias(f"{c}_{s}") for c in names])
+    whole = pairs.join(of(0), "law_id").join(of(1), "reg_id").repartition(parts, F.xxhash64("law_id", "reg_id"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = _rows(batch)
+            points = np.array([score(*({c: r[f"{c}_{s}"] for c in names} for s in (0, 1))) for r in rows], float)
+            out = pd.DataFrame({"law_id": batch["law_id"], "reg_id": batch["reg_id"], "points": points, "law_day": batch["day_0"], **{c: batch[f"{c}_1"] for c in names}})
+            yield out[points >= threshold].astype({"law_day": "Int32", "day": "Int32", "year": "Int32"})
+
+    return whole.mapInPandas(run, _PAIR)
+
+
 def candidates(laws: DataFrame, register: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Pairs that reach the threshold within a window of some key, or with an equal field."""
     both = written(records(laws, 0).unionByName(records(register, 1)), "records")
     line = _line(both, window, block)
     # Few bytes, much work: as many tasks as there are cores, and more as the line grows.
     parts = max(2 * default_parallelism(laws.sparkSession), both.count() // block)
-    compared = line.repartition(parts, "block").groupBy("block").applyInPandas(_compare(window, threshold), _PAIR)
-    runs = _runs(both, block).groupBy(F.pmod("tile", F.lit(parts)).alias("set")).applyInPandas(_compare_tiles(threshold), _PAIR)
-    return compared.unionByName(runs).dropDuplicates(["law_id", "reg_id"])
+    compared = line.repartition(parts, "block").groupBy("block").applyInPandas(_compare(window, threshold), _IDS)
+    runs = _runs(both, block).groupBy(F.pmod("tile", F.lit(parts)).alias("set")).applyInPandas(_compare_tiles(threshold), _IDS)
+    return _scored(compared.unionByName(runs).distinct(), both, threshold, parts)
 
 
 def hungarian(cost: np.ndarray) -> list[int]:

@@ -55,7 +55,7 @@ def test_bound_holds():
     import pandas as pd
 
     frame = pd.DataFrame(records).astype({"day": "Int32", "year": "Int32"})
-    frame["mark"] = E._marks(frame["title"].tolist())
+    frame = E.numbered(frame)
     i, j = (np.array(x) for x in zip(*[(rng.randrange(len(records)), rng.randrange(len(records))) for _ in range(12_000)], *[(2 * k, 2 * k + 1) for k in range(700)], strict=True))
     bound = E.Bound(frame)
     top = bound.others(i, j) + bound.title(i, j)
