@@ -12,18 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from normloom.runtime import written
+
 #: Rows of a key above which its time line is sliced.
 SLICE_ROWS = 200_000
-#: At most this many keys can be hot, as the threshold grows with the table.
-MOST_HOT = 2_000
 
 
-def hot_keys(df: DataFrame, key: str, rows: int = SLICE_ROWS) -> list[tuple[object, int]]:
-    """Keys with more rows than the threshold: at most MOST_HOT by construction."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows)
-    total = df.count() if not counts.isEmpty() else 0
-    least = max(rows, total // MOST_HOT)
-    return [(r[key], r["n"]) for r in counts.filter(F.col("n") > least).collect()] if total else []
+def hot_keys(df: DataFrame, key: str, rows: int = SLICE_ROWS) -> tuple[DataFrame, int]:
+    """(key, n) of the keys with more rows than the threshold, as a table of any length, and the most rows of one."""
+    counts = written(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows), "hot")
+    return counts, counts.agg(F.max("n")).first()[0] or 0
 
 
 def with_slices(df: DataFrame, key: str, order: Column, rows: int = SLICE_ROWS) -> tuple[DataFrame, bool]:
@@ -31,16 +29,16 @@ def with_slices(df: DataFrame, key: str, order: Column, rows: int = SLICE_ROWS)
 
     ``order`` is a long that never decreases along the key's order; rows equal in it share a slice.
     """
-    hot = hot_keys(df, key, rows)
-    if not hot:
+    hot, most = hot_keys(df, key, rows)
+    if not most:
         return df.withColumn("_slice", F.lit(0)), False
-    parts = max(2, -(-max(n for _, n in hot) // rows) * 2)
-    names = df.sparkSession.createDataFrame([(k,) for k, _ in hot], f"{key} {dict(df.dtypes)[key]}")
+    parts = max(2, -(-most // rows) * 2)
+    # Tables of hot keys are joined as their size allows; beyond a broadcast the join splits the hot keys' rows.
     cuts = (
-        df.select(key, order.alias("_o")).join(F.broadcast(names), key, "left_semi")
+        df.select(key, order.alias("_o")).join(hot.select(key), key, "left_semi")
         .groupBy(key).agg(F.percentile_approx("_o", [i / parts for i in range(1, parts)], 10_000).alias("_cuts"))
     )
-    sliced = df.join(F.broadcast(cuts), key, "left").withColumn("_o", order)
+    sliced = df.join(written(cuts, "cuts"), key, "left").withColumn("_o", order)
     below = F.size(F.filter("_cuts", lambda x: x < F.col("_o")))
     return sliced.withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts", "_o"), True
 
@@ -59,9 +57,9 @@ def neighbour(df: DataFrame, key: str, order: list[str], values: list[str], slic
     edges = df.groupBy(key, "_slice").agg(edge(F.struct(*values), F.struct(*order)).alias("_edge"), F.max("_slice").alias("_last"))
     hot = edges.groupBy(key).agg(F.max("_last").alias("_m")).filter("_m > 0").select(key)
     along = Window.partitionBy(key).orderBy(F.col("_slice").desc() if forward else F.col("_slice"))
-    edges = edges.join(F.broadcast(hot), key, "left_semi").select(key, "_slice", F.lag("_edge").over(along).alias("_carried"))
+    edges = edges.join(hot, key, "left_semi").select(key, "_slice", F.lag("_edge").over(along).alias("_carried"))
     return (
-        out.join(F.broadcast(edges), [key, "_slice"], "left")
+        out.join(edges, [key, "_slice"], "left")
         .withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
     )
 
@@ -75,6 +73,6 @@ def running_sums(df: DataFrame, key: str, order: list[str], sums: dict[str, Colu
     totals = df.groupBy(key, "_slice").agg(*[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()])
     hot = totals.groupBy(key).agg(F.max("_slice").alias("_m")).filter("_m > 0").select(key)
     before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.join(F.broadcast(hot), key, "left_semi").select(key, "_slice", *[F.sum(f"_t_{n}").over(before).alias(f"_t_{n}") for n in sums])
-    out = out.join(F.broadcast(totals), [key, "_slice"], "left")
+    totals = totals.join(hot, key, "left_semi").select(key, "_slice", *[F.sum(f"_t_{n}").over(before).alias(f"_t_{n}") for n in sums])
+    out = out.join(totals, [key, "_slice"], "left")
     return out.withColumns({n: F.col(n) + F.coalesce(F.col(f"_t_{n}"), F.lit(0)) for n in sums}).drop(*[f"_t_{n}" for n in sums])

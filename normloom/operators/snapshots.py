@@ -4,10 +4,11 @@ Problem 2.  Of each snapshot every key is reduced to a hash pair (key, value).
 The pairs go into invertible Bloom lookup tables, one for each hash bucket of
 keys and snapshot.  Subtracting the tables of two consecutive snapshots leaves
 the differing pairs alone, however large the snapshots are; peeling recovers
-them.  A bucket whose table was too small to peel is built again with twice as
-many cells, from its own keys only.  What comes out must reproduce the digest
-of the bucket's difference, else the bucket counts as failed.  A key on both
-sides is changed, on the later side added, on the earlier side removed.
+them.  Besides, every bucket of every snapshot has a digest of its pairs, made
+apart from the tables and with a hash of its own: the pairs that come out must
+reproduce the difference of the two digests and of the numbers of keys, else
+the bucket counts as failed.  Failed buckets are built again with twice as many
+cells, from their own keys, which are set aside once.  A key on both sides is changed, on the later side added, on the earlier side removed.
 
 Defined results: rows with a null key or snapshot number are left out; a null
 load time is the earliest; of equal load times the greater value hash counts;
@@ -162,6 +163,23 @@ def _recover(signed: DataFrame, cells: int, salt: int) -> DataFrame:
     return table.groupBy("pair", "part").applyInPandas(run, "pair int, bucket long, key_hash long, value_hash long, sign long")
 
 
+#: Seed of the digests; the tables' check hashes have no column like it.
+_DIGEST = 0x5EED
+
+
+def _digest() -> list[Column]:
+    """Number and digest of signed pairs: equal pairs of both sides cancel out."""
+    return [F.sum("sign").alias("n"), F.bit_xor(F.xxhash64(F.lit(_DIGEST), "value_hash", "key_hash")).alias("d")]
+
+
+def _unproven(digests: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair, bucket) of the buckets whose recovered pairs don't reproduce their digest."""
+    got = pairs.groupBy("pair", "bucket").agg(*_digest()).withColumnsRenamed({"n": "got_n", "d": "got_d"})
+    zero = F.lit(0).cast("long")
+    same = (F.col("n") == F.coalesce("got_n", zero)) & (F.col("d") == F.coalesce("got_d", zero))
+    return digests.join(got, ["pair", "bucket"], "left").filter(~same).select("pair", "bucket")
+
+
 def changes(snapshots: DataFrame, key: str, values: list[str], number: str = "snapshot_no", at: str = "loaded_at", bucket_keys: int = BUCKET_KEYS, first_cells: int = FIRST_CELLS) -> DataFrame:
     """(snapshot, key, change) for every key whose presence or values differ from the snapshot before."""
     current = written(current_rows(snapshots, key, values, number, at), "current")
@@ -173,31 +191,37 @@ def changes(snapshots: DataFrame, key: str, values: list[str], number: str = "sn
         return empty
     buckets = max(1, -(-max(n for _, n in sizes) // bucket_keys))
     later = spark.createDataFrame([(s, i, 1) for i, (s, _) in enumerate(sizes) if i] + [(s, i + 1, -1) for i, (s, _) in enumerate(sizes[:-1])], f"snapshot {kind}, pair int, sign long")
-    # All of a bucket is brought together once; cells are then summed where they are.
     placed = current.select("snapshot", "key_hash", "value_hash", F.pmod("key_hash", F.lit(buckets)).alias("bucket"))
-    signed = placed.repartition("bucket").join(F.broadcast(later), "snapshot").drop("snapshot")
+    sides = lambda df: df.join(F.broadcast(later), "snapshot").drop("snapshot")  # noqa: E731 - two rows for each snapshot
+    # Digests of snapshots first, then of their differences.
+    each = placed.withColumn("sign", F.lit(1).cast("long")).groupBy("snapshot", "bucket").agg(*_digest())
+    digests = written(sides(each).groupBy("pair", "bucket").agg(F.sum(F.col("n") * F.col("sign")).alias("n"), F.bit_xor("d").alias("d")), "digests")
+    # All of a bucket is brought together once; cells are then summed where they are.
+    signed = sides(placed.repartition("bucket"))
     cells, parts = first_cells // HASHES * HASHES, []
     for salt in range(MOST_ROUNDS):
-        got = written(_recover(signed, cells, salt), "peeled")
-        parts.append(got.filter("sign != 0"))
-        failed = got.filter("sign = 0").select("pair", "bucket").distinct()
+        got = written(_recover(signed, cells, salt).filter("sign != 0"), "peeled")
+        failed = written(_unproven(digests, got), "failed")
         if failed.isEmpty():
+            parts.append(got)
             break
-        signed = placed.join(F.broadcast(later), "snapshot").drop("snapshot").join(failed, ["pair", "bucket"], "left_semi")
+        parts.append(got.join(failed, ["pair", "bucket"], "left_anti"))
+        digests = digests.join(failed, ["pair", "bucket"], "left_semi")
+        signed = written((sides(placed) if salt == 0 else signed).join(failed, ["pair", "bucket"], "left_semi"), "again")
         cells = cells * 2 // HASHES * HASHES
     else:
         raise RuntimeError("a bucket can't be peeled: two keys share a 64-bit hash")
     pairs = parts[0]
     for p in parts[1:]:
         pairs = pairs.unionByName(p)
-    kinds = pairs.groupBy("pair", "key_hash").agg(F.max((F.col("sign") > 0).cast("int")).alias("now"), F.max((F.col("sign") < 0).cast("int")).alias("then"))
-    change = F.when(F.col("then") == 0, "added").when(F.col("now") == 0, "removed").otherwise("changed")
-    numbers = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(sizes) if i], f"pair int, later {kind}")
-    named = kinds.join(F.broadcast(numbers), "pair").select("key_hash", "pair", "later", change.alias("change"))
-    # The key itself stands in the later snapshot, or in the earlier one if it was removed.
-    sides = later.select("snapshot", "pair").distinct()
-    names = current.select("snapshot", "key", "key_hash").join(F.broadcast(sides), "snapshot").drop("snapshot")
-    return named.join(names, ["pair", "key_hash"]).select(F.col("later").alias("snapshot"), "key", "change").distinct()
+    kinds = pairs.groupBy("pair", "key_hash").agg(F.max_by("value_hash", "sign").alias("value_hash"), F.max("sign").alias("sign"), F.count_distinct("sign").alias("sides"))
+    change = F.when(F.col("sides") == 2, "changed").when(F.col("sign") > 0, "added").otherwise("removed")
+    numbers = spark.createDataFrame([(i, sizes[i - 1][0], sizes[i][0]) for i in range(1, len(sizes))], f"pair int, earlier {kind}, later {kind}")
+    where = F.when(F.col("sign") > 0, F.col("later")).otherwise(F.col("earlier"))
+    named = kinds.join(F.broadcast(numbers), "pair").select("key_hash", "value_hash", where.alias("snapshot"), "later", change.alias("change"))
+    # The key itself stands in the later snapshot, or in the earlier one if it was removed; both hashes name it.
+    names = current.select("snapshot", "key", "key_hash", "value_hash")
+    return named.join(names, ["snapshot", "key_hash", "value_hash"]).select(F.col("later").alias("snapshot"), "key", "change").distinct()
 
 
 def found(snapshots: DataFrame) -> DataFrame:

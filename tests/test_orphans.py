@@ -40,7 +40,7 @@ def data(seed, n=500):
     return edges + edges[:30], nodes + nodes[:5]
 
 
-@pytest.mark.parametrize("options", [{}, {"slice_rows": 20}, {"most_bits": 64}])
+@pytest.mark.parametrize("options", [{}, {"slice_rows": 20}, {"most_bits": 64}, {"most_bits": 128, "tested_rows": 20}])
 def test_orphans(spark, options):
     edges, nodes = data(1)
     got = O.edge_orphans(spark.createDataFrame(edges, EDGES), spark.createDataFrame(nodes, NODES), **options)
@@ -59,3 +59,13 @@ def test_empty_tables(spark):
     e, n = spark.createDataFrame(edges, EDGES), spark.createDataFrame(nodes, NODES)
     assert O.found(spark.createDataFrame([], EDGES), n).count() == 0
     assert {r["reason"] for r in O.found(e, spark.createDataFrame([], NODES)).collect()} == {"missing"}
+
+
+@pytest.mark.parametrize("most", [1 << 27, 512])
+def test_filters_deny_as_many_in_parts(spark, most):
+    """However many keys there are, a filter of its part lets few strangers pass and no key fail."""
+    keys = spark.range(3_000).selectExpr("concat('k', id) as key")
+    asked = spark.range(6_000).selectExpr("id", "concat('k', id) as key")
+    rows = O.with_may(asked, keys, "key", most_bits=most).collect()
+    assert len(rows) == 6_000 and all(r["may"] for r in rows if r["id"] < 3_000)
+    assert sum(r["may"] for r in rows if r["id"] >= 3_000) < 150

@@ -87,3 +87,15 @@ def test_empty_and_single(spark):
     assert S.found(spark.createDataFrame([(1, "a", None, "", T0, 1, 2, 3), (2, "a", "", None, T0, 1, 2, 3)], SHAPE)).count() == 0
     long = [(1, "a", None, "x " * 200_000, T0, 1, 2, 3), (2, "a", None, "x " * 200_000 + "y", T0, 1, 2, 3)]
     assert [tuple(r) for r in S.found(spark.createDataFrame(long, SHAPE)).collect()] == [(2, "a", "changed")]
+
+
+def test_digests_find_what_peeling_missed(spark):
+    """A bucket whose recovered pairs lack one, or have one too many, doesn't reproduce its digest."""
+    from pyspark.sql import DataFrame
+
+    shape = "pair int, bucket long, key_hash long, value_hash long, sign long"
+    true = [(1, 0, 5, 6, 1), (1, 0, 5, 7, -1), (1, 1, 8, 9, 1), (1, 2, 1, 1, -1)]
+    digests: DataFrame = spark.createDataFrame(true, shape).groupBy("pair", "bucket").agg(*S._digest())
+    assert S._unproven(digests, spark.createDataFrame(true, shape)).isEmpty()
+    wrong = [true[0], (1, 1, 8, 9, 1), (1, 2, 1, 2, -1)]
+    assert {tuple(r) for r in S._unproven(digests, spark.createDataFrame(wrong, shape)).collect()} == {(1, 0), (1, 2)}
