@@ -59,19 +59,54 @@ def test_found_with_late_batch(spark):
     assert set(got) == model(rows) and len(got) == len(set(got))
 
 
-def test_store_rebuilds_only_touched(spark, tmp_path):
+def _days(chains):
+    day = lambda d: str(d.date()) if d else "9999-12-31"
+    return {(r["node_id"], day(r["from_ts"]), day(r["to_ts"])) for r in chains.collect()}
+
+
+@pytest.mark.parametrize(("bucket_rows", "after"), [(30, 2), (500_000, 8)])
+def test_store_rebuilds_only_touched(spark, tmp_path, bucket_rows, after):
     rows = rows_of(3)
-    store = H.HistoryStore(spark, f"file://{tmp_path}/store")
+    store = H.HistoryStore(spark, f"file://{tmp_path}/store", bucket_rows, after)
     with pytest.raises(FileNotFoundError):
         store.chains()
-    for a in range(0, len(rows), 150):
-        store.load(spark.createDataFrame(rows[a : a + 150], SHAPE), 20)
-    day = lambda d: str(d.date()) if d else "9999-12-31"
-    assert {(r["node_id"], day(r["from_ts"]), day(r["to_ts"])) for r in store.chains().collect()} == model(rows)
+    store.load(spark.createDataFrame([], SHAPE))
+    assert store.chains().count() == 0
+    for a in range(0, len(rows), 110):
+        store.load(spark.createDataFrame(rows[a : a + 110], SHAPE), 20)
+        assert _days(store.chains()) == model(rows[: a + 110])
     store.load(spark.createDataFrame([], SHAPE))
     assert store.chains().count() == H.build_chains(store.raw()).count()
 
 
+def test_store_reads_and_replaces_entities(spark, tmp_path, monkeypatch):
+    """A late change reads its entity's rows alone and replaces its chains alone; a reader of before sees all as it was."""
+    rows = [(i, f"n{i % 50}", None, None, f"2001-01-{i % 28 + 1:02}", None, "U", T0 + dt.timedelta(days=i), T0, 1) for i in range(400)]
+    store = H.HistoryStore(spark, f"file://{tmp_path}/store", 20)
+    store.load(spark.createDataFrame(rows, SHAPE))
+    old, before = store.chains(), _days(store.chains())
+    late = [(900, "n7", None, None, "1999-09-09", None, "U", T0 + dt.timedelta(days=9), T0, 1)]
+    seen = []
+    build = H.build_chains
+    monkeypatch.setattr(H, "build_chains", lambda raw, slice_rows=1: seen.append({r[0] for r in raw.select("node_id").distinct().collect()}) or build(raw, slice_rows))
+    store.load(spark.createDataFrame(late, SHAPE))
+    assert seen == [{"n7"}] and _days(store.chains()) == model(rows + late) and _days(old) == before == model(rows)
+    assert {r[0] for r in spark.read.parquet(f"{tmp_path}/store/chains-2").select("node_id").collect()} == {"n7"}
+
+
+def test_one_writer(spark, tmp_path):
+    store = H.HistoryStore(spark, f"file://{tmp_path}/store")
+    rows = spark.createDataFrame(rows_of(4, 30), SHAPE)
+    store.load(rows)
+    with store._locked(), pytest.raises(RuntimeError, match="lock"):
+        store.load(rows)
+    # A load that another one overtook publishes nothing.
+    state = store._state()
+    store.load(rows)
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._publish(state, {**state, "generation": 9})
+
+
 def test_empty_and_null_times(spark):
     assert H.found(spark.createDataFrame([], SHAPE)).count() == 0
     row = (1, "a", None, None, None, None, "U", T0, None, 1)
