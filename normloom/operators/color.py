@@ -28,8 +28,8 @@ PALETTE = {
     9: (200.0, 30.0, 55.0, "other"),
 }
 NEUTRAL, UNCLASSIFIED, OTHER = (200.0, 20.0, 50.0), "unclassified", "other"
-#: Rounds of the ordered colouring at most: the longest chain of orphans that see each other.
-MOST_ROUNDS = 1_000
+#: Rounds of the ordered colouring whose results are merged into one table.
+MERGED_ROUNDS = 16
 
 
 def palette_table(spark: SparkSession, palette: dict | None = None) -> DataFrame:
@@ -79,8 +79,9 @@ def orphan_colors_frozen(nodes: DataFrame, edges: DataFrame, colored: DataFrame)
 def orphan_colors_ordered(nodes: DataFrame, edges: DataFrame, colored: DataFrame) -> DataFrame:
     """(id, hsl) of the orphans as if coloured one after the other in order of id, each seeing the ones before.
 
-    In every round all orphans are coloured whose earlier orphan neighbours are; the rounds are as many as the
-    longest chain of such neighbours, and each is written down, so that lineage doesn't grow.
+    In every round all orphans are coloured whose earlier orphan neighbours are, the first of those waiting at
+    least; so the rounds end by themselves after the longest chain of such neighbours.  Each is written down, and
+    many are merged, so that neither lineage nor plan grow with the chain.
     """
     soft = written(_soft(nodes, edges), "soft")
     waiting = written(nodes.filter(F.col("main_group").isNull()).select("id").distinct(), "waiting")
@@ -88,10 +89,8 @@ def orphan_colors_ordered(nodes: DataFrame, edges: DataFrame, colored: DataFrame
     # Only earlier orphans are waited for; later ones have no colour yet when the orphan's turn comes.
     before = written(soft.join(orphans.withColumnRenamed("id", "target"), "target", "left_semi").filter("target < source").select("source", "target").distinct(), "before")
     have = colored.select("id", "hsl")
-    done = None
-    for _ in range(MOST_ROUNDS):
-        if waiting.isEmpty():
-            break
+    done, rounds = None, 0
+    while not waiting.isEmpty():
         blocked = before.join(waiting.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id"))
         ready = waiting.join(blocked, "id", "left_anti")
         known = have if done is None else have.unionByName(done)
@@ -100,10 +99,10 @@ def orphan_colors_ordered(nodes: DataFrame, edges: DataFrame, colored: DataFrame
         seen = mine.join(later, ["source", "target"], "left_anti").join(known.withColumnRenamed("id", "target"), "target")
         fresh = ready.join(_mix(seen).withColumnRenamed("source", "id"), "id", "left").select("id", F.coalesce("hsl", _neutral()).alias("hsl"))
         fresh = written(fresh, "colored")
-        done = fresh if done is None else done.unionByName(fresh)
+        done, rounds = fresh if done is None else done.unionByName(fresh), rounds + 1
+        if rounds % MERGED_ROUNDS == 0:
+            done = written(done, "colored")
         waiting = written(waiting.join(fresh.select("id"), "id", "left_anti"), "waiting")
-    else:
-        raise RuntimeError(f"a chain of orphans is longer than {MOST_ROUNDS}")
     return done if done is not None else orphans.select("id", _neutral().alias("hsl"))
 
 

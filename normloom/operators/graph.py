@@ -7,7 +7,7 @@ one; nodes without edges have degree 0; empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normloom.functions.text import node_id, strip_white
@@ -77,6 +77,17 @@ def directed_once(edges: DataFrame) -> DataFrame:
     return whole_edges(edges).select("source", "target").distinct()
 
 
+def _ends(edges: DataFrame, order: str) -> DataFrame:
+    """(k, o, other): both ends of every edge with its direction in the key."""
+    e = whole_edges(edges)
+    end = lambda d, own, other: F.struct(F.concat(F.lit(d), own).alias("k"), F.col(order).alias("o"), F.col(other).alias("other"))
+    return e.select(F.explode(F.array(end("out:", "source", "target"), end("in:", "target", "source"))).alias("e")).select("e.*")
+
+
+def _direction() -> tuple[Column, Column]:
+    return F.expr("substring(k, instr(k, ':') + 1)").alias("id"), F.substring_index("k", ":", 1).alias("direction")
+
+
 def adjacency(edges: DataFrame, order: str = "edge_id") -> DataFrame:
     """(id, direction, at, other): neighbours of each node in edge order, numbered from 1.
 
@@ -84,20 +95,23 @@ def adjacency(edges: DataFrame, order: str = "edge_id") -> DataFrame:
     """
     from normloom.operators.slices import running_sums, with_slices
 
-    e = whole_edges(edges)
-    line = e.select(F.concat(F.lit("out:"), "source").alias("k"), F.col(order).alias("o"), F.col("target").alias("other")).unionByName(e.select(F.concat(F.lit("in:"), "target").alias("k"), F.col(order).alias("o"), F.col("source").alias("other")))
-    line, sliced = with_slices(line, "k", F.col("o").cast("long"))
+    line, sliced = with_slices(_ends(edges, order), "k", F.col("o").cast("long"))
     numbered = running_sums(line, "k", ["o", "other"], {"at": F.lit(1).cast("long")}, sliced)
-    direction, key = F.substring_index("k", ":", 1), F.expr("substring(k, instr(k, ':') + 1)")
-    return numbered.select(key.alias("id"), direction.alias("direction"), "at", "other")
+    return numbered.select(*_direction(), "at", "other")
 
 
 def panel(edges: DataFrame, nodes: DataFrame, order: str = "edge_id", most: int = 25) -> DataFrame:
-    """(id, direction, at, other, more): the first ``most`` neighbours and how many follow; unknown ones are dropped after the cut."""
-    listed = adjacency(edges, order)
-    counts = listed.groupBy("id", "direction").agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("more"))
+    """(id, direction, at, other, more): the first ``most`` neighbours and how many follow; unknown ones are dropped after the cut.
+
+    The limit is applied to each partition before rows are moved, so a hub costs no more than another node.
+    """
+    ends = _ends(edges, order)
+    at = F.row_number().over(Window.partitionBy("k").orderBy("o", "other"))
+    first = ends.withColumn("at", at).filter(F.col("at") <= most)
+    counts = ends.groupBy("k").agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("more"))
     known = nodes.select(F.col("id").alias("other")).distinct()
-    return listed.filter(F.col("at") <= most).join(counts, ["id", "direction"]).join(known, "other", "left_semi").select("id", "direction", "at", "other", "more")
+    listed = first.join(counts, "k").join(known, "other", "left_semi")
+    return listed.select(*_direction(), F.col("at").cast("long").alias("at"), "other", "more")
 
 
 def bounding_centre(nodes: DataFrame) -> DataFrame:

@@ -69,16 +69,6 @@ def build_chains(raw: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     return events.filter(~F.col("gone")).select("node_id", F.col("observed_at").cast("timestamp_ntz").alias("from_ts"), F.col("after.observed_at").cast("timestamp_ntz").alias("to_ts"), "created", "repealed")
 
 
-def rebuild_affected(chains: DataFrame, raw: DataFrame, batch: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """The chains after ``batch``: those it doesn't touch as they are, the others from all their raw changes.
-
-    ``raw`` holds the changes known before; the touched entities are joined, never collected.
-    """
-    touched = batch.select("node_id").filter(F.col("node_id").isNotNull()).distinct()
-    theirs = raw.select(*RAW).join(touched, "node_id", "left_semi").unionByName(batch.select(*RAW))
-    return chains.join(touched, "node_id", "left_anti").unionByName(build_chains(theirs, slice_rows))
-
-
 class HistoryStore:
     """Raw changes and chains in a folder; readers follow a pointer that is replaced in one step.
 

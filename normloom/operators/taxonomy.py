@@ -87,6 +87,8 @@ def join_taxonomy(toc: DataFrame, slugs: DataFrame, by_title: DataFrame, by_abbr
     """
     both = toc.select("slug", F.col("title").alias("toc_title")).join(slugs.select("slug", "jurabk", "langue"), "slug", "left")
     keyed = both.select("slug", norm_title(F.col("langue")).alias("k1"), norm_title(F.col("toc_title")).alias("k2"), norm_abbr(F.col("jurabk")).alias("k3"), norm_abbr(F.col("slug")).alias("k4"))
+    # Missing keys would all meet in one task; each gets a key of its own that nothing has.
+    keyed = keyed.select("slug", *[F.coalesce(f"k{i}", F.concat(F.lit("\x00"), "slug")).alias(f"k{i}") for i in range(1, 5)])
     for i, keys in enumerate((by_title, by_title, by_abbr, by_abbr), 1):
         keyed = keyed.join(keys.select(F.col("key").alias(f"k{i}"), F.col("code").alias(f"c{i}")), f"k{i}", "left")
     how = F.coalesce(*[F.when(F.col(f"c{i}").isNotNull(), F.lit(n)) for i, n in enumerate(("langue", "toc_title", "jurabk", "slug"), 1)])

@@ -471,6 +471,21 @@ def vector_lengths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(n, 6).alias("length"), (F.abs(n - 1) < 1e-5).alias("is_unit"))
 
 
+@query("select count(*) as n, 0.0::double as mean, 1.0::double as spread, 1.0::double as fixed, true as greatest from embeddings where embedding is not null")
+def pca_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What a first principal component must fulfil: scores of mean 0 and spread 1 that a step of the power method leaves as they are, with a variance no single column exceeds."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    z = written(rows.join(vectors.pca_z(rows), "id"), "scored")
+    values = z.select("z", F.posexplode(F.col("v").cast("array<double>")).alias("at", "x"))
+    loads = values.groupBy("at").agg(F.covar_pop("x", "z").alias("load"), F.avg("x").alias("mean"), F.var_pop("x").alias("variance"))
+    again = z.select("id", "z", F.posexplode(F.col("v").cast("array<double>")).alias("at", "x")).join(loads, "at")
+    step = again.groupBy("id").agg(F.first("z").alias("z"), F.sum(F.col("load") * (F.col("x") - F.col("mean"))).alias("s"))
+    most = loads.agg(F.sum(F.col("load") * F.col("load")).alias("own"), F.max("variance").alias("most")).select((F.col("own") >= F.col("most") - 1e-9).alias("greatest"))
+    whole = step.agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg("z"), 6) + 0.0).alias("mean"), F.round(F.stddev_pop("z"), 6).alias("spread"), F.round(F.corr("z", "s"), 5).alias("fixed"))
+    one = F.lit(1).alias("_one")  # each side is a single row
+    return whole.select("*", one).join(most.select("*", one), "_one").drop("_one")
+
+
 @query()
 def pca_z(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
@@ -522,7 +537,27 @@ def colors_frozen(spark: SparkSession, d: str) -> DataFrame:
     return color.assign_colors(nodes(spark, d).select("id", "main_group"), edges(spark, d), "frozen")
 
 
-@query()
+def _blend(l: str) -> str:  # noqa: E741
+    """Blend of a list of (w, h, s, l): null if its weights add up to nothing."""
+    total = lambda f: f"list_sum(list_transform({l}, lambda x: x.w * ({f})))"
+    hue = f"degrees(atan2({total('sin(radians(x.h))')}, {total('cos(radians(x.h))')}))"
+    turned = f"case when {hue} < 0 then {hue} + 360 else {hue} end"
+    return f"case when list_sum(list_transform({l}, lambda x: x.w)) > 0 then struct_pack(h := {turned}, s := {total('x.s')} / {total('1')}, l := {total('x.l')} / {total('1')}) end"
+
+
+@query(f"""with recursive {_OWN},
+o as (select id, row_number() over (order by id) as k from nodes where main_group is null),
+soft as (select o.k, e.target as t, e.weight as w from edges e join o on e.source = o.id where e.type = 'soft' and e.weight is not null),
+fixed as (select s.k, list(struct_pack(w := s.w, h := c.h, s := c.s, l := c.l)) as v from soft s join own c on s.t = c.id group by 1),
+before as (select s.k, list(struct_pack(t := s.t, w := s.w)) as v from soft s join o p on s.t = p.id where p.k < s.k group by 1),
+todo as (select o.id, o.k, coalesce(f.v, []) as f, coalesce(b.v, []) as b from o left join fixed f on o.k = f.k left join before b on o.k = b.k),
+walk(k, id, c, seen) as (
+  select 0::bigint, ''::varchar, struct_pack(h := 200.0::double, s := 20.0::double, l := 50.0::double), map([''], [struct_pack(h := 200.0::double, s := 20.0::double, l := 50.0::double)])
+  union all
+  select k, id, c, map_concat(seen, map([id], [c])) from (
+    select t.k, t.id, w.seen, coalesce({_blend("(t.f || list_transform(t.b, lambda x: struct_pack(w := x.w, h := w.seen[x.t].h, s := w.seen[x.t].s, l := w.seen[x.t].l)))")}, struct_pack(h := 200.0::double, s := 20.0::double, l := 50.0::double)) as c
+    from walk w join todo t on t.k = w.k + 1))
+select id, {_hex('h', 's', 'l')} as color, cluster from own union all select id, {_hex('c.h', 'c.s', 'c.l')}, 'unclassified' from walk where k > 0""")
 def colors_ordered(spark: SparkSession, d: str) -> DataFrame:
     return color.assign_colors(nodes(spark, d).select("id", "main_group"), edges(spark, d), "ordered")
 
@@ -587,15 +622,17 @@ def visible_at(spark: SparkSession, d: str) -> DataFrame:
     return search.visible_at(nodes(spark, d), "2000-01-01").select("id")
 
 
-@query(f"""with {_NODES}, {_EDGES}, b as (select count(*)::double as n, count(*) - count(main_group) as o, count(distinct id) as d from nodes),
+@query(f"""with {_RESOLVED}, {_RESOLVER}, {_NODES}, {_EDGES}, b as (select count(*)::double as n, count(*) - count(main_group) as o, count(distinct id) as d from nodes),
 ends as (select source as id from edges union all select target from edges)
 select 'nodes' as "check", n as value, n between 5000 and 8000 as ok from b
 union all select 'orphan_share', round(o / n, 6), round(o / n, 6) <= 0.35 from b
 union all select 'repeated_ids', n - d, n = d from b
 union all select 'schema', 0.0, true
-union all select 'dangling_ends', count(*)::double, count(*) = 0 from ends where id is not null and id not in (select id from nodes)""")
+union all select 'dangling_ends', count(*)::double, count(*) = 0 from ends where id is not null and id not in (select id from nodes)
+union all select 'dangling_resolver', count(*)::double, count(*) = 0 from resolver where lower(node_id) not in (select id from nodes)""")
 def validation(spark: SparkSession, d: str) -> DataFrame:
-    return validate.validate(nodes(spark, d), edges(spark, d))
+    resolver = written(resolve.resolver(resolved(spark, d)), "resolver")
+    return validate.validate(nodes(spark, d), edges(spark, d), resolver.withColumn("node_id", F.lower("node_id")))
 
 
 # ---------------------------------------------------------------- documents
@@ -683,4 +720,4 @@ def full_build(spark: SparkSession, d: str) -> DataFrame:
     toc = rows.select("slug", F.col("law_id").alias("ord"), F.col("langue").alias("title"))
     vectors_of = table(spark, d, "opening_vectors").filter("embedding is not null and size(embedding) = 64").select("slug", "embedding").dropDuplicates(["slug"])
     out = build(parsed, toc, entries(spark, d), vectors_of)
-    return out.nodes.select("id", "title", "meta_cluster", "color", "degree", "size", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return out.nodes.select("id", "title", "meta_cluster", "color", "degree", "size", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("z", 6).alias("z"))

@@ -14,6 +14,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,10 +62,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if root not in _SEEN:
         _SEEN.add(root)
         atexit.register(_drop, spark, root)
-    return f"{root}/{name}-{uuid.uuid4().hex[:8]}"
+    path = f"{root}/{name}-{uuid.uuid4().hex[:8]}"
+    for made in _MADE[-1:]:
+        made.append(path)
+    return path
 
 
 _SEEN: set[str] = set()
+_MADE: list[list[str]] = []
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -88,6 +94,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch tables written within it at its end: results must be computed before.
+
+    A driver that lives long runs each query so, else its tables stay until ``release`` or its own end.
+    """
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            try:
+                delete(spark, path)
+            except Exception:  # noqa: BLE001 - what can't be removed goes when the driver ends
+                pass
+
+
 def release(spark: SparkSession) -> None:
     """Remove all scratch tables of this driver; results that still read them can't be computed again."""
     for root in list(_SEEN):
