@@ -189,13 +189,13 @@ def code_points(a: dict, b: dict) -> float:
     return 2.5 if x == y else 2.0 if x.startswith(f"{y}-") or y.startswith(f"{x}-") else -1.5
 
 
-def score(a: dict, b: dict) -> float:
+def score(a: dict, b: dict, most: float = 6.0) -> float:
+    """Points of a pair; where titles can add ``most`` points only and that can't suffice, the points without them."""
     cheap = date_points(a, b) + code_points(a, b)
     if cheap < -8:
         return cheap
     cheap += abbr_points(a, b)
-    # A title adds six points at most; where these can't suffice it isn't compared.
-    return cheap if cheap + 6 < THRESHOLD else cheap + title_points(a, b)
+    return cheap if cheap + most < THRESHOLD else cheap + title_points(a, b)
 
 
 def confidence(points: float) -> float:
@@ -222,9 +222,12 @@ def numbered(frame: pd.DataFrame) -> pd.DataFrame:
         texts = values.to_numpy(object)
         return np.where(texts == "", 0, pd.util.hash_array(texts, categorize=False).view(np.int64)) if len(texts) else np.zeros(0, np.int64)
 
-    first, tail = [c.partition("-")[0] for c in frame["code"]], [_tail(a) for a in frame["abbr"]]
-    parts = {"code_k": frame["code"], "first_k": pd.Series(first, dtype=object), "abbr_k": frame["abbr"], "tail_k": pd.Series(tail, dtype=object), "ordinal_k": frame["ordinal"]}
-    lengths = {"abbr_n": frame["abbr"].map(len).astype("int32"), "title_n": frame["title"].map(len).astype("int32")}
+    codes, tail = [c.split("-") if c else [] for c in frame["code"]], [_tail(a) for a in frame["abbr"]]
+    texts = lambda x: pd.Series(x, dtype=object)
+    parts = {"code_k": frame["code"], "first_k": texts([c[0] if c else "" for c in codes]), "second_k": texts(["-".join(c[:2]) for c in codes]), "abbr_k": frame["abbr"], "tail_k": texts(tail), "ordinal_k": frame["ordinal"]}
+    # Which letters an abbreviation has, as bits.
+    letters = [sum({1 << "0123456789abcdefghijklmnopqrstuvwxyz".index(c) for c in a}) for a in frame["abbr"]]
+    lengths = {"abbr_m": np.array(letters, np.int64), "code_n": np.array([len(c) for c in codes], np.int32), "tail_n": np.array([len(x) for x in tail], np.int32), "abbr_n": frame["abbr"].map(len).astype("int32"), "title_n": frame["title"].map(len).astype("int32")}
     return frame.assign(**{n: key(v) for n, v in parts.items()}, **lengths, mark=_marks(frame["title"].tolist()))
 
 
@@ -237,7 +240,7 @@ class Bound:
 
     def __init__(self, frame: pd.DataFrame):
         self.year, self.day = (frame[c].astype("Float64").to_numpy(float, na_value=np.nan) for c in ("year", "day"))
-        self.code, self.first, self.abbr, self.tail, self.ordinal, self.abbr_length, self.length = (frame[c].to_numpy(np.int64) for c in _NUMBERS)
+        self.code, self.first, self.second, self.parts, self.abbr, self.letters, self.tail, self.tail_length, self.ordinal, self.abbr_length, self.length = (frame[c].to_numpy(np.int64) for c in _NUMBERS)
         self.mark = np.frombuffer(b"".join(frame["mark"]), np.uint64).reshape(len(frame), -1)
 
     def title(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -253,24 +256,30 @@ class Bound:
     def others(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         years, days = self.year[i] - self.year[j], np.abs(self.day[i] - self.day[j])
         date = np.where(np.isnan(years), 0.0, np.where(np.isnan(days), np.where(years == 0, 2.0, -12.0), np.where(days == 0, 4.0, np.where(days <= DAYS, 3.0, -12.0))))
-        code = np.where((self.code[i] == 0) | (self.code[j] == 0), 0.0, np.where(self.code[i] == self.code[j], 2.5, np.where(self.first[i] == self.first[j], 2.0, -1.5)))
-        far = np.abs(self.abbr_length[i] - self.abbr_length[j])
+        m, n = self.parts[i], self.parts[j]
+        begins = (m != n) & (self.first[i] == self.first[j]) & ((np.minimum(m, n) < 2) | (self.second[i] == self.second[j]))
+        code = np.where((m == 0) | (n == 0), 0.0, np.where(self.code[i] == self.code[j], 2.5, np.where(begins, 2.0, -1.5)))
+        # Each edit takes or brings one letter at most.
+        x, y = self.letters[i], self.letters[j]
+        far = np.maximum(np.abs(self.abbr_length[i] - self.abbr_length[j]), np.maximum(np.bitwise_count(x & ~y), np.bitwise_count(y & ~x)))
         near = np.select([far <= 1, far == 2, far <= 4], [3.0, 2.0, 0.0], -4.0)
-        abbr = np.where((self.abbr[i] == 0) | (self.abbr[j] == 0), 0.0, np.where(self.abbr[i] == self.abbr[j], 5.0, np.where(self.tail[i] == self.tail[j], near, 0.0)))
+        m, n = self.tail_length[i], self.tail_length[j]
+        other = np.where((np.minimum(m, n) == 0) & (m + n == 4) & (date > 0), 0.0, -6.0)
+        abbr = np.where((self.abbr[i] == 0) | (self.abbr[j] == 0), 0.0, np.where(self.abbr[i] == self.abbr[j], 5.0, np.where(self.tail[i] == self.tail[j], near, other)))
         return date + code + abbr
 
-    def may_reach(self, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-        """Which of the pairs (i, j) may reach the threshold."""
-        out = self.others(i, j)
-        at = np.flatnonzero(out + 6 >= threshold)
-        kept = np.zeros(len(out), bool)
-        kept[at] = out[at] + self.title(i[at], j[at]) >= threshold
-        return kept
+    def may_reach(self, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs (i, j) may reach the threshold, and the most points their titles can add."""
+        others = self.others(i, j)
+        at = np.flatnonzero(others + 6 >= threshold)
+        most = self.title(i[at], j[at])
+        kept = others[at] + most >= threshold
+        return at[kept], most[kept]
 
 
 FIELDS = ("title", "body", "ordinal", "abbr", "code")
-_NUMBERS = ("code_k", "first_k", "abbr_k", "tail_k", "ordinal_k", "abbr_n", "title_n")
-_SHAPE = "side int, id long, title string, body string, ordinal string, abbr string, code string, day int, year int, keys array<string>, code_k long, first_k long, abbr_k long, tail_k long, ordinal_k long, abbr_n int, title_n int, mark binary"
+_NUMBERS = ("code_k", "first_k", "second_k", "code_n", "abbr_k", "abbr_m", "tail_k", "tail_n", "ordinal_k", "abbr_n", "title_n")
+_SHAPE = "side int, id long, title string, body string, ordinal string, abbr string, code string, day int, year int, keys array<string>, code_k long, first_k long, second_k long, abbr_k long, tail_k long, ordinal_k long, abbr_m long, code_n int, tail_n int, abbr_n int, title_n int, mark binary"
 #: What is moved to find candidates: no texts.
 _SLIM = ("side", "id", "day", "year", *_NUMBERS, "mark")
 
@@ -315,14 +324,14 @@ def _line(prepared_records: DataFrame, window: int, block: int) -> DataFrame:
 
 
 _PAIR = "law_id long, reg_id long, points double, law_day int, title string, ordinal string, abbr string, code string, day int, year int"
-_IDS = "law_id long, reg_id long"
+_IDS = "law_id long, reg_id long, most double"
 
 
-def _ids(frame: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+def _ids(frame: pd.DataFrame, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> pd.DataFrame:
     """Pairs of a law and a register entry, each once, from places in either order."""
     side, key = frame["side"].to_numpy(), frame["id"].to_numpy(np.int64)
     law, reg = np.where(side[i] == 0, i, j), np.where(side[i] == 0, j, i)
-    return pd.DataFrame({"law_id": key[law], "reg_id": key[reg]}).drop_duplicates()
+    return pd.DataFrame({"law_id": key[law], "reg_id": key[reg], "most": most}).drop_duplicates()
 
 
 def _compare(window: int, threshold: float):
@@ -336,10 +345,9 @@ def _compare(window: int, threshold: float):
             j = i + step
             near = (side[i] != side[j]) & (own[j] == home[j]) & (at[j] - at[i] == step)
             i, j = i[near], j[near]
-            kept = bound.may_reach(i, j, threshold)
-            found.append((i[kept], j[kept]))
-        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        return _ids(frame, i, j)
+            kept, most = bound.may_reach(i, j, threshold)
+            found.append((i[kept], j[kept], most))
+        return _ids(frame, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
     return run
 
@@ -365,7 +373,7 @@ def _compare_tiles(threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["tile", "side"], kind="stable").reset_index(drop=True)
         side, (_, tile) = frame["side"].to_numpy(), np.unique(frame["tile"].to_numpy(), return_inverse=True)
-        bound, found = Bound(frame), [(np.zeros(0, int), np.zeros(0, int))]
+        bound, found = Bound(frame), [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
         # Within a tile the laws come first, then the entries that each of them meets.
         laws = np.flatnonzero(side == 0)
         regs = np.bincount(tile[side == 1], minlength=tile.max() + 1)[tile[laws]]
@@ -375,10 +383,9 @@ def _compare_tiles(threshold: float):
             n = regs[a:b]
             i = np.repeat(laws[a:b], n)
             j = np.repeat(first[a:b], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            kept = bound.may_reach(i, j, threshold)
-            found.append((i[kept], j[kept]))
-        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        return _ids(frame, i, j)
+            kept, most = bound.may_reach(i, j, threshold)
+            found.append((i[kept], j[kept], most))
+        return _ids(frame, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
     return run
 
@@ -392,7 +399,7 @@ def _scored(pairs: DataFrame, both: DataFrame, threshold: float, parts: int) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = _rows(batch)
-            points = np.array([score(*({c: r[f"{c}_{s}"] for c in names} for s in (0, 1))) for r in rows], float)
+            points = np.array([score(*({c: r[f"{c}_{s}"] for c in names} for s in (0, 1)), r["most"]) for r in rows], float)
             out = pd.DataFrame({"law_id": batch["law_id"], "reg_id": batch["reg_id"], "points": points, "law_day": batch["day_0"], **{c: batch[f"{c}_1"] for c in names}})
             yield out[points >= threshold].astype({"law_day": "Int32", "day": "Int32", "year": "Int32"})
 
@@ -407,7 +414,7 @@ def candidates(laws: DataFrame, register: DataFrame, window: int = WINDOW, thres
     parts = max(2 * default_parallelism(laws.sparkSession), both.count() // block)
     compared = line.repartition(parts, "block").groupBy("block").applyInPandas(_compare(window, threshold), _IDS)
     runs = _runs(both, block).groupBy(F.pmod("tile", F.lit(parts)).alias("set")).applyInPandas(_compare_tiles(threshold), _IDS)
-    return _scored(compared.unionByName(runs).distinct(), both, threshold, parts)
+    return _scored(compared.unionByName(runs).groupBy("law_id", "reg_id").agg(F.max("most").alias("most")), both, threshold, parts)
 
 
 def hungarian(cost: np.ndarray) -> list[int]:

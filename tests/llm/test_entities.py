@@ -61,8 +61,10 @@ def test_bound_holds():
     top = bound.others(i, j) + bound.title(i, j)
     exact = np.array([E.date_points(records[a], records[b]) + E.code_points(records[a], records[b]) + E.abbr_points(records[a], records[b]) + E.title_points(records[a], records[b]) for a, b in zip(i, j, strict=True)])
     assert (exact <= top + 1e-9).all() and (exact >= E.THRESHOLD).sum() > 100
-    kept = bound.may_reach(i, j, E.THRESHOLD)
-    assert kept[exact >= E.THRESHOLD].all() and not kept.all()
+    at, most = bound.may_reach(i, j, E.THRESHOLD)
+    assert set(np.flatnonzero(exact >= E.THRESHOLD)) <= set(at) and len(at) < len(i)
+    by_score = np.array([E.score(records[a], records[b], m) for a, b, m in zip(i[at], j[at], most, strict=True)])
+    assert ((by_score >= E.THRESHOLD) == (exact[at] >= E.THRESHOLD)).all() and (by_score[by_score >= E.THRESHOLD] == exact[at][by_score >= E.THRESHOLD]).all()
 
 
 NOUNS = ["kalk", "torf", "moor", "obst", "eis", "salz", "wein", "rohr", "seil", "honig", "draht", "kork", "hopfen", "jagd"]
