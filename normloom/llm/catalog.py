@@ -53,7 +53,21 @@ QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_unmatched": p4_unmatc
 _STRETCHES = f"""g as (select doc_id, i, hash(substring(text, i::bigint, {spans.LEAST})) as h
   from (select doc_id, text, unnest(range(1, length(text) - {spans.LEAST} + 2)) as i from documents where length(text) >= {spans.LEAST}))"""
 
+#: Words as the problem states them; of compatibility decompositions those of the characters that occur.
+_WORDS = "nfc_normalize(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[\\x{AD}\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{FEFF}]', '', 'g'))"
+for _character, _plain in (("ﬁ", "fi"), ("ﬂ", "fl"), ("№", "No"), ("①", "1"), ("②", "2"), ("²", "2"), ("³", "3"), ("½", "1⁄2"), ("Ⅳ", "IV")):
+    _WORDS = f"replace({_WORDS}, '{_character}', '{_plain}')"
+
+
+def _runs(key: str, name: str) -> str:
+    """(key, r): every run of words of a table's texts."""
+    found = f"select {key}, regexp_extract_all(lower({_WORDS}), '[\\p{{L}}\\p{{N}}]+') as w from {name} where text is not null"
+    return f"select distinct {key}, array_to_string(w[k:k + {leaks.RUN} - 1], ' ') as r from (select {key}, w, unnest(range(1, len(w) - {leaks.RUN} + 2)) as k from ({found}))"
+
+
 ORACLES: dict[str, str] = {
+    # Every run of words of every text.
+    "p8_found": f"with d as ({_runs('doc_id', 'documents')}), i as ({_runs('item_id', 'eval_items')}) select distinct doc_id, item_id from d join i on d.r = i.r",
     # Every pair of vectors.
     "p1_found": """
 with v as (select distinct vec_id, list_transform(embedding, lambda x: x::double) as e from opening_vectors where embedding is not null and len(embedding) = 64),

@@ -17,6 +17,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -265,19 +266,19 @@ def _lists(counts: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
-_MERGERS: dict[int, Merger] = {}
+_MERGERS: dict[bytes, Merger] = {}
 
 
 def tokenize(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, path: str | None = None, offsets: bool = False) -> DataFrame:
     """(key, ids) for every row, and with ``offsets`` each slice's first code point and number of ids."""
     data = vocabulary_file(vocabulary, path)
-    shared = df.sparkSession.sparkContext.broadcast(data)
+    shared, digest = df.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).digest()
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = _MERGERS.get(len(data))
+        merger = _MERGERS.get(digest)
         if merger is None:
-            merger = _MERGERS[len(data)] = Merger(read_ranks(shared.value))
+            merger = _MERGERS[digest] = Merger(read_ranks(shared.value))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in groups([len(t) for t in texts]):
