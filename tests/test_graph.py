@@ -158,6 +158,37 @@ def test_layout(spark, small):
     assert layout.run_layout(n.limit(0), _edges(spark, edges), 2, small=small).count() == 0
 
 
+def test_layout_is_the_same_on_many_executors(spark):
+    """The rounds over the cluster move every node as the kernel in one task does."""
+    rng = random.Random(6)
+    edges = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", "explicit", rng.choice([1.0, 0.1])) for _ in range(150)]
+    n = spark.createDataFrame([(f"n{i}",) for i in range(61)], "id string")
+    whole, parts = ({r["id"]: (r["x"], r["y"]) for r in layout.run_layout(n, _edges(spark, edges), 4, small=small).collect()} for small in (1_000, 0))
+    assert whole.keys() == parts.keys() and all(math.dist(whole[k], parts[k]) < 1e-6 for k in whole)
+
+
+def test_long_chain_of_orphans(spark):
+    """A chain longer than the rounds that are merged: every orphan sees the one before."""
+    nodes = [("a", 1)] + [(f"o{i:02}", None) for i in range(color.MERGED_ROUNDS + 3)]
+    edges = [("o00", "a", "soft", 1.0)] + [(f"o{i:02}", f"o{i - 1:02}", "soft", 1.0) for i in range(1, color.MERGED_ROUNDS + 3)]
+    got = {r["id"]: r["color"] for r in color.assign_colors(spark.createDataFrame(nodes, "id string, main_group int"), _edges(spark, edges), "ordered").collect()}
+    assert got == _sequential(nodes, edges) and len(set(got.values())) == 1
+
+
+def test_scratch_is_removed(spark):
+    from pathlib import Path
+
+    from normloom import runtime
+
+    with runtime.scratch(spark):
+        made = runtime.written(spark.range(3), "made")
+        assert made.count() == 3
+        at = Path(made.inputFiles()[0].removeprefix("file://")).parent
+        assert at.exists()
+    kept = runtime.written(spark.range(3), "kept")
+    assert not at.exists() and kept.count() == 3
+
+
 def test_merge_layout(spark):
     n = spark.createDataFrame([("a", 9.0), ("b", 9.0)], "id string, x double")
     p = spark.createDataFrame([("a", 1.0, 2.0)], "id string, x double, y double")
