@@ -316,14 +316,19 @@ def _grouped(leaf: np.ndarray, query: np.ndarray) -> list[tuple[int, np.ndarray]
     return [(int(leaf[a]), query[a:b]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(leaf)], strict=True)]
 
 
-def usable(vectors: DataFrame, key: str, column: str, width: int) -> DataFrame:
-    """(id, v, x, y): the vectors that can be compared, with two independent hashes."""
-    v = F.col(column)
-    good = v.isNotNull() & (F.size(v) == width) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.filter(F.col(key).isNotNull() & good).select(F.col(key).alias("id"), v.cast("array<float>").alias("v"))
+def hashed_rows(vectors: DataFrame, key: str, column: str) -> DataFrame:
+    """(id, v, x, y): vectors with two independent hashes."""
+    rows = vectors.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(column).cast("array<float>").alias("v"))
     return rows.select("id", "v", F.xxhash64("v").alias("x"), F.xxhash64(F.lit(7), "v").alias("y"))
 
 
+def usable(vectors: DataFrame, key: str, column: str, width: int) -> DataFrame:
+    """(id, v, x, y): the vectors that can be compared."""
+    # The sum of squares is null, infinite or not a number if some value is, and 0 if all are.
+    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return hashed_rows(vectors, key, column).filter((F.size("v") == width) & (squares > 0) & (squares < float("inf")))
+
+
 def _sampled(reps: DataFrame, salt: int, most: int, n: int) -> np.ndarray:
     """About ``most`` of n vectors, chosen by the hash of their ids."""
     share = min(1.0, most / max(n, 1))
@@ -341,13 +346,13 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", column: str = "embedding
     ``measured`` receives the number of distinct vectors, leaves and visits, the pairs compared and their share.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, key, column, width)
     # Hashes alone find the classes; of each class one vector is moved.
-    hashed = rows.select("id", F.struct("x", "y").alias("h")).groupBy("id").agg(F.min("h").alias("h")).select("id", "h.x", "h.y")
+    hashed = usable(vectors, key, column, width).select("id", F.struct("x", "y").alias("h")).groupBy("id").agg(F.min("h").alias("h")).select("id", "h.x", "h.y")
+    hashed = written(hashed, "hashed")
     first = Window.partitionBy("x", "y").orderBy("id")
     low = hashed.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
     classes = written(low.groupBy("x", "y").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("x", "y", F.col("ids")[0].alias("cid"), "ids"), "classes")
-    reps = rows.dropDuplicates(["id", "x", "y"]).join(classes.select(F.col("cid").alias("id"), "x", "y"), ["id", "x", "y"])
+    reps = hashed_rows(vectors, key, column).dropDuplicates(["id", "x", "y"]).join(classes.select(F.col("cid").alias("id"), "x", "y"), ["id", "x", "y"])
     reps = written(reps.select(F.col("id").alias("cid"), "v"), "reps")
     n = classes.count()
 
