@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from normloom.functions.text import _ACCENTED, _PLAIN, WHITE
+from normloom.functions.text import _BASE, _COMPOSED, _KNOWN, _MAYBE_SEVERAL, WHITE
 from normloom.operators.citations import CITATION, COMPOUND, LIKELY, SURE
 
 
@@ -18,7 +18,9 @@ def _lit(text: str) -> str:
 
 def _accents(c: str) -> str:
     marks = _lit(r"[\x{300}-\x{36f}]")
-    return f"regexp_replace(translate({c}, {_lit(_ACCENTED)}, {_lit(_PLAIN)}), {marks}, '')"
+    spelled = f"array_join(transform(split({c}, ''), x -> coalesce(try_element_at(str_to_map({_lit(_KNOWN)}, '\n', '\t'), x), x)), '')"
+    single = f"case when regexp_like({c}, {_lit(_MAYBE_SEVERAL)}) then {spelled} else {c} end"
+    return f"regexp_replace(translate({single}, {_lit(_COMPOSED)}, {_lit(_BASE)}), {marks}, '')"
 
 
 def _bodies() -> dict[str, tuple[str, str, str]]:

@@ -48,6 +48,10 @@ def _ranges(characters: list[str], gap: int = 256) -> str:
 _MAYBE_SEVERAL = _ranges([c for c in _SEVERAL if ord(c) < 0x2000], 16)[:-1] + _ranges([c for c in _SEVERAL if ord(c) >= 0x2000])[1:]
 
 
+#: The same characters as lines for a map.
+_KNOWN = "\n".join(f"{k}\t{v}" for k, v in _SEVERAL.items())
+
+
 def strip_white(c: Column) -> Column:
     """Without outer white space, no-break spaces included."""
     return F.regexp_replace(F.regexp_replace(c, f"^[{WHITE}]+", ""), f"[{WHITE}]+\\z", "")
@@ -63,7 +67,7 @@ def strip_accents(c: Column) -> Column:
     Ligatures, fractions, roman numerals and other characters that give several are looked up one by one,
     in texts that hold any.  Characters without ASCII in their decomposition stay.
     """
-    known = F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in _SEVERAL.items())), F.lit("\n"), F.lit("\t"))
+    known = F.str_to_map(F.lit(_KNOWN), F.lit("\n"), F.lit("\t"))
     spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
     single = F.when(c.rlike(_MAYBE_SEVERAL), spelled).otherwise(c)
     return F.regexp_replace(F.translate(single, _COMPOSED, _BASE), r"[\x{300}-\x{36f}]", "")

@@ -7,7 +7,7 @@ from normloom.operators import citations, graph
 
 def test_sql_functions_equal_columns(spark):
     names = sql.register(spark)
-    values = ["Straßengesetzes (Kurz)", "É à-1 <b>x</b>\xa0 y", "9x", None, "", "Nach § 242 BGB und Art. 5 der Hausordnung"]
+    values = ["Straßengesetzes (Kurz)", "É à-1 <b>x</b>\xa0 y", "9x", "½ ﬁx Ⅳ ① ｗ ǆ", None, "", "Nach § 242 BGB und Art. 5 der Hausordnung"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
     df.createOrReplaceTempView("values_here")
     for name in ("strip_tags", "norm_title", "norm_abbr", "normalize_book", "main_group"):
