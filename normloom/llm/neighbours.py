@@ -54,14 +54,20 @@ PROBES, TARGET = 512, 0.995
 MOST_ROWS, LEAST_BLOCKS, MOST_ASKED = 16_384, 8, 65_536
 #: Queries that walk together; rounding is to DIGITS, errors of single precision stay below SLACK.
 CHUNK, DIGITS, SLACK = 1_024, 6, 4e-6
+#: Numbers of a dense table, pairs of a query and a leaf, and hits that a worker holds at once; rows in double precision, queues; bytes of a batch.
+CELLS, VISITED, HITS, DOUBLES, QUEUES, BATCH = 1 << 20, 1 << 19, 1 << 18, 1 << 14, 1 << 16, 8 << 20
 
 
 def _means(x: np.ndarray, near: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The mean of the rows near each centre; centres without rows stay."""
     order = np.argsort(near, kind="stable")
-    used, first = np.unique(near[order], return_index=True)
-    out = centres.copy()
-    out[used] = np.add.reduceat(x[order].astype(np.float64), first, axis=0) / np.diff(np.append(first, len(x)))[:, None]
+    used, count = np.unique(near, return_counts=True)
+    sums, out = np.zeros((len(used), x.shape[1])), centres.copy()
+    for a in range(0, len(x), DOUBLES):
+        rows = order[a : a + DOUBLES]
+        some, first = np.unique(near[rows], return_index=True)
+        sums[np.searchsorted(used, some)] += np.add.reduceat(x[rows].astype(np.float64), first, axis=0)
+    out[used] = sums / count[:, None]
     return out.astype(np.float32)
 
 
@@ -162,10 +168,50 @@ class Tree:
         return leaves[best], np.take_along_axis(known, best, 1)
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each vector: the first its queue gives."""
+        """The leaf of each vector: the first its queue gives.
+
+        Vectors in any order share few nodes, so a node is opened for those alone whose leaf so far doesn't come before it.
+        """
         out = np.zeros(len(x), np.int64)
-        for part in _chunks(len(x)):
-            out[part] = self.walk(x[part], 1)[0][:, 0]
+        if len(self.parents) > 1:
+            for part in _chunks(len(x), most=QUEUES):
+                out[part] = self._first_leaf(x[part])
+        return out
+
+    def _first_leaf(self, x: np.ndarray) -> np.ndarray:
+        out, best = np.zeros(len(x), np.int64), np.full(len(x), -np.inf, np.float32)
+        # Down by the first child of each node: a leaf that is early at least.
+        stack = [(0, np.arange(len(x)))]
+        while stack:
+            node, rows = stack.pop()
+            key = self.keys(x[rows], self.kids[node])
+            first = key.argmin(1)
+            best[rows] = np.maximum(best[rows], key[np.arange(len(rows)), first])
+            for at in np.unique(first).tolist():
+                kid, mine = int(self.kids[node][at]), rows[first == at]
+                if self.leaf_of[kid] < 0:
+                    stack.append((kid, mine))
+                else:
+                    out[mine] = self.leaf_of[kid]
+        # Then every node that comes before the leaf found so far.
+        stack = [(0, np.arange(len(x)), np.full(len(x), -np.inf, np.float32))]
+        while stack:
+            node, rows, above = stack.pop()
+            due = above < best[rows]
+            if not due.any():
+                continue
+            rows, kids = rows[due], self.kids[node]
+            key, leaf = np.maximum(self.keys(x[rows], kids), above[due, None]), self.leaf_of[kids]
+            if (leaf >= 0).any():
+                near = key[:, leaf >= 0]
+                at = near.argmin(1)
+                near = near[np.arange(len(rows)), at]
+                better = near < best[rows]
+                best[rows[better]], out[rows[better]] = near[better], leaf[leaf >= 0][at[better]]
+            for i in np.flatnonzero(leaf < 0).tolist():
+                due = key[:, i] < best[rows]
+                if due.any():
+                    stack.append((int(kids[i]), rows[due], key[due, i]))
         return out
 
 
@@ -213,9 +259,19 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _chunks(n: int) -> Iterator[slice]:
-    for a in range(0, n, CHUNK):
-        yield slice(a, min(n, a + CHUNK))
+def _singles(raw: np.ndarray) -> np.ndarray:
+    """Vectors of length 1 in single precision."""
+    out = np.empty(raw.shape, np.float32)
+    for a in range(0, len(raw), DOUBLES):
+        out[a : a + DOUBLES] = _unit(raw[a : a + DOUBLES])
+    return out
+
+
+def _chunks(n: int, width: int = 1, cells: int | None = None, most: int | None = None) -> Iterator[slice]:
+    """Rows whose table of ``width`` columns holds ``cells`` numbers at most."""
+    step = max(1, min(most or CHUNK, (cells or CELLS) // max(1, width)))
+    for a in range(0, n, step):
+        yield slice(a, min(n, a + step))
 
 
 class Block:
@@ -257,52 +313,78 @@ class Block:
         return np.repeat(np.arange(len(self.leaves)), np.diff(self.starts))
 
     def search(self, q: np.ndarray, floor: np.ndarray, cut: np.ndarray, asked: list[tuple[int, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """Of each query (unit, double) its k best rows in the asked leaves and not below its floor, ties in and near the rounding included.
+        """Of each query (unit, double) its k first rows by rounded similarity and id in the asked leaves and not below its floor.
+
+        No other row of the block can be among a query's k first: equal vectors come after the least of their ids.
 
         ``asked`` has leaves with the queries that visit them.  Of a leaf in several parts a query takes those
         before its cut.  Returns query, row and rounded similarity, and how many pairs were compared.
         """
-        single, least, found, pairs = q.astype(np.float32), floor.astype(np.float32) - np.float32(SLACK), [], 0
+        single, least, found, held, most, pairs = q.astype(np.float32), floor.astype(np.float32) - np.float32(SLACK), [], 0, HITS, 0
         lo, hi = np.searchsorted(self.leaves, [a for a, _ in asked]), np.searchsorted(self.leaves, [a for a, _ in asked], "right")
         for (_, queries), a, b in zip(asked, lo.tolist(), hi.tolist(), strict=True):
             for part in range(a, b):
                 at = queries
                 if b - a > 1:
                     at = at[np.sqrt(_squares(single[at], self.centres[part : part + 1]))[:, 0] <= cut[at]]
-                for piece in _chunks(len(at)):
-                    mine, begin = at[piece], self.starts[part]
-                    s = single[mine] @ self.singles[begin : self.starts[part + 1]].T
+                begin, end = self.starts[part], self.starts[part + 1]
+                for piece in _chunks(len(at), end - begin):
+                    mine = at[piece]
+                    s = single[mine] @ self.singles[begin:end].T
                     pairs += s.size
                     row, col = np.nonzero(s >= least[mine][:, None])
                     found.append((mine[row], begin + col, s[row, col]))
+                    held += len(row)
+                    if held > most:
+                        row, col, sim = self._first(q, found, k)
+                        # What is left can't grow beyond k hits of a query; the k-th is a floor for what follows.
+                        full = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
+                        least[row[full]] = np.maximum(least[row[full]], (sim[full] - 10.0**-DIGITS).astype(np.float32) - np.float32(SLACK))
+                        found, held, most = [(row, col, sim.astype(np.float32))], len(row), max(HITS, 2 * len(row))
+        return *self._first(q, found, k), pairs
+
+    def _first(self, q: np.ndarray, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each query's hits the k first by rounded similarity and id: query, row and similarity, in this order."""
         row, col, near = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
-        # Of more than k hits those below the k-th best are left out.
+        found.clear()
+        # Hits surely below the k-th best need no double precision.
         order = np.lexsort((-near, row))
         row, col, near = row[order], col[order], near[order]
         place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q)))[row]
         edge = np.full(len(q), -np.inf, np.float32)
-        edge[row[place == k - 1]] = near[place == k - 1] - np.float32(SLACK)
+        edge[row[place == k - 1]] = near[place == k - 1] - np.float32(10.0**-DIGITS + 2 * SLACK)
         kept = near >= edge[row]
         row, col = row[kept], col[kept]
-        return row, col, np.round(np.einsum("ij,ij->i", q[row], self.units[col]), DIGITS), pairs
+        sim = self._rounded(q, row, col)
+        order = np.lexsort((self.cids[col], -sim, row))
+        row, col, sim = row[order], col[order], sim[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q)))[row] < k
+        return row[kept], col[kept], sim[kept]
+
+    def _rounded(self, q: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """The rounded similarities of pairs of a query and a row, in double precision."""
+        out = np.empty(len(row))
+        for part in _chunks(len(row), most=DOUBLES):
+            out[part] = np.einsum("ij,ij->i", q[row[part]], self.units[col[part]])
+        return np.round(out, DIGITS)
 
     def best(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each query the k best of all rows, ties in and near the rounding included: query, row and similarity."""
         found = []
-        for part in _chunks(len(q)):
+        for part in _chunks(len(q), len(self.singles)):
             s = q[part].astype(np.float32) @ self.singles.T
             least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -2, np.float32)
             row, col = np.nonzero(s >= least[:, None] - np.float32(SLACK))
             found.append((row + part.start, col))
         row, col = (np.concatenate(x) for x in zip(*found, strict=True))
-        return row, col, np.round(np.einsum("ij,ij->i", q[row], self.units[col]), DIGITS)
+        return row, col, self._rounded(q, row, col)
 
     def floors(self, k: int) -> np.ndarray:
         """For each row the k-th best similarity within its own part, itself included; -2 where the part has fewer."""
         out = np.full(len(self.cids), -2.0)
         for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True):
             if b - a >= k:
-                for piece in _chunks(b - a):
+                for piece in _chunks(b - a, b - a):
                     s = self.singles[a:b][piece] @ self.singles[a:b].T
                     out[a:b][piece] = np.partition(s, b - a - k, axis=1)[:, b - a - k]
         return out
@@ -329,10 +411,18 @@ def usable(vectors: DataFrame, key: str, column: str, width: int) -> DataFrame:
     return hashed_rows(vectors, key, column).filter((F.size("v") == width) & (squares > 0) & (squares < float("inf")))
 
 
-def _sampled(reps: DataFrame, salt: int, most: int, n: int) -> np.ndarray:
+def _sampled(reps: DataFrame, salt: int, most: int, n: int, width: int) -> np.ndarray:
     """About ``most`` of n vectors, chosen by the hash of their ids."""
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"v": [np.array(batch["v"].tolist(), np.float32).tobytes()]})
+
+    # As bytes: without Arrow each number of an array would be an object of the driver.
     share = min(1.0, most / max(n, 1))
-    return np.array(reps.filter(F.pmod(F.xxhash64(F.lit(salt), "cid"), F.lit(1 << 30)) < share * (1 << 30)).select("v").toPandas()["v"].tolist(), np.float32)
+    chosen = reps.filter(F.pmod(F.xxhash64(F.lit(salt), "cid"), F.lit(1 << 30)) < share * (1 << 30)).select("v")
+    return np.frombuffer(b"".join(r[0] for r in chosen.mapInPandas(joined, "v binary").collect()), np.float32).reshape(-1, width)
 
 
 _PACK = "block long, cids binary, vs binary, leaves binary, centres binary, starts binary"
@@ -357,8 +447,9 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", column: str = "embedding
     n = classes.count()
 
     leaves = int(min(most_leaves, max(1, -(-n // leaf))))
-    fitted = _sampled(reps, 1, max(sample, SAMPLE_A_LEAF * leaves), n).reshape(-1, width)
-    tree = fit(_unit(fitted).astype(np.float32) if len(fitted) else fitted, max(1, -(-len(fitted) // leaves)))
+    fitted = _singles(_sampled(reps, 1, max(sample, SAMPLE_A_LEAF * leaves), n, width))
+    tree = fit(fitted, max(1, -(-len(fitted) // leaves)))
+    del fitted
     shared = spark.sparkContext.broadcast(tree)
     size = int(min(most_rows // 2, max(512, -(-n // LEAST_BLOCKS))))
 
@@ -366,7 +457,7 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", column: str = "embedding
         for batch in batches:
             if len(batch):
                 raw = np.array(batch["v"].tolist(), np.float32)
-                yield pd.DataFrame({"leaf": shared.value.assign(_unit(raw).astype(np.float32)), "cid": batch["cid"], "v": [r.tobytes() for r in raw]})
+                yield pd.DataFrame({"leaf": shared.value.assign(_singles(raw)), "cid": batch["cid"], "v": [r.tobytes() for r in raw]})
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -402,40 +493,44 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", column: str = "embedding
         for batch in batches:
             for row in batch.to_dict("records"):
                 own = Block(row, width)
-                parts = own.part_of_rows()
-                floor, cut, leaf_of, query_of = own.floors(k + 1), np.zeros(len(own.cids), np.float32), [], []
-                for part in _chunks(len(own.cids)):
-                    leaf, far = shared.value.walk(own.singles[part], visits)
-                    cut[part] = np.where(leaf >= 0, far, -np.inf).max(1)
-                    # The part a query lies in is asked in any case.
-                    home = np.sqrt(((own.singles[part] - own.centres[parts[part]]) ** 2).sum(1))
-                    cut[part] = np.maximum(cut[part], home + np.float32(SLACK))
-                    q, at = np.nonzero(leaf >= 0)
-                    leaf_of.append(leaf[q, at])
-                    query_of.append(q + part.start)
-                leaf_of, query_of = np.concatenate(leaf_of), np.concatenate(query_of)
-                here = np.isin(leaf_of, own.leaves)
-                a, b, s, pairs = own.search(own.units, floor, cut, _grouped(leaf_of[here], query_of[here]), k + 1)
-                yield _row(-1, pairs=pairs, a=own.cids[a], b=own.cids[b], s=s)
-                best = np.lexsort((-s, a))
-                place = np.arange(len(a)) - np.searchsorted(a[best], np.arange(len(floor)))[a[best]]
-                full = best[place == k]
-                floor[a[full]] = np.maximum(floor[a[full]], s[full] - 10.0**-DIGITS)
-                # Leaves are looked up block by block, so a leaf of several blocks is asked in each.
-                lo, hi = np.searchsorted(held, leaf_of), np.searchsorted(held, leaf_of, "right")
-                pair = np.repeat(np.arange(len(leaf_of)), hi - lo)
-                home = homes[np.repeat(lo, hi - lo) + np.arange(len(pair)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
-                order = np.argsort(home, kind="stable")
-                cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
-                for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
-                    if home[order[x]] != row["block"]:
-                        mine = pair[order[x:y]]
-                        asked, at = np.unique(query_of[mine], return_inverse=True)
-                        groups = _grouped(leaf_of[mine], at)
-                        yield _row(
-                            int(home[order[x]]), n=len(asked), a=own.cids[asked], vs=own.raw[asked], floors=floor[asked].astype(np.float32), cuts=cut[asked],
-                            leaves=np.array([g[0] for g in groups], np.int64), counts=np.array([len(g[1]) for g in groups], np.int64), queries=np.concatenate([g[1] for g in groups]).astype(np.uint16),
-                        )
+                parts, floors = own.part_of_rows(), own.floors(k + 1)
+                for mine in _chunks(len(own.cids), visits, VISITED, most_rows):
+                    yield from _batches(piece(row["block"], own, parts, floors, mine, held, homes))
+
+    def piece(block: int, own: Block, parts: np.ndarray, floors: np.ndarray, rows: slice, held: np.ndarray, homes: np.ndarray) -> Iterator[dict]:
+        """What some rows of a block find in it, and what they ask of others."""
+        tree, cids, raw, singles, units, floor = shared.value, own.cids[rows], own.raw[rows], own.singles[rows], own.units[rows], floors[rows]
+        cut, leaf_of, query_of = np.zeros(len(cids), np.float32), [], []
+        for part in _chunks(len(cids), len(tree.parents)):
+            leaf, far = tree.walk(singles[part], visits)
+            cut[part] = np.where(leaf >= 0, far, -np.inf).max(1)
+            # The part a query lies in is asked in any case.
+            home = np.sqrt(((singles[part] - own.centres[parts[rows][part]]) ** 2).sum(1))
+            cut[part] = np.maximum(cut[part], home + np.float32(SLACK))
+            q, at = np.nonzero(leaf >= 0)
+            leaf_of.append(leaf[q, at].astype(np.int32))
+            query_of.append((q + part.start).astype(np.int32))
+        leaf_of, query_of = np.concatenate(leaf_of), np.concatenate(query_of)
+        here = np.isin(leaf_of, own.leaves)
+        a, b, s, pairs = own.search(units, floor, cut, _grouped(leaf_of[here], query_of[here]), k + 1)
+        yield _row(-1, pairs=pairs, a=cids[a], b=own.cids[b], s=s)
+        full = np.flatnonzero(np.arange(len(a)) - np.searchsorted(a, a) == k)
+        floor[a[full]] = np.maximum(floor[a[full]], s[full] - 10.0**-DIGITS)
+        # Leaves are looked up block by block, so a leaf of several blocks is asked in each.
+        lo, hi = np.searchsorted(held, leaf_of), np.searchsorted(held, leaf_of, "right")
+        pair = np.repeat(np.arange(len(leaf_of), dtype=np.int32), hi - lo)
+        home = homes[np.repeat(lo, hi - lo) + np.arange(len(pair)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
+        order = np.argsort(home, kind="stable")
+        cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
+        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            if home[order[x]] != block:
+                these = pair[order[x:y]]
+                asked, at = np.unique(query_of[these], return_inverse=True)
+                groups = _grouped(leaf_of[these], at)
+                yield _row(
+                    int(home[order[x]]), n=len(asked), a=cids[asked], vs=raw[asked], floors=floor[asked].astype(np.float32), cuts=cut[asked],
+                    leaves=np.array([g[0] for g in groups], np.int64), counts=np.array([len(g[1]) for g in groups], np.int64), queries=np.concatenate([g[1] for g in groups]).astype(np.uint16),
+                )
 
     asked = written(blocks.mapInPandas(ask, _ASKED), "asked")
     # Blocks that many ask are shown to several tasks.
@@ -480,10 +575,22 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", column: str = "embedding
     return out.select("id", F.col("b.id").alias("neighbour"), (F.col("at") + 1).alias("rank"), F.col("b.s").alias("similarity"))
 
 
-def _row(target: int, n: int = 0, pairs: int = 0, **arrays: np.ndarray) -> pd.DataFrame:
-    fields = [f.split()[0] for f in _ASKED.split(", ")]
-    whole = {"target": target, "n": n, "pairs": pairs, **{k: v.tobytes() for k, v in arrays.items()}}
-    return pd.DataFrame({f: [whole.get(f)] for f in fields})
+def _row(target: int, n: int = 0, pairs: int = 0, **arrays: np.ndarray) -> dict:
+    return {"target": target, "n": n, "pairs": pairs, **{k: v.tobytes() for k, v in arrays.items()}}
+
+
+def _batches(rows: Iterator[dict]) -> Iterator[pd.DataFrame]:
+    """Rows of _ASKED, in batches of about BATCH bytes."""
+    fields, kept, size = [f.split()[0] for f in _ASKED.split(", ")], [], 0
+    frame = lambda: pd.DataFrame({f: [r.get(f) for r in kept] for f in fields})
+    for row in rows:
+        kept.append(row)
+        size += sum(len(x) for x in row.values() if isinstance(x, bytes))
+        if size >= BATCH:
+            yield frame()
+            kept, size = [], 0
+    if kept:
+        yield frame()
 
 
 def _held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -494,7 +601,7 @@ def _held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _calibrated(blocks: DataFrame, reps: DataFrame, shared, k: int, width: int, target: float, n: int) -> int:
     """How many leaves a query visits, so that they hold ``target`` of the true neighbours of the probes."""
-    probes = _sampled(reps, 3, PROBES, n)
+    probes = _sampled(reps, 3, PROBES, n, width)
     if not len(probes):
         return 1
     q = _unit(probes)
@@ -511,11 +618,13 @@ def _calibrated(blocks: DataFrame, reps: DataFrame, shared, k: int, width: int,
 
     top = Window.partitionBy("probe").orderBy(F.col("s").desc(), "cid")
     true = blocks.mapInPandas(scan, "probe long, leaf long, far double, cid long, s double").withColumn("r", F.row_number().over(top)).filter(F.col("r") <= k + 1).select("probe", "leaf", "far").toPandas()
-    keys = shared.value.leaf_keys(q.astype(np.float32))
-    probe = true["probe"].to_numpy()
-    inside = keys[probe] <= keys[probe, true["leaf"].to_numpy()][:, None]
-    before = keys[probe] < true["far"].to_numpy()[:, None]
-    ranks = np.sort(np.maximum(inside.sum(1), np.minimum(before.sum(1) + 1, keys.shape[1])))
+    keys = np.concatenate([shared.value.leaf_keys(q[part].astype(np.float32)) for part in _chunks(len(q), len(shared.value.parents))])
+    probe, leaf, far, ranks = true["probe"].to_numpy(), true["leaf"].to_numpy(), true["far"].to_numpy(), []
+    for part in _chunks(len(true), keys.shape[1]):
+        own = keys[probe[part]]
+        inside = own <= keys[probe[part], leaf[part]][:, None]
+        ranks.append(np.maximum(inside.sum(1), np.minimum((own < far[part][:, None]).sum(1) + 1, keys.shape[1])))
+    ranks = np.sort(np.concatenate(ranks))
     return int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))))])
 
 

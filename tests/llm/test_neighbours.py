@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -96,3 +98,48 @@ def test_prunes(spark):
         assert len(rows) == 5 * n and hits >= 0.98 * 5 * n and seen["vectors"] == n
         shares.append(seen["share"])
     assert shares[1] < 0.5 * shares[0] and shares[1] < 0.1
+
+
+def peak_of(f):
+    tracemalloc.start()
+    try:
+        out = f()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_large_trees():
+    """Assigning and walking hold no table of all queries and nodes: with 16,384 leaves those took hundreds of MB."""
+    rng = np.random.default_rng(5)
+    inner = rng.normal(size=(128, 16)).astype(np.float32)
+    leaves = (inner[:, None] + rng.normal(size=(128, 128, 16))).reshape(-1, 16)
+    parents = np.concatenate([[0], np.zeros(128, np.int64), 1 + np.repeat(np.arange(128), 128)])
+    tree = N.Tree(np.concatenate([np.zeros((1, 16)), inner, leaves]), parents, np.repeat([0, 1, 2], [1, 128, 128 * 128]))
+    x = rng.normal(size=(2_000, 16)).astype(np.float32)
+    got, peak = peak_of(lambda: tree.assign(x))
+    assert peak < 60
+    keys = tree.leaf_keys(x[:200])
+    assert (np.take_along_axis(keys, got[:200, None], 1)[:, 0] <= keys.min(1) + 1e-6).all()
+
+
+def test_memory_of_many_hits():
+    """Of vectors that are all but equal only k for a query are kept, by similarity and id."""
+    rng = np.random.default_rng(6)
+    raw = (np.ones((4_000, 8)) + 1e-5 * rng.normal(size=(4_000, 8))).astype(np.float32)
+    cids = rng.permutation(4_000)
+    tree = N.fit(np.zeros((0, 8), np.float32), 2)
+    block = N.Block(N.Block.packed(cids, raw, np.zeros(4_000, np.int64), tree, 4_000), 8)
+    every = np.arange(4_000)
+    (row, col, sim, pairs), peak = peak_of(lambda: block.search(block.units, np.full(4_000, -2.0), np.full(4_000, np.inf), [(0, every)], 5))
+    assert peak < 150 and pairs == 16_000_000 and (np.bincount(row) == 5).all()
+    # All similarities round to 1, so the least ids are first.
+    assert (sim == 1).all() and (block.cids[col].reshape(-1, 5) == np.arange(5)).all()
+
+
+def test_sample_is_moved_as_bytes(spark):
+    x = np.random.default_rng(7).normal(size=(300, 8)).astype(np.float32)
+    reps = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "cid long, v array<float>")
+    got = N._sampled(reps, 1, 1_000, 300, 8)
+    assert got.dtype == np.float32 and sorted(map(tuple, got)) == sorted(map(tuple, x))
+    assert N._sampled(reps.limit(0), 1, 1_000, 0, 8).shape == (0, 8)
