@@ -54,8 +54,9 @@ PROBES, TARGET = 512, 0.995
 MOST_ROWS, LEAST_BLOCKS, MOST_ASKED = 16_384, 8, 65_536
 #: Queries that walk together; rounding is to DIGITS, errors of single precision stay below SLACK.
 CHUNK, DIGITS, SLACK = 1_024, 6, 4e-6
-#: Numbers of a dense table, pairs of a query and a leaf, and hits that a worker holds at once; rows in double precision, queues; bytes of a batch.
-CELLS, VISITED, HITS, DOUBLES, QUEUES, BATCH = 1 << 20, 1 << 19, 1 << 18, 1 << 14, 1 << 16, 8 << 20
+#: Numbers of a dense table, pairs of a query and a leaf, and hits that a worker holds at once; rows in double precision, queues; bytes of a batch;
+#: rows of a row group where each has up to some megabytes.
+CELLS, VISITED, HITS, DOUBLES, QUEUES, BATCH, GROUP = 1 << 20, 1 << 19, 1 << 18, 1 << 14, 1 << 16, 8 << 20, 8
 
 
 def _means(x: np.ndarray, near: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -482,7 +483,7 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", column: str = "embedding
     # Written, as a partitioning by ranges reads its input twice.
     assigned = written(reps.mapInPandas(assign, "leaf long, cid long, v binary"), "assigned")
     ordered = assigned.repartitionByRange(max(1, -(-n // size)), "leaf", "cid").sortWithinPartitions("leaf", "cid")
-    blocks = written(ordered.mapInPandas(pack, _PACK), "blocks")
+    blocks = written(ordered.mapInPandas(pack, _PACK), "blocks", GROUP)
     visits = _calibrated(blocks, reps, shared, k, width, target, n)
     # A row for each leaf and block that holds some of it: leaves and blocks in number, whatever the vectors.
     holds = blocks.mapInPandas(_held, "block long, leaf long").toPandas().sort_values(["leaf", "block"])
@@ -532,11 +533,11 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", column: str = "embedding
                     leaves=np.array([g[0] for g in groups], np.int64), counts=np.array([len(g[1]) for g in groups], np.int64), queries=np.concatenate([g[1] for g in groups]).astype(np.uint16),
                 )
 
-    asked = written(blocks.mapInPandas(ask, _ASKED), "asked")
-    # Blocks that many ask are shown to several tasks.
+    asked = written(blocks.mapInPandas(ask, _ASKED), "asked", GROUP)
+    # Blocks that many ask are shown to several tasks. A row for each block goes to all executors, so what is asked moves once.
     loads = asked.filter("target >= 0").groupBy("target").agg(F.ceil(F.sum("n") / MOST_ASKED).alias("tasks"))
-    left = asked.filter("target >= 0").join(loads, "target").withColumn("task", F.pmod(F.xxhash64("a"), F.col("tasks")))
-    right = blocks.withColumnRenamed("block", "target").join(loads, "target").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)))
+    left = asked.filter("target >= 0").join(F.broadcast(loads), "target").withColumn("task", F.pmod(F.xxhash64("a"), F.col("tasks")))
+    right = blocks.withColumnRenamed("block", "target").join(F.broadcast(loads), "target").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)))
     right = right.select(F.col("target").alias("x_target"), F.col("task").alias("x_task"), *[F.col(c).alias(f"x_{c}") for c in Block.FIELDS])
 
     def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:

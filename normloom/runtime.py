@@ -86,11 +86,16 @@ def _drop(spark: SparkSession, root: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a parquet table in the shared folder: its lineage ends there."""
+def written(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
+    """``df`` as a parquet table in the shared folder: its lineage ends there.
+
+    ``group``: rows of a row group at most.  A reader decodes up to 4,096 rows of one at once, so tables with
+    rows of many kilobytes need few.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.row.count.limit", group) if group else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from normloom.llm import neighbours as N
@@ -143,3 +144,13 @@ def test_sample_is_moved_as_bytes(spark):
     got = N._sampled(reps, 1, 1_000, 300, 8)
     assert got.dtype == np.float32 and sorted(map(tuple, got)) == sorted(map(tuple, x))
     assert N._sampled(reps.limit(0), 1, 1_000, 0, 8).shape == (0, 8)
+
+
+def test_row_groups_of_wide_tables(spark, monkeypatch):
+    """Rows of some megabytes are never decoded by the thousand: executors ran out of heap on the table of what blocks ask."""
+    tables, written = {}, N.written
+    monkeypatch.setattr(N, "written", lambda df, name, *rest: tables.setdefault(name, written(df, name, *rest)))
+    x = np.random.default_rng(8).normal(size=(600, 8)).astype(np.float32)
+    assert N.neighbours(spark.createDataFrame(rows_of(x), SHAPE), k=5, width=8, leaf=8, most_rows=32).count() == 3_000
+    sizes = {name: [m.row_group(i).num_rows for f in tables[name].inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for i in range(m.num_row_groups)] for name in ("asked", "blocks")}
+    assert sum(sizes["asked"]) > 100 and max(max(n) for n in sizes.values()) <= N.GROUP == 8
